@@ -29,11 +29,11 @@ def _floor_div(col: Column, size: int) -> Column:
 
 def running_state(
     df: DataFrame, keys: Sequence[str], pos: str, sums: Sequence[str] = (), maxes: Sequence[str] = (),
-    fanout: int = FANOUT,
+    keep: Sequence[str] = (), fanout: int = FANOUT,
 ) -> DataFrame:
     """Inclusive running sums and maxima along `pos`, in two levels so that a long key is many tasks."""
     group = "_group"
-    df = df.select(*keys, pos, *sums, *maxes, _floor_div(F.col(pos), fanout).alias(group))
+    df = df.select(*keys, pos, *keep, *sums, *maxes, _floor_div(F.col(pos), fanout).alias(group))
     totals = df.groupBy(*keys, group).agg(
         *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes]
     )
@@ -45,7 +45,7 @@ def running_state(
     )
     inside = Window.partitionBy(*keys, group).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return df.join(totals, [*keys, group]).select(
-        *keys, pos,
+        *keys, pos, *keep,
         *[(F.coalesce(F.col(f"_b_{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(c) for c in sums],
         *[F.greatest(F.col(f"_b_{c}"), F.max(c).over(inside)).alias(c) for c in maxes],
     )
@@ -211,13 +211,16 @@ def ewm_look_back(spans: Iterable[int]) -> int:
 
 def spread(
     df: DataFrame, look_back: int = 0, look_ahead: int = 0, *, keys: Sequence[str] = KEYS, order: str = "day_idx",
-    carry: Sequence[str] = (), carry_start: bool = False, side: DataFrame | None = None,
-    block_rows: int | None = None,
+    carry: Sequence[str] = (), carry_start: bool = False, carry_sum: Sequence[str] = (), carry_max: Sequence[str] = (),
+    side: DataFrame | None = None, block_rows: int | None = None,
 ) -> Blocked:
     """Cut `df` into blocks of `order` with the given halo.
 
     `carry` names columns whose last non-null value before the block is needed; `carry_start` also
-    brings the first `order` value of the key (negated, as `_carry_start`).  `side` holds one row per key; it is repeated per block and joined on (key, block), so a long key does not meet one task.
+    brings the first `order` value of the key (negated, as `_carry_start`).  `carry_sum` and `carry_max`
+    bring totals and maxima over everything before the block, as `_before_<c>` and `_peak_<c>`.
+    `side` holds one row per key; it is repeated per block and joined on (key, block), so that a long
+    key does not meet in one task.
     """
     size = block_rows or BLOCK_ROWS
     pos = F.col(order)
@@ -236,28 +239,50 @@ def spread(
     if side is not None:
         blocks = df.select(*keys, _floor_div(pos, size).alias(BLOCK)).distinct()
         context.append(blocks.join(side, list(keys)))
-    if carry or carry_start:
-        chunks = df.select(*keys, _floor_div(pos, step).alias("_chunk"), order, *[c for c in carry if c != order])
-        chunks = chunks.groupBy(*keys, "_chunk").agg(
+    lasts, sums = [f"_carry_{c}" for c in carry], [f"_before_{c}" for c in carry_sum]
+    peaks = [f"_peak_{c}" for c in carry_max] + (["_carry_start"] if carry_start else [])
+    if lasts or sums or peaks:
+        read = sorted({*carry, *carry_sum, *carry_max} - {order})
+        chunks = df.select(*keys, _floor_div(pos, step).alias("_chunk"), order, *read).groupBy(*keys, "_chunk").agg(
             *[F.max(F.when(F.col(c).isNotNull(), F.struct(pos.alias("at"), F.col(c).alias("value")))).alias(f"_carry_{c}")
               for c in carry],
+            *[F.sum(c).alias(f"_before_{c}") for c in carry_sum],
+            *[F.max(c).alias(f"_peak_{c}") for c in carry_max],
             *([F.max(-pos).alias("_carry_start")] if carry_start else []),
         )
-        states = [f"_carry_{c}" for c in carry] + (["_carry_start"] if carry_start else [])
-        state = running_state(chunks, keys, "_chunk", maxes=states)
-        edge = (F.col("_chunk") + 1) * step + halo
-        context.append(state.filter(F.pmod(edge, F.lit(size)) == 0).select(
-            *keys, F.floor(edge / size).cast("long").alias(BLOCK),
-            *[F.col(f"_carry_{c}.value").alias(f"_carry_{c}") for c in carry],
-            *(["_carry_start"] if carry_start else []),
+        # One marker per block, placed on the chunk just before the block's first (halo) row.
+        markers = chunks.select(*keys, _floor_div(F.col("_chunk") * step, size).alias(BLOCK)).distinct().withColumn(
+            "_chunk", ((F.col(BLOCK) * size - halo) / step).cast("long") - 1).filter("_chunk >= 0")
+        marked = chunks.unionByName(markers, allowMissingColumns=True).groupBy(*keys, "_chunk").agg(
+            *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in lasts + peaks], F.max(BLOCK).alias(BLOCK))
+        state = running_state(marked, keys, "_chunk", sums=sums, maxes=lasts + peaks, keep=[BLOCK])
+        context.append(state.filter(F.col(BLOCK).isNotNull()).select(
+            *keys, BLOCK, *[F.col(f"{c}.value").alias(c) for c in lasts], *sums, *peaks,
         ))
-        extra += states
+        extra += lasts + sums + peaks
     if context:
         joined = reduce(lambda a, b: a.join(b, [*keys, BLOCK], "full"), context)
         framed = framed.join(joined, [*keys, BLOCK], "left")
     return Blocked(framed, keys, order, carry, extra)
 
 
+def with_position(
+    df: DataFrame, name: str, keys: Sequence[str] = KEYS, order: str = "day_idx", block_rows: int | None = None
+) -> DataFrame:
+    """Zero-based position of a row in its key along `order`, whose values need not be dense."""
+    size = block_rows or BLOCK_ROWS
+    df = df.withColumn(BLOCK, _floor_div(F.col(order), size))
+    counts = df.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
+    ends = running_state(counts, keys, BLOCK, sums=["_rows"]).withColumnRenamed("_rows", "_end")
+    offsets = ends.join(counts, [*keys, BLOCK]).select(*keys, BLOCK, (F.col("_end") - F.col("_rows")).alias("_start"))
+    inner = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    return (
+        df.join(offsets, [*keys, BLOCK])
+        .withColumn(name, (F.col("_start") + F.row_number().over(inner) - 1).cast("int"))
+        .drop(BLOCK, "_start")
+    )
+
+
 def with_day_index(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "day_idx") -> DataFrame:
     """Position of a row in its key by (year, month, day), counted year by year.
 
