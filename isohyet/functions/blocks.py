@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8192
 FANOUT = 4096
 KEYS = ("region_id",)
+RADIX = 4
+# Relative rounding of a running sum over one block, taken generously.
+SUM_ROUNDING = 2e-15
 
 BLOCK, OWN = "_block", "_own"
 
@@ -70,7 +73,7 @@ class Blocked:
     """A panel spread over time blocks; add window columns, then call `done`."""
 
     # Sliding frames re-aggregate their rows; beyond this width prefix forms are cheaper.
-    long_from = 64
+    long_from = 8
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, carried: Iterable[str], extra: Iterable[str]):
         self.df, self.keys, self.order = df, tuple(keys), order
@@ -119,7 +122,7 @@ class Blocked:
         whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         centred = sorted({r.source for r in long if r.fn == "std"})
         summed = sorted({r.source for r in long if r.fn != "max"})
-        maxed = sorted({r.source for r in long if r.fn == "max"})
+        maxed = {s: max(r.width for r in long if r.fn == "max" and r.source == s) for s in sorted({r.source for r in long if r.fn == "max"})}
         # Squares are summed around a block-local centre, which keeps the difference of sums stable.
         self.add({f"_c_{s}": F.first(s, ignorenulls=True).over(whole) for s in centred}, temp=True)
         running: dict[str, Column] = {}
@@ -127,31 +130,35 @@ class Blocked:
             running[f"_n_{s}"] = F.count(s).over(upto)
             running[f"_s_{s}"] = F.sum(s).over(upto)
         for s in centred:
-            running[f"_d_{s}"] = F.sum(F.col(s) - F.col(f"_c_{s}")).over(upto)
-            running[f"_q_{s}"] = F.sum((F.col(s) - F.col(f"_c_{s}")) * (F.col(s) - F.col(f"_c_{s}"))).over(upto)
+            off = F.col(s) - F.col(f"_c_{s}")
+            running[f"_d_{s}"] = F.sum(off).over(upto)
+            running[f"_q_{s}"] = F.sum(off * off).over(upto)
         self.add(direct).add(running, temp=True)
 
-        tables = {s: {0: s} for s in maxed}
-        top = {s: max(r.width for r in long if r.fn == "max" and r.source == s).bit_length() - 1 for s in maxed}
-        for k in range(max(top.values(), default=0)):
-            step: dict[str, Column] = {}
-            for s in maxed:
-                if k < top[s]:
-                    prev = tables[s][k]
-                    step[f"_m{k + 1}_{s}"] = F.greatest(F.col(prev), F.lag(prev, 1 << k).over(self.window))
-                    tables[s][k + 1] = f"_m{k + 1}_{s}"
+        # Maxima over 4, 16, 64, ... rows; a wide frame is then the maximum of a few overlapping pieces.
+        tables = {s: {1: s} for s in maxed}
+        length = 1
+        while any(length * RADIX <= w for w in maxed.values()):
+            step = {}
+            for s, w in maxed.items():
+                if length * RADIX <= w:
+                    base = tables[s][length]
+                    step[f"_m{length * RADIX}_{s}"] = F.greatest(*[self.lag(base, i * length) for i in range(RADIX)])
+                    tables[s][length * RADIX] = f"_m{length * RADIX}_{s}"
             self.add(step, temp=True)
+            length *= RADIX
+
         def between(prefix: str, r: Roll) -> Column:
-            newer = F.lag(f"{prefix}{r.source}", r.lo).over(self.window) if r.lo else F.col(f"{prefix}{r.source}")
-            older = F.lag(f"{prefix}{r.source}", r.hi + 1).over(self.window)
+            newer, older = self.lag(f"{prefix}{r.source}", r.lo), self.lag(f"{prefix}{r.source}", r.hi + 1)
             return F.coalesce(newer, F.lit(0)) - F.coalesce(older, F.lit(0))
 
         final: dict[str, Column] = {}
         for r in long:
             if r.fn == "max":
-                k = r.width.bit_length() - 1
-                t = tables[r.source][k]
-                final[r.name] = F.greatest(self.lag(t, r.lo), self.lag(t, r.hi - (1 << k) + 1))
+                size = max(k for k in tables[r.source] if k <= r.width)
+                starts = sorted({min(r.lo + i * size, r.hi - size + 1) for i in range(-(-r.width // size))})
+                pieces = [self.lag(tables[r.source][size], k) for k in starts]
+                final[r.name] = F.greatest(*pieces) if len(pieces) > 1 else pieces[0]
                 continue
             n = between("_n_", r)
             if r.fn == "count":
@@ -162,15 +169,18 @@ class Blocked:
                 final[r.name] = F.when(n > 0, between("_s_", r) / n)
             else:
                 d, q = between("_d_", r), between("_q_", r)
-                final[r.name] = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - d * d / n) / (n - 1))))
+                # What is below the rounding of the running squares is no spread at all.
+                rounding = F.coalesce(self.lag(f"_q_{r.source}", r.lo), F.lit(0.0)) * SUM_ROUNDING
+                var = q - d * d / n
+                final[r.name] = F.when(n > 1, F.when(var > rounding, F.sqrt(var / (n - 1))).otherwise(0.0))
         return self.add(final)
 
     def ewm(self, spans: dict[str, tuple[str, int]]) -> "Blocked":
         """Recursive means y(t) = b*y(t-1) + a*x(t-1), a = 2/(span+1), seeded by the first value.
 
         `spans` maps output name to (source, span).  The recurrence is a weighted sum over the past
-        with weights a*b^k; it is built by doubling the covered length, one `lag` per doubling, until
-        the weight left out is below double precision.  Gaps repeat the last known value.
+        with weights a*b^k; it is built by widening the covered length fourfold, three `lag`s each time,
+        until the weight left out is below double precision.  Gaps repeat the last known value.
         """
         sources = sorted({s for s, _ in spans.values()})
         self.add({f"_f_{s}": self.last_known(s) for s in sources}, temp=True)
@@ -178,7 +188,7 @@ class Blocked:
         start, factor, depth = {}, {}, {}
         for name, (s, span) in spans.items():
             a = 2.0 / (span + 1.0)
-            factor[name], depth[name] = 1.0 - a, doublings(span)
+            factor[name], depth[name] = 1.0 - a, widenings(span)
             start[f"_e0_{name}"] = (
                 F.when(F.col(f"_f_{s}").isNull(), 0.0)
                 .when(F.col(f"_p_{s}").isNull(), F.col(f"_f_{s}"))
@@ -187,8 +197,9 @@ class Blocked:
         self.add(start, temp=True)
         for m in range(max(depth.values(), default=0)):
             self.add({
-                f"_e{m + 1}_{name}": F.col(f"_e{m}_{name}")
-                + F.coalesce(F.lag(f"_e{m}_{name}", 1 << m).over(self.window), F.lit(0.0)) * (factor[name] ** (1 << m))
+                f"_e{m + 1}_{name}": sum((
+                    F.coalesce(self.lag(f"_e{m}_{name}", i * RADIX**m), F.lit(0.0)) * (factor[name] ** (i * RADIX**m))
+                    for i in range(1, RADIX)), F.col(f"_e{m}_{name}"))
                 for name in spans if m < depth[name]
             }, temp=True)
         return self.add({
@@ -197,16 +208,16 @@ class Blocked:
         })
 
 
-def doublings(span: int) -> int:
-    """Doubling steps after which the remaining weight of a recursive mean is below 1e-17."""
+def widenings(span: int) -> int:
+    """Fourfold steps after which the remaining weight of a recursive mean is below 1e-15."""
     decay, m = 1.0 - 2.0 / (span + 1.0), 0
-    while decay ** (1 << m) >= 1e-17:
+    while decay ** (RADIX**m) >= 1e-15:
         m += 1
     return m
 
 
 def ewm_look_back(spans: Iterable[int]) -> int:
-    return max(((1 << doublings(s)) + 1 for s in spans), default=0)
+    return max((RADIX ** widenings(s) + 1 for s in spans), default=0)
 
 
 def spread(
@@ -224,45 +235,43 @@ def spread(
     """
     size = block_rows or BLOCK_ROWS
     pos = F.col(order)
-    step = size if look_back == 0 else max(1, size // 32)
-    size = step * 32 if look_back else size
-    halo = -(-look_back // step) * step
-    if halo or look_ahead:
+    own = _floor_div(pos, size)
+    if look_back or look_ahead:
         first = F.greatest(F.lit(0).cast("long"), _floor_div(pos - look_ahead, size))
-        framed = df.select(
-            "*", F.explode(F.sequence(first, _floor_div(pos + halo, size))).alias(BLOCK)
-        ).withColumn(OWN, F.col(BLOCK) == _floor_div(pos, size))
+        framed = df.select("*", F.explode(F.sequence(first, _floor_div(pos + look_back, size))).alias(BLOCK))
+        framed = framed.withColumn(OWN, F.col(BLOCK) == own)
     else:
-        framed = df.select("*", _floor_div(pos, size).alias(BLOCK), F.lit(True).alias(OWN))
+        framed = df.select("*", own.alias(BLOCK), F.lit(True).alias(OWN))
 
-    context, extra = [], []
-    if side is not None:
-        blocks = df.select(*keys, _floor_div(pos, size).alias(BLOCK)).distinct()
-        context.append(blocks.join(side, list(keys)))
     lasts, sums = [f"_carry_{c}" for c in carry], [f"_before_{c}" for c in carry_sum]
     peaks = [f"_peak_{c}" for c in carry_max] + (["_carry_start"] if carry_start else [])
-    if lasts or sums or peaks:
+    extra = lasts + sums + peaks
+    context = None
+    if extra:
+        # A row counts for every block whose first (halo) row comes after it; `_sees` is the first such block.
+        # Each row also names its own block, so that every block with rows gets a context row.
         read = sorted({*carry, *carry_sum, *carry_max} - {order})
-        chunks = df.select(*keys, _floor_div(pos, step).alias("_chunk"), order, *read).groupBy(*keys, "_chunk").agg(
-            *[F.max(F.when(F.col(c).isNotNull(), F.struct(pos.alias("at"), F.col(c).alias("value")))).alias(f"_carry_{c}")
+        sees = _floor_div(pos + look_back, size) + 1
+        marks = F.explode(F.array(F.struct(sees.alias(BLOCK), F.lit(True).alias("_sees")), F.struct(own.alias(BLOCK), F.lit(False).alias("_sees"))))
+        rows = df.select(*keys, order, *read, marks.alias("_m")).select(*keys, order, *read, "_m.*")
+
+        def seen(value: Column) -> Column:
+            return F.when(F.col("_sees"), value)
+
+        totals = rows.groupBy(*keys, BLOCK).agg(
+            *[F.max(F.when(F.col("_sees") & F.col(c).isNotNull(), F.struct(pos.alias("at"), F.col(c).alias("value")))).alias(f"_carry_{c}")
               for c in carry],
-            *[F.sum(c).alias(f"_before_{c}") for c in carry_sum],
-            *[F.max(c).alias(f"_peak_{c}") for c in carry_max],
-            *([F.max(-pos).alias("_carry_start")] if carry_start else []),
+            *[F.sum(seen(F.col(c))).alias(f"_before_{c}") for c in carry_sum],
+            *[F.max(seen(F.col(c))).alias(f"_peak_{c}") for c in carry_max],
+            *([F.max(seen(-pos)).alias("_carry_start")] if carry_start else []),
         )
-        # One marker per block, placed on the chunk just before the block's first (halo) row.
-        markers = chunks.select(*keys, _floor_div(F.col("_chunk") * step, size).alias(BLOCK)).distinct().withColumn(
-            "_chunk", ((F.col(BLOCK) * size - halo) / step).cast("long") - 1).filter("_chunk >= 0")
-        marked = chunks.unionByName(markers, allowMissingColumns=True).groupBy(*keys, "_chunk").agg(
-            *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in lasts + peaks], F.max(BLOCK).alias(BLOCK))
-        state = running_state(marked, keys, "_chunk", sums=sums, maxes=lasts + peaks, keep=[BLOCK])
-        context.append(state.filter(F.col(BLOCK).isNotNull()).select(
-            *keys, BLOCK, *[F.col(f"{c}.value").alias(c) for c in lasts], *sums, *peaks,
-        ))
-        extra += lasts + sums + peaks
-    if context:
-        joined = reduce(lambda a, b: a.join(b, [*keys, BLOCK], "full"), context)
-        framed = framed.join(joined, [*keys, BLOCK], "left")
+        context = running_state(totals, keys, BLOCK, sums=sums, maxes=lasts + peaks).select(
+            *keys, BLOCK, *[F.col(f"{c}.value").alias(c) for c in lasts], *sums, *peaks)
+    if side is not None:
+        blocks = context if context is not None else df.select(*keys, own.alias(BLOCK)).distinct()
+        context = blocks.join(side, list(keys), "left")
+    if context is not None:
+        framed = framed.join(context, [*keys, BLOCK], "left")
     return Blocked(framed, keys, order, carry, extra)
 
 

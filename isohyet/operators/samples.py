@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.fixed import GAP_DAYS, HORIZONS, MEASURES
-from isohyet.functions.blocks import BLOCK, KEYS, OWN, running_state, spread, with_position
+from isohyet.functions.blocks import BLOCK, BLOCK_ROWS, KEYS, OWN, running_state, spread, with_position
 from isohyet.functions.dates import month_day_code, parse_synthetic_date
 from isohyet.functions.numeric import finite_or_null
 from isohyet.operators.priors import with_month
@@ -247,10 +247,15 @@ def sequence_samples(panel: DataFrame, fallback: float, length: int = 91, gap: i
     known.add({"previous_score": F.coalesce(F.lag("_known", gap).over(known.window), F.lit(float(fallback)))})
     origins = targets.join(known.done(keep=[*keys, "day_idx", "previous_score"]), [*keys, "day_idx"])
     days = spread(panel, length - 1, keys=keys, block_rows=block_rows)
-    size = block_rows or 8192
-    size = max(1, size // 32) * 32
+    size = block_rows or BLOCK_ROWS
     gathered = days.df.groupBy(*keys, BLOCK).agg(
         F.sort_array(F.collect_list(F.struct("day_idx", *columns))).alias("_days"), F.min("day_idx").alias("_from"))
     placed = origins.withColumn(BLOCK, F.floor(F.col("day_idx") / size).cast("long")).join(gathered, [*keys, BLOCK])
     start = (F.col("day_idx") - length + 1 - F.col("_from") + 1).cast("int")
     return placed.withColumn("sequence", F.slice("_days", start, length)).drop(BLOCK, OWN, "_days", "_from")
+
+
+def label_median(panel: DataFrame) -> float:
+    """Median over all labels (0 without labels); labels take few values, so the exact aggregate stays small."""
+    row = labelled_rows(panel).agg(F.median("score")).first()
+    return float(row[0]) if row[0] is not None else 0.0

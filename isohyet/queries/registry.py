@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.numeric import r6
 from isohyet.session import tune
-from isohyet.sources.derived import derive_panel, derive_splits
+from isohyet.sources.derived import calendar_bounds, split_panel, stored_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,11 +39,12 @@ def sql_rounded(values: Sequence[str], digits: int = 6) -> str:
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return derive_panel(spark, folder)
+    return stored_panel(spark, folder)
 
 
 def splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return derive_splits(spark, folder)
+    rows = stored_panel(spark, folder)
+    return split_panel(rows, calendar_bounds(spark, folder)[2] - 1)
 
 
 # The panel as SQL; `panel` has the columns of `derive_panel`.

@@ -6,11 +6,15 @@ other measures exist only on days with shipments.  Every seventh day carries a 0
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.fixed import GAP_DAYS, MEASURES
 from isohyet.functions.blocks import spread
+from isohyet.session import ensure_checkpoint_dir
 
 YEAR_CYCLE = 29
 YEAR_SHIFT = 2000
@@ -70,8 +74,29 @@ def derive_panel(spark: SparkSession, folder: str, region: str = "supplier") ->
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_panel(spark: SparkSession, folder: str, region: str = "supplier") -> DataFrame:
+    """The derived panel, written once per application to the shared checkpoint folder and read back.
+
+    Operators scan the panel several times (rows, statistics, block context); a stored table keeps those
+    scans columnar and short, and survives the loss of executors.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(folder) if "://" not in folder else folder, region)
+    if key not in _STORED:
+        path = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "isohyet", key[0], uuid.uuid4().hex, "panel"])
+        derive_panel(spark, folder, region).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def split_panel(panel: DataFrame, last_idx: int) -> tuple[DataFrame, DataFrame]:
+    """Train = all but the last 91 days; test = those days without their label."""
+    cut = last_idx - GAP_DAYS + 1
+    return panel.filter(F.col("day_idx") < cut), panel.filter(F.col("day_idx") >= cut).drop("score")
+
+
 def derive_splits(spark: SparkSession, folder: str, region: str = "supplier") -> tuple[DataFrame, DataFrame]:
-    """Train = all but the last 91 days of a region; test = those days without their label."""
     panel = derive_panel(spark, folder, region)
-    cut = calendar_bounds(spark, folder)[2] - GAP_DAYS
-    return panel.filter(F.col("day_idx") < cut), panel.filter(F.col("day_idx") >= cut).drop("score")
+    return split_panel(panel, calendar_bounds(spark, folder)[2] - 1)
