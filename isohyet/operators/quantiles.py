@@ -45,6 +45,20 @@ def cumulate(counts: DataFrame, groups: Sequence[str], names: Sequence[str], val
     )
 
 
+def _may_hit(probs: Sequence[float]) -> Column:
+    """True wherever a position (t-1)*p falls strictly between the row's first rank - 1 and its end."""
+    last, start, end = F.col("_all") - 1, F.col("_from") - 1, F.col("_to")
+    n = len(probs) - 1
+    if n > 20 and all(abs(p - i / n) < 1e-12 for i, p in enumerate(probs)):
+        share = F.lit(float(n)) / F.nullif(last, F.lit(0))
+        first = F.ceil(F.greatest(F.lit(0.0), start * share - 1e-6))
+        return (last == 0) | (first <= F.least(F.lit(float(n)), end * share + 1e-6))
+    hit = F.lit(False)
+    for p in probs:
+        hit = hit | ((last * F.lit(float(p)) > start) & (last * F.lit(float(p)) < end))
+    return hit
+
+
 def quantiles(table: DataFrame, groups: Sequence[str], names: Sequence[str], probs: Sequence[float], value: str = "value") -> DataFrame:
     """Linearly interpolated quantiles per group and count column: (groups, side, idx, prob, quantile).
 
@@ -55,7 +69,7 @@ def quantiles(table: DataFrame, groups: Sequence[str], names: Sequence[str], pro
         F.struct(F.lit(n).alias("side"), F.col(n).alias("n"), F.col(f"c_{n}").alias("c"), F.col(f"t_{n}").alias("t"))
         for n in names
     ])
-    flat = table.select(*groups, value, F.explode(F.filter(sides, lambda s: s["n"] > 0)).alias("s")).select(
+    flat = table.select(*groups, value, F.explode(sides).alias("s")).filter("s.n > 0").select(
         *groups, value, "s.side", (F.col("s.c") - F.col("s.n")).alias("_from"), F.col("s.c").alias("_to"), F.col("s.t").alias("_all"))
     at = [((F.col("_all") - 1) * F.lit(float(p))) for p in probs]
     wanted = F.array(*[
@@ -64,7 +78,8 @@ def quantiles(table: DataFrame, groups: Sequence[str], names: Sequence[str], pro
     ])
     inside = F.filter(wanted, lambda w: ((w["lo"] >= F.col("_from")) & (w["lo"] < F.col("_to")))
                       | ((w["hi"] >= F.col("_from")) & (w["hi"] < F.col("_to"))))
-    hits = flat.select(*groups, "side", value, "_from", "_to", F.explode(inside).alias("w"))
+    # Few rows carry a wanted rank; a plain comparison drops the others before any array is built.
+    hits = flat.filter(_may_hit(probs)).select(*groups, "side", value, "_from", "_to", F.explode(inside).alias("w"))
 
     def on(rank: str) -> Column:
         return F.max(F.when((F.col(f"w.{rank}") >= F.col("_from")) & (F.col(f"w.{rank}") < F.col("_to")), F.col(value)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -38,3 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="isohyet-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Used where several branches read the same intermediate result: the scan is columnar, the lineage
+    is cut, and the files outlive executors.
+    """
+    spark = df.sparkSession
+    path = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "isohyet", spark.sparkContext.applicationId, uuid.uuid4().hex, name])
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -7,14 +7,13 @@ other measures exist only on days with shipments.  Every seventh day carries a 0
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.fixed import GAP_DAYS, MEASURES
 from isohyet.functions.blocks import spread
-from isohyet.session import ensure_checkpoint_dir
+from isohyet.session import materialize
 
 YEAR_CYCLE = 29
 YEAR_SHIFT = 2000
@@ -74,7 +73,7 @@ def derive_panel(spark: SparkSession, folder: str, region: str = "supplier") ->
     )
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored_panel(spark: SparkSession, folder: str, region: str = "supplier") -> DataFrame:
@@ -85,10 +84,8 @@ def stored_panel(spark: SparkSession, folder: str, region: str = "supplier") ->
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(folder) if "://" not in folder else folder, region)
     if key not in _STORED:
-        path = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "isohyet", key[0], uuid.uuid4().hex, "panel"])
-        derive_panel(spark, folder, region).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        _STORED[key] = materialize(derive_panel(spark, folder, region), "panel")
+    return _STORED[key]
 
 
 def split_panel(panel: DataFrame, last_idx: int) -> tuple[DataFrame, DataFrame]:
