@@ -6,7 +6,7 @@ import importlib
 
 from isohyet.queries.registry import ORACLES, QUERIES
 
-MODULES = ["features", "tables", "samples", "backtest", "drift"]
+MODULES = ["features", "tables", "samples", "backtest", "drift", "blending", "ranking", "models"]
 for _name in MODULES:
     importlib.import_module(f"isohyet.queries.{_name}")
 
