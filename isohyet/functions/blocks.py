@@ -20,8 +20,8 @@ BLOCK_ROWS = 8192
 FANOUT = 4096
 KEYS = ("region_id",)
 RADIX = 4
-# Relative rounding of a running sum over one block, taken generously.
-SUM_ROUNDING = 2e-15
+# Relative rounding that one row adds to a running sum and its square, taken generously.
+SUM_ROUNDING = 5e-16
 
 BLOCK, OWN = "_block", "_own"
 
@@ -72,8 +72,9 @@ class Roll:
 class Blocked:
     """A panel spread over time blocks; add window columns, then call `done`."""
 
-    # Sliding frames re-aggregate their rows; beyond this width prefix forms are cheaper.
-    long_from = 8
+    # Sliding frames re-aggregate their rows; from this width on prefix forms are used.  Deviations stay
+    # direct for longer, because differences of squares lose digits where a frame is nearly constant.
+    long_from = {"std": 64}
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, carried: Iterable[str], extra: Iterable[str]):
         self.df, self.keys, self.order = df, tuple(keys), order
@@ -113,8 +114,8 @@ class Blocked:
 
     def rolls(self, wanted: Sequence[Roll]) -> "Blocked":
         """Add trailing mean/sum/count/std/max columns, NULL where the frame holds no value."""
-        short = [r for r in wanted if r.width < self.long_from]
-        long = [r for r in wanted if r.width >= self.long_from]
+        short = [r for r in wanted if r.width < self.long_from.get(r.fn, 8)]
+        long = [r for r in wanted if r not in short]
         reducers = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}
         direct = {r.name: reducers[r.fn](r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in short}
 
@@ -170,7 +171,7 @@ class Blocked:
             else:
                 d, q = between("_d_", r), between("_q_", r)
                 # What is below the rounding of the running squares is no spread at all.
-                rounding = F.coalesce(self.lag(f"_q_{r.source}", r.lo), F.lit(0.0)) * SUM_ROUNDING
+                rounding = F.coalesce(self.lag(f"_q_{r.source}", r.lo), F.lit(0.0)) * (SUM_ROUNDING * r.width)
                 var = q - d * d / n
                 final[r.name] = F.when(n > 1, F.when(var > rounding, F.sqrt(var / (n - 1))).otherwise(0.0))
         return self.add(final)

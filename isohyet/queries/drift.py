@@ -54,14 +54,14 @@ vals as (select p.feature, p.baseline, v.value, sum(case when v.baseline = p.bas
 cum as (select *, sum(n) over w / sum(n) over g as ce, sum(m) over w / sum(m) over g as ca, sum(n) over g as t, sum(m) over g as u, count(*) over g as distinct_values
  from vals window w as (partition by feature, baseline order by value), g as (partition by feature, baseline)),
 ks as (select feature, baseline, max(abs(ce - ca)) as ks from cum group by 1, 2),
-edges as (select feature, baseline, list_sort(list_distinct(quantile_cont(value, [{", ".join(str(i / bins) for i in range(bins + 1))}]))) as e from long where baseline <> 'test' group by 1, 2),
+edges as (select feature, baseline, list_sort(list_distinct(quantile_cont(value, [{", ".join(f"{p!r}" for p in drift.even_probs(bins))}]))) as e from long where baseline <> 'test' group by 1, 2),
 binned as (select c.feature, c.baseline, len(list_filter(e[2:len(e) - 1], lambda x: x <= c.value)) as bin, len(e) as cuts, sum(n) as n, sum(m) as m, max(t) as t, max(u) as u
  from cum c join edges using (feature, baseline) group by 1, 2, 3, 4),
 terms as (select feature, baseline, cuts, greatest(n / t, 1e-6) as e, greatest(m / u, 1e-6) as a from binned),
 psi_plain as (select feature, baseline, case when max(cuts) < 3 then 0.0 else sum((a - e) * ln(a / e)) end as psi from terms group by 1, 2),
 psi_values as (select feature, baseline, max(distinct_values) as distinct_values, sum((greatest(m / u, 1e-6) - greatest(n / t, 1e-6)) * ln(greatest(m / u, 1e-6) / greatest(n / t, 1e-6))) as psi from cum group by 1, 2),
 psi_adaptive as (select feature, baseline, case when distinct_values <= 20 then v.psi else p.psi end as psi from psi_values v join psi_plain p using (feature, baseline)),
-qs as (select feature, baseline, unnest(range(101)) as i, unnest(quantile_cont(value, [{", ".join(str(i / 100) for i in range(101))}])) as q from long group by 1, 2),
+qs as (select feature, baseline, unnest(range(101)) as i, unnest(quantile_cont(value, [{", ".join(f"{p!r}" for p in drift.even_probs(100))}])) as q from long group by 1, 2),
 wd as (select a.feature, a.baseline, avg(abs(a.q - b.q)) as q_wasserstein from qs a join qs b on a.feature = b.feature and a.i = b.i and b.baseline = 'test' where a.baseline <> 'test' group by 1, 2)"""
 
 
