@@ -20,8 +20,11 @@ BLOCK_ROWS = 8192
 FANOUT = 4096
 KEYS = ("region_id",)
 RADIX = 4
-# Relative rounding that one row adds to a running sum and its square, taken generously.
+# Sliding frames re-aggregate their rows, so only frames below this width use them.
+SHORT = 8
+# Relative rounding that one row adds to a running sum of squares, taken generously.
 SUM_ROUNDING = 5e-16
+REDUCERS = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}
 
 BLOCK, OWN = "_block", "_own"
 
@@ -72,10 +75,6 @@ class Roll:
 class Blocked:
     """A panel spread over time blocks; add window columns, then call `done`."""
 
-    # Sliding frames re-aggregate their rows; from this width on prefix forms are used.  Deviations stay
-    # direct for longer, because differences of squares lose digits where a frame is nearly constant.
-    long_from = {"std": 64}
-
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, carried: Iterable[str], extra: Iterable[str]):
         self.df, self.keys, self.order = df, tuple(keys), order
         self.carried, self.temps = set(carried), list(extra)
@@ -113,100 +112,109 @@ class Blocked:
         return F.lag(source, k).over(self.window) if k else F.col(source)
 
     def rolls(self, wanted: Sequence[Roll]) -> "Blocked":
-        """Add trailing mean/sum/count/std/max columns, NULL where the frame holds no value."""
-        short = [r for r in wanted if r.width < self.long_from.get(r.fn, 8)]
-        long = [r for r in wanted if r not in short]
-        reducers = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}
-        direct = {r.name: reducers[r.fn](r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in short}
+        return self.trailing(rolls=wanted)
 
-        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+    def trailing(
+        self, rolls: Sequence[Roll] = (), ewm: dict[str, tuple[str, int]] | None = None,
+        lags: dict[str, tuple[str, int]] | None = None,
+    ) -> "Blocked":
+        """Add trailing frames, recursive means and lags; frames without a value give NULL.
+
+        Every window expression and every pass costs time per row, so requests share both:
+
+        * means, sums, counts and deviations are differences of running totals (squares are taken around
+          a block-local centre; a variance below the rounding of those totals is 0);
+        * maxima use tables over 4, 16, 64, ... rows, each built from the one before by `lag`;
+        * a recursive mean y(t) = b*y(t-1) + a*x(t-1), a = 2/(span+1), seeded by the first value, is a
+          weighted sum with weights a*b^k; it grows fourfold in the same passes until the weight left out
+          is below 1e-15.  Gaps repeat the last known value (`ewm`: output name -> (source, span)).
+
+        The last pass takes each needed (column, offset) once; results are arithmetic on those.
+        """
+        ewm, lags = ewm or {}, lags or {}
+        direct = [r for r in rolls if r.width < SHORT]
+        long = [r for r in rolls if r.width >= SHORT]
+
+        def sources(*fns: str) -> list[str]:
+            return sorted({r.source for r in long if r.fn in fns})
+
+        widest = {s: max(r.width for r in long if r.fn == "max" and r.source == s) for s in sources("max")}
+        remembered = sorted({s for s, _ in ewm.values()})
         whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        centred = sorted({r.source for r in long if r.fn == "std"})
-        summed = sorted({r.source for r in long if r.fn != "max"})
-        maxed = {s: max(r.width for r in long if r.fn == "max" and r.source == s) for s in sorted({r.source for r in long if r.fn == "max"})}
-        # Squares are summed around a block-local centre, which keeps the difference of sums stable.
-        self.add({f"_c_{s}": F.first(s, ignorenulls=True).over(whole) for s in centred}, temp=True)
-        running: dict[str, Column] = {}
-        for s in summed:
-            running[f"_n_{s}"] = F.count(s).over(upto)
-            running[f"_s_{s}"] = F.sum(s).over(upto)
-        for s in centred:
-            off = F.col(s) - F.col(f"_c_{s}")
-            running[f"_d_{s}"] = F.sum(off).over(upto)
-            running[f"_q_{s}"] = F.sum(off * off).over(upto)
-        self.add(direct).add(running, temp=True)
-
-        # Maxima over 4, 16, 64, ... rows; a wide frame is then the maximum of a few overlapping pieces.
-        tables = {s: {1: s} for s in maxed}
-        length = 1
-        while any(length * RADIX <= w for w in maxed.values()):
-            step = {}
-            for s, w in maxed.items():
+        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+
+        # Pass 1: values every later step is based on.
+        first = {f"_c_{s}": F.first(s, ignorenulls=True).over(whole) for s in sources("std")}
+        first |= {f"_f_{s}": self.last_known(s) for s in remembered}
+        first |= {f"_p_{s}": self.last_known(s, inclusive=False) for s in remembered}
+        self.add(first, temp=True)
+        start: dict[str, Column] = {f"_o_{s}": F.col(s) - F.col(f"_c_{s}") for s in sources("std")}
+        factor, depth = {}, {}
+        for name, (s, span) in ewm.items():
+            a = 2.0 / (span + 1.0)
+            factor[name], depth[name] = 1.0 - a, widenings(span)
+            start[f"_e0_{name}"] = (
+                F.when(F.col(f"_f_{s}").isNull(), 0.0).when(F.col(f"_p_{s}").isNull(), F.col(f"_f_{s}")).otherwise(F.col(f"_f_{s}") * a))
+        self.add(start, temp=True)
+
+        # Passes 2..n: running totals and one fourfold step of every table.
+        totals = {f"_n_{s}": F.count(s).over(upto) for s in sources("mean", "sum", "count", "std")}
+        totals |= {f"_s_{s}": F.sum(s).over(upto) for s in sources("mean", "sum")}
+        for s in sources("std"):
+            off = F.col(f"_o_{s}")
+            totals |= {f"_d_{s}": F.sum(off).over(upto), f"_q_{s}": F.sum(off * off).over(upto)}
+        maxima = {s: {1: s} for s in widest}
+        level, length = 0, 1
+        while totals or level < max(depth.values(), default=0) or any(length * RADIX <= w for w in widest.values()):
+            step, totals = dict(totals), {}
+            for s, w in widest.items():
                 if length * RADIX <= w:
-                    base = tables[s][length]
-                    step[f"_m{length * RADIX}_{s}"] = F.greatest(*[self.lag(base, i * length) for i in range(RADIX)])
-                    tables[s][length * RADIX] = f"_m{length * RADIX}_{s}"
+                    maxima[s][length * RADIX] = f"_m{length * RADIX}_{s}"
+                    step[f"_m{length * RADIX}_{s}"] = F.greatest(*[self.lag(maxima[s][length], i * length) for i in range(RADIX)])
+            for name in ewm:
+                if level < depth[name]:
+                    step[f"_e{level + 1}_{name}"] = sum((
+                        F.coalesce(self.lag(f"_e{level}_{name}", i * length), F.lit(0.0)) * (factor[name] ** (i * length)) for i in range(1, RADIX)
+                    ), F.col(f"_e{level}_{name}"))
             self.add(step, temp=True)
-            length *= RADIX
+            level, length = level + 1, length * RADIX
+
+        # Last pass.
+        taken: dict[str, Column] = {}
+
+        def at(source: str, k: int) -> Column:
+            if k:
+                taken.setdefault(f"_l{k}_{source}", self.lag(source, k))
+            return F.col(f"_l{k}_{source}" if k else source)
 
         def between(prefix: str, r: Roll) -> Column:
-            newer, older = self.lag(f"{prefix}{r.source}", r.lo), self.lag(f"{prefix}{r.source}", r.hi + 1)
+            newer, older = at(f"{prefix}{r.source}", r.lo), at(f"{prefix}{r.source}", r.hi + 1)
             return F.coalesce(newer, F.lit(0)) - F.coalesce(older, F.lit(0))
 
-        final: dict[str, Column] = {}
+        results: dict[str, Column] = {}
         for r in long:
             if r.fn == "max":
-                size = max(k for k in tables[r.source] if k <= r.width)
+                size = max(k for k in maxima[r.source] if k <= r.width)
                 starts = sorted({min(r.lo + i * size, r.hi - size + 1) for i in range(-(-r.width // size))})
-                pieces = [self.lag(tables[r.source][size], k) for k in starts]
-                final[r.name] = F.greatest(*pieces) if len(pieces) > 1 else pieces[0]
+                pieces = [at(maxima[r.source][size], k) for k in starts]
+                results[r.name] = F.greatest(*pieces) if len(pieces) > 1 else pieces[0]
                 continue
             n = between("_n_", r)
             if r.fn == "count":
-                final[r.name] = n
-            elif r.fn == "sum":
-                final[r.name] = F.when(n > 0, between("_s_", r))
-            elif r.fn == "mean":
-                final[r.name] = F.when(n > 0, between("_s_", r) / n)
-            else:
+                results[r.name] = n
+            elif r.fn == "std":
                 d, q = between("_d_", r), between("_q_", r)
-                # What is below the rounding of the running squares is no spread at all.
-                rounding = F.coalesce(self.lag(f"_q_{r.source}", r.lo), F.lit(0.0)) * (SUM_ROUNDING * r.width)
+                rounding = F.coalesce(at(f"_q_{r.source}", r.lo), F.lit(0.0)) * (SUM_ROUNDING * r.width)
                 var = q - d * d / n
-                final[r.name] = F.when(n > 1, F.when(var > rounding, F.sqrt(var / (n - 1))).otherwise(0.0))
-        return self.add(final)
-
-    def ewm(self, spans: dict[str, tuple[str, int]]) -> "Blocked":
-        """Recursive means y(t) = b*y(t-1) + a*x(t-1), a = 2/(span+1), seeded by the first value.
-
-        `spans` maps output name to (source, span).  The recurrence is a weighted sum over the past
-        with weights a*b^k; it is built by widening the covered length fourfold, three `lag`s each time,
-        until the weight left out is below double precision.  Gaps repeat the last known value.
-        """
-        sources = sorted({s for s, _ in spans.values()})
-        self.add({f"_f_{s}": self.last_known(s) for s in sources}, temp=True)
-        self.add({f"_p_{s}": self.last_known(s, inclusive=False) for s in sources}, temp=True)
-        start, factor, depth = {}, {}, {}
-        for name, (s, span) in spans.items():
-            a = 2.0 / (span + 1.0)
-            factor[name], depth[name] = 1.0 - a, widenings(span)
-            start[f"_e0_{name}"] = (
-                F.when(F.col(f"_f_{s}").isNull(), 0.0)
-                .when(F.col(f"_p_{s}").isNull(), F.col(f"_f_{s}"))
-                .otherwise(F.col(f"_f_{s}") * a)
-            )
-        self.add(start, temp=True)
-        for m in range(max(depth.values(), default=0)):
-            self.add({
-                f"_e{m + 1}_{name}": sum((
-                    F.coalesce(self.lag(f"_e{m}_{name}", i * RADIX**m), F.lit(0.0)) * (factor[name] ** (i * RADIX**m))
-                    for i in range(1, RADIX)), F.col(f"_e{m}_{name}"))
-                for name in spans if m < depth[name]
-            }, temp=True)
-        return self.add({
-            name: F.when(F.col(f"_p_{s}").isNotNull(), F.lag(f"_e{depth[name]}_{name}", 1).over(self.window))
-            for name, (s, _) in spans.items()
-        })
+                results[r.name] = F.when(n > 1, F.when(var > rounding, F.sqrt(var / (n - 1))).otherwise(0.0))
+            else:
+                total = between("_s_", r)
+                results[r.name] = F.when(n > 0, total / n if r.fn == "mean" else total)
+        results |= {n: at(s, k) for n, (s, k) in lags.items()}
+        results |= {n: F.when(F.col(f"_p_{s}").isNotNull(), at(f"_e{depth[n]}_{n}", 1)) for n, (s, _) in ewm.items()}
+        self.add({r.name: REDUCERS[r.fn](r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in direct} | taken)
+        self.temps += taken
+        return self.add(results)
 
 
 def widenings(span: int) -> int:

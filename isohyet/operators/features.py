@@ -17,7 +17,7 @@ from isohyet.fixed import (
     DRY_BELOW, GAP_DAYS, HEAT_COUNT_WINDOWS, HEAT_SUM_WINDOWS, HEAVY_FROM, HOT_FROM, INSTABILITY_WINDOWS, MEASURES,
     MOMENTUM_DAYS, RAIN_FROM, STREAK_WINDOWS, VAPOR_WINDOWS, VERY_HOT_FROM,
 )
-from isohyet.functions.blocks import KEYS, Blocked, Roll, ewm_look_back, spread
+from isohyet.functions.blocks import KEYS, OWN, Roll, ewm_look_back, spread
 from isohyet.functions.numeric import flag, ratio
 
 
@@ -45,9 +45,12 @@ class Family:
 
 def compose(
     panel: DataFrame, families: Sequence[Family], keys: Sequence[str] = KEYS, side: DataFrame | None = None,
-    block_rows: int | None = None, tail: dict[str, Column] | None = None,
+    block_rows: int | None = None, tail: dict[str, Column] | None = None, last_only: Column | None = None,
 ) -> DataFrame:
-    """Run all families over one spread of the panel; `tail` columns may read `side` columns."""
+    """Run all families over one spread of the panel.
+
+    `tail` columns may read `side` columns; `last_only` keeps the rows where it holds.
+    """
     rows, inputs = {}, {}
     for f in families:
         rows.update(f.rows)
@@ -67,11 +70,11 @@ def compose(
         n: F.col("day_idx") - F.coalesce(blocked.last_known(f"_stop_{s}"), blocked.start() - 1)
         for f in families for n, s in f.streak.items()
     }, temp=True)
-    blocked.rolls([r for f in families for r in f.rolls])
-    blocked.add({n: blocked.lag(s, k) for f in families for n, (s, k) in f.lags.items()})
-    ewm = {n: v for f in families for n, v in f.ewm.items()}
-    if ewm:
-        blocked.ewm(ewm)
+    blocked.trailing(
+        rolls=[r for f in families for r in f.rolls], ewm={n: v for f in families for n, v in f.ewm.items()},
+        lags={n: v for f in families for n, v in f.lags.items()})
+    if last_only is not None:
+        blocked.df = blocked.df.filter(F.col(OWN) & last_only)
     for f in families:
         blocked.add(f.post)
         blocked.temps += f.hidden

@@ -178,14 +178,12 @@ def season_weights(weighted: DataFrame, test: DataFrame, multiplier: float) -> D
 
 def final_row(df: DataFrame, mode: str = "last_row", keys: Sequence[str] = KEYS) -> DataFrame:
     """Last row of each region; `last_non_null` takes the last known value column by column."""
-    rest = [c for c in df.columns if c not in keys]
     if mode == "last_row":
-        top = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "day_idx").alias("_r"))
-        return top.select(*keys, "_r.*")
+        return tail_per_region(df, 1, keys)
     if mode != "last_non_null":
         raise ValueError(f"unknown mode {mode!r}")
     return df.groupBy(*keys).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day_idx"))).alias(c) for c in rest])
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day_idx"))).alias(c) for c in df.columns if c not in keys])
 
 
 def visible_label_priors(panel: DataFrame, fallback: float, gap: int = GAP_DAYS, keys: Sequence[str] = KEYS, block_rows: int | None = None) -> DataFrame:

@@ -429,5 +429,5 @@ def feat_build(spark, sf):
     """Train and test in one panel, statistics from train, all micro features, last row per region."""
     train, test = splits(spark, sf)
     both = union_splits(train, test).drop("split")
-    wide = build_features(both, train, FeatureOptions(region_priors=True))
-    return rounded(samples.final_row(wide), KEYS, [*BUILD_PANEL, *BUILD_JOINED], 5)
+    wide = build_features(both, train, FeatureOptions(region_priors=True), last_only=True)
+    return rounded(wide, KEYS, [*BUILD_PANEL, *BUILD_JOINED], 5)
