@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.blocks import running_state
 from isohyet.operators.blend import PREDS, to_long
+from isohyet.session import materialize
 
 # Range tolerance, distance thresholds and penalties of the rankings.
 RANGE_SLACK = 1e-9
@@ -116,7 +117,8 @@ def risk_adjusted_rank(maes: DataFrame, manifest: DataFrame, raw: str, approved:
         F.col("loo_mean_mae") + 0.20 * F.col("loo_std_mae") + 0.05 * F.col("loo_worst_mae")
         + 0.50 * F.greatest(F.lit(0.0), F.col("worst_regret")) + 0.25 * F.greatest(F.lit(0.0), F.col("mean_regret"))
         + F.greatest(F.lit(0), 4 - good) * 0.0015 + extra)
-    scored = per.withColumn("risk_adjusted_score", score).join(manifest, "model")
+    # Ranking reads its input several times; a candidate table is small, so it is stored first.
+    scored = materialize(per.withColumn("risk_adjusted_score", score).join(manifest, "model"), "risk_scores")
     ranked = global_position(scored.withColumn("_key", F.round("risk_adjusted_score", 12)), "_key", [F.col("old_rank")], "risk_rank").drop("_key")
     status = F.when(F.col("risk_rank") <= approved, "approved_for_submission_order").otherwise(f"defer_after_top{approved}_risk_adjusted")
     return ranked.withColumn("status", status)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isohyet.operators import backtest as bt
 from isohyet.operators import profiles, samples
 from isohyet.plans.feature_table import FeatureOptions
-from isohyet.queries.registry import KEYS, panel, query, rounded, sql_rounded, trailing
+from isohyet.queries.registry import KEYS, panel, query, rounded, sql_rounded, stored
 from isohyet.queries.samples import TARGETS, WEEKLY
 from isohyet.sources import toys
 from isohyet.sources.panel import metric_rows
@@ -28,13 +28,21 @@ errors as (select *, abs(pred - target) as abs_error from long)"""
 ORIGIN_KEYS = ["origin", "region_id"]
 
 
-def targets(spark, sf):
+def fresh_targets(spark, sf):
     return bt.origin_targets(panel(spark, sf).select(*KEYS, "date", "score"))
 
 
+def targets(spark, sf):
+    return stored(spark, sf, "targets", lambda: fresh_targets(spark, sf))
+
+
+def predictions(spark, sf):
+    return stored(spark, sf, "predictions", lambda: toys.toy_predictions(panel(spark, sf), targets(spark, sf)))
+
+
 @query("v00_origin_targets", f"with {TARGET} select region_id, origin, origin_date, origin_day_idx, {TARGETS} from targets")
 def v00(spark, sf):
-    return targets(spark, sf)
+    return fresh_targets(spark, sf)
 
 
 HIST = TARGET + """, hist as (select p.region_id, p.day_idx, t.origin, p.score, t.origin_day_idx - p.day_idx < 91 as is_blind
@@ -132,7 +140,7 @@ def j09(spark, sf):
 
 
 def scored(spark, sf):
-    return bt.join_predictions(toys.toy_predictions(panel(spark, sf), targets(spark, sf)), targets(spark, sf))
+    return bt.join_predictions(predictions(spark, sf), targets(spark, sf))
 
 
 @query("j06_join_pred_target_cluster", f"""with {PREDS}, pr as (select region_id, avg(score) as sm from panel group by 1)
@@ -140,7 +148,7 @@ select p.region_id, p.origin, p.model, t.origin_month, cast(least(4, floor(coale
 from preds p join targets t using (region_id, origin) left join pr using (region_id)""")
 def j06(spark, sf):
     rows = panel(spark, sf)
-    out = bt.join_predictions(toys.toy_predictions(rows, targets(spark, sf)), targets(spark, sf), bt.coarse_segment(rows))
+    out = bt.join_predictions(predictions(spark, sf), targets(spark, sf), bt.coarse_segment(rows))
     return rounded(out, ["region_id", "origin", "model", "origin_month", "region_cluster", "target_w1"], ["pred_week1"])
 
 
@@ -179,4 +187,4 @@ def a10_stats(spark, sf):
 
 @query("u02_union_origins", f"with {TARGET} select origin, cast(count(*) as bigint) as rows, sum(target_w1) as target_sum from targets group by 1")
 def u02(spark, sf):
-    return targets(spark, sf).groupBy("origin").agg(F.count(F.lit(1)).alias("rows"), F.sum("target_w1").alias("target_sum"))
+    return fresh_targets(spark, sf).groupBy("origin").agg(F.count(F.lit(1)).alias("rows"), F.sum("target_w1").alias("target_sum"))

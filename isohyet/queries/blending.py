@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from isohyet.operators import blend, profiles
 from isohyet.operators.backtest import long_errors
-from isohyet.queries.backtest import LONG, PREDS, TARGET, scored, targets
+from isohyet.queries.backtest import LONG, PREDS, predictions, scored, targets
 from isohyet.queries.registry import panel, query, rounded, sql_rounded
-from isohyet.sources import toys
 from isohyet.sources.predictions import align_to_template
 
 MODELS = ["lgb", "xgb", "cat"]
@@ -20,10 +19,6 @@ wide as (select region_id, origin, horizon, any_value(target) as target, max(cas
  max(case when model = 'xgb' then pred end) as xgb, max(case when model = 'cat' then pred end) as cat from long group by 1, 2, 3)"""
 
 
-def predictions(spark, sf):
-    return toys.toy_predictions(panel(spark, sf), targets(spark, sf))
-
-
 def aligned(spark, sf):
     return blend.align_models(predictions(spark, sf), targets(spark, sf), MODELS)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.numeric import r6
-from isohyet.session import tune
+from isohyet.session import materialize, tune
 from isohyet.sources.derived import calendar_bounds, split_panel, stored_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,17 @@ def splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return split_panel(rows, calendar_bounds(spark, folder)[2] - 1)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An input that many queries share, written once per application next to the stored panel."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key]
+
+
 # The panel as SQL; `panel` has the columns of `derive_panel`.
 PANEL = """
 bounds as (select min(cast(l_shipdate as date)) lo, max(cast(l_shipdate as date)) hi from lineitem),
