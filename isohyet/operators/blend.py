@@ -8,6 +8,7 @@ aggregation, so the exploded rows never leave their task.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,8 +58,10 @@ def simplex_grid(n: int, step: float, caps: Sequence[float] | None = None) -> li
 
 
 def _grid_column(grid: Sequence[Sequence[float]], names: Sequence[str]) -> Column:
-    return F.explode(F.array(*[
-        F.struct(F.lit(i).alias("grid_idx"), *[F.lit(float(v)).alias(n) for n, v in zip(names, point)]) for i, point in enumerate(grid)]))
+    """One row per grid point; the grid is a single constant of the plan, however many points it has."""
+    points = [{"grid_idx": i, **dict(zip(names, map(float, point)))} for i, point in enumerate(grid)]
+    fields = ", ".join(["grid_idx: int", *[f"`{n}`: double" for n in names]])
+    return F.explode(F.from_json(F.lit(json.dumps(points)), f"array<struct<{fields}>>"))
 
 
 def error_table(aligned: DataFrame, models: Sequence[str], grid: Sequence[Sequence[float]], by: Sequence[str] = ("origin", "horizon")) -> DataFrame:
