@@ -6,6 +6,7 @@ equal-width value buckets: totals per bucket, offsets over the few buckets, runn
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,11 +72,13 @@ def quantiles(table: DataFrame, groups: Sequence[str], names: Sequence[str], pro
     ])
     flat = table.select(*groups, value, F.explode(sides).alias("s")).filter("s.n > 0").select(
         *groups, value, "s.side", (F.col("s.c") - F.col("s.n")).alias("_from"), F.col("s.c").alias("_to"), F.col("s.t").alias("_all"))
-    at = [((F.col("_all") - 1) * F.lit(float(p))) for p in probs]
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"), (h - F.floor(h)).alias("part"))
-        for i, (p, h) in enumerate(zip(probs, at))
-    ])
+    asked = F.from_json(F.lit(json.dumps([float(p) for p in probs])), "array<double>")
+
+    def rank(p: Column, i: Column) -> Column:
+        h = (F.col("_all") - 1) * p
+        return F.struct(i.alias("idx"), p.alias("prob"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"), (h - F.floor(h)).alias("part"))
+
+    wanted = F.transform(asked, rank)
     inside = F.filter(wanted, lambda w: ((w["lo"] >= F.col("_from")) & (w["lo"] < F.col("_to")))
                       | ((w["hi"] >= F.col("_from")) & (w["hi"] < F.col("_to"))))
     # Few rows carry a wanted rank; a plain comparison drops the others before any array is built.
