@@ -107,7 +107,7 @@ ROLLING = {
     "rolling_drought_idx_90d": f"avg(tmp) {trailing(90)} / nullif(sum(prec) {trailing(90)} + 0.1, 0)",
 }
 EXTRA = {k: v for k, v in {**DAILY, **ROLLING}.items()}
-FULL = SEASONS.replace("), days as", "), days as") + f""", extra as (select region_id, day_idx, {", ".join(f"{v} as {k}" for k, v in EXTRA.items())} from panel),
+FULL = SEASONS + f""", extra as (select region_id, day_idx, {", ".join(f"{v} as {k}" for k, v in EXTRA.items())} from panel),
 rows_ as (select t.*, extra.* exclude (region_id, day_idx) from tagged t join extra using (region_id, day_idx))"""
 VALUES = ["train_mean", "test_mean", "mean_delta", "std_mean_delta", "train_p10", "train_p50", "train_p90", "test_p10", "test_p50", "test_p90", "psi", "ks"]
 TABLE_SQL = f"""with {_long(TABLE_COLUMNS, FULL)}, {metrics()},

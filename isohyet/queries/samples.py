@@ -120,11 +120,6 @@ def v06(spark, sf):
     return rounded(out.withColumn("season_match", F.col("season_match").cast("int")), [*KEYS, "season_match"], ["weight"])
 
 
-def _visible(prefix: str, condition: str) -> str:
-    j = f"from weekly l where l.region_id = t.region_id and l.day_idx <= t.day_idx - 91 {condition}"
-    return f"(select avg(l.score) {j}) as {prefix}_mean"
-
-
 PRIOR_COLS = ["visible_score_mean", "visible_score_std", "visible_score_max", "visible_score_eq0_ratio", "visible_score_ge3_ratio",
               "recent365_score_mean", "recent365_score_eq0_ratio", "recent730_score_mean", "recent730_score_ge3_ratio", "monthly_score_mean"]
 
