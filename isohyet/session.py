@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +17,25 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Lets the tail operator prune rows before the window sort for multi-year tails.
-        "spark.sql.optimizer.windowGroupLimitThreshold": "8192",
     }.items():
         spark.conf.set(key, value)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster; only an unset one gets a local default."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if configured and not current:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="isohyet-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The shared folder for intermediate tables: spark.checkpoint.dir, else a folder in the session's warehouse.
+
+    One rule for every master. The default is deleted by Hadoop's file system when the application ends.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not current:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{context.applicationId}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        current = path.toString()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(current)
+    return current
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
