@@ -28,7 +28,8 @@ def exact_duplicates(
     extra = {f"__c_{k}": v for k, v in (carry or {}).items()}
     rows = docs.select(F.col(id_col).alias("doc_id"), collapsed(text_col).alias("__norm"), *[v.alias(k) for k, v in extra.items()])
     rows = rows.withColumns({"__chars": F.length("__norm"), "__head": F.xxhash64(F.substring("__norm", 1, head_chars))})
-    shared = rows.groupBy("__chars", "__head").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    # Aggregates are stored before the join: Spark splits a hot key only where both sides come straight from a shuffle.
+    shared = store(rows.groupBy("__chars", "__head").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "exact_heads")
     # The groups are far smaller than the texts of the same partition, so they are the hashed side.
     whole = F.when(F.col("__n").isNotNull(), F.sha2("__norm", 256))
     keyed = store(
@@ -37,7 +38,7 @@ def exact_duplicates(
     )
     keys = ["__chars", "__head", "__whole"]
     same = keyed.filter("__whole is not null")
-    groups = same.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = store(same.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact_groups")
     alone = keyed.filter("__whole is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
     return match(same, groups, keys).unionByName(alone).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

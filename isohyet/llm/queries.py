@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import collapsed, documents
 from isohyet.llm.exact_dedup import exact_duplicates
 from isohyet.llm.mixing import mix
+from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), vocabulary())
+
+
+@query("op10_minhash", r"""
+with recursive
+w as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[\x20\x09-\x0D]+') if x <> ''] ws from documents),
+g as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) = 1 then [ws]
+ else [list_slice(ws, i, i + 1) for i in range(1, len(ws))] end) sh from w),
+n as (select doc_id, count(*) n from g group by 1),
+pair as (select x.doc_id a, y.doc_id b, count(*) k from g x join g y on x.sh = y.sh and x.doc_id <> y.doc_id group by all),
+link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+walk as (select doc_id a, doc_id b from documents union select walk.a, link.b from walk join link on walk.b = link.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.m as component_id, d.doc_id = c.m as kept
+from documents d left join n using (doc_id) join (select a, min(b) m from walk group by 1) c on c.a = d.doc_id""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), words=2, percent=80)
