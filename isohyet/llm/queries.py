@@ -12,6 +12,7 @@ from isohyet.llm.exact_dedup import exact_duplicates
 from isohyet.llm.mixing import mix
 from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
+from isohyet.llm.quality_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,8 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, c.m as component_id, d.doc_id =
 from documents d left join n using (doc_id) join (select a, min(b) m from walk group by 1) c on c.a = d.doc_id""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), words=2, percent=80)
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(documents(spark, folder))
