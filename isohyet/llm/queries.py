@@ -12,7 +12,9 @@ from isohyet.llm.exact_dedup import exact_duplicates
 from isohyet.llm.mixing import mix
 from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
+from isohyet.llm.pii import pii_digest, pii_scan
 from isohyet.llm.quality_rules import quality_rules
+from isohyet.llm.secrets import secret_digest, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +74,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality_rules")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder))
+
+
+@query("op1_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digest(secret_scan(documents(spark, folder)))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digest(pii_scan(documents(spark, folder)))
