@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import collapsed, documents
 from isohyet.llm.exact_dedup import exact_duplicates
+from isohyet.llm.language_id import predict_languages
 from isohyet.llm.mixing import mix
 from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
 from isohyet.llm.pii import pii_digest, pii_scan
+from isohyet.llm.quality_gam import quality_scores
 from isohyet.llm.quality_rules import quality_rules
 from isohyet.llm.secrets import secret_digest, secret_scan
 
@@ -84,3 +86,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(pii_scan(documents(spark, folder)))
+
+
+def fold(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    labels = documents(spark, folder, "labels").filter(fold(5) != 0)
+    scored = quality_scores(documents(spark, folder), labels)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    predicted = predict_languages(docs, docs.filter(fold(3) != 1))
+    return predicted.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
