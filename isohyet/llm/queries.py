@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import collapsed, documents
 from isohyet.llm.exact_dedup import exact_duplicates
 from isohyet.llm.language_id import predict_languages
+from isohyet.llm.license_scan import license_scan
 from isohyet.llm.mixing import mix
 from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
@@ -105,3 +106,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     predicted = predict_languages(docs, docs.filter(fold(3) != 1))
     return predicted.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    # Documents have no paths: source, thousand of the id and id stand for directories and file name.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return license_scan(documents(spark, folder).withColumn("path", path), carry={"doc_id": F.col("doc_id")})
