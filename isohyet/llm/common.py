@@ -48,6 +48,11 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def hinted(stored: DataFrame, row_bytes: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """A stored table, to be broadcast if its rows, counted now, take at most `most_bytes`; else left to a shuffle."""
+    return F.broadcast(stored) if stored.count() * row_bytes <= most_bytes else stored
+
+
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
