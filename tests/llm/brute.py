@@ -1,0 +1,95 @@
+"""Plain versions of the operators, one text at a time."""
+
+import hashlib
+import re
+
+BLANK = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in BLANK.split(text or "") if w]
+
+
+def spans_digest(found, kinds):
+    found.sort()
+    joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found)
+    return [sum(k == i for _, k, _ in found) for i in range(len(kinds))] + [hashlib.sha256(joined.encode()).hexdigest()]
+
+
+def any_case(word):
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+KEYS = "|".join([*map(any_case, ("password", "passwd", "secret", "token")), any_case("api") + "_?" + any_case("key")])
+ASSIGN = re.compile(rf"""(?:{KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(text):
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return spans_digest(out, ["assign", "access", "hex"])
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def pii(text):
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for k, pattern, lo, hi in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if lo <= len(digits) <= hi and (k == 3 or luhn(digits)):
+                out.append((m.start(), k, m.end()))
+    return spans_digest(out, ["email", "ip", "card", "phone"])
+
+
+def quality(text):
+    t, ws = text or "", words(text)
+    places = {}
+    for i in range(len(ws) - 7):
+        places.setdefault(tuple(ws[i : i + 8]), []).append(i)
+    covered = {j for p in places.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if words(x)]
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def shingles(text, size):
+    ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not ws:
+        return set()
+    return {tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))}
+
+
+def components(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return {n: root(n) for n in nodes}
+
+
+def near(texts, size, percent=80):
+    sets = {i: shingles(t, size) for i, t in texts.items()}
+    ids = sorted(i for i, s in sets.items() if s)
+    links = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    return sets, components(texts, links)
