@@ -29,8 +29,10 @@ LEAST_VALUE = 6
 #: A candidate has so many characters, letters and digits, and this mean log-likelihood ratio a character.
 LEAST_RUN = 20
 LEAST_RATIO = 1.0
-#: Added to each pair's count: without samples, the random model is uniform and so is the ordinary one.
-PRIOR = 0.5
+#: Rows of a model lean on what they back off to like so many samples. Half of the random model's mass is uniform:
+#: the next secret may use another part of the alphabet.
+BACKOFF = 10.0
+UNIFORM_SHARE = 0.5
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,12 +58,25 @@ def pair_models(found: DataFrame) -> dict[str, dict[str, int]]:
 
 
 def ratio_table(models: dict[str, dict[str, int]]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for each pair of the alphabet, row by row."""
+    """log P(b | a, random) - log P(b | a, ordinary) for each pair of the alphabet, row by row.
+
+    Ordinary pairs back off to how often the second character occurs at all, random ones to uniform. Without
+    samples both are uniform and nothing is told apart.
+    """
     size, out = len(ALPHABET), []
+    even = 1.0 / size
+    seen = {b: 1.0 for b in ALPHABET}
+    for pair, n in models["ordinary"].items():
+        if pair[1] in seen:
+            seen[pair[1]] += n
+    total = sum(seen.values())
     for a in ALPHABET:
-        rows = {k: [m.get(a + b, 0) + PRIOR for b in ALPHABET] for k, m in models.items()}
-        sums = {k: sum(v) for k, v in rows.items()}
-        out += [round(math.log(rows["random"][i] / sums["random"] * sums["ordinary"] / rows["ordinary"][i]), 4) for i in range(size)]
+        sums = {k: sum(m.get(a + b, 0) for b in ALPHABET) + BACKOFF for k, m in models.items()}
+        for b in ALPHABET:
+            random = (models["random"].get(a + b, 0) + BACKOFF * even) / sums["random"]
+            random = UNIFORM_SHARE * even + (1 - UNIFORM_SHARE) * random
+            ordinary = (models["ordinary"].get(a + b, 0) + BACKOFF * seen[b] / total) / sums["ordinary"]
+            out.append(round(math.log(random / ordinary), 4))
     return out
 
 
