@@ -24,12 +24,25 @@ END_ID = 0
 #: Ranks of one length are counted in so many slices, so that a frequent length is no single window.
 SLICES = 1024
 #: Words whose ids one Python worker remembers; the store starts anew when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
+#: Python splits at these, the tokenizer does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def divided(text: str) -> list[str]:
+    """Words of a text. Where Python and the tokenizer agree for certain, also in lower case, as the tokenizer has them."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return BLANK.split(text)
+    return BLANK.split(text) if any(c in text for c in SEPARATORS) else text.lower().split()
+
+
 class WordIds:
     """Token ids of white-space-separated words as little-endian bytes.
 
@@ -67,7 +80,7 @@ class WordIds:
                 start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [BLANK.split(t) for t in texts]
+        split = [divided(t) for t in texts]
         missing = set().union(*split).difference(self.known)
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
