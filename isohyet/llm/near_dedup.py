@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import shingles as S
-from isohyet.llm.common import short_batches, store
+from isohyet.llm.common import hinted, short_batches, store
 from isohyet.llm.components import components
 
 ROWS = 5
@@ -114,7 +114,8 @@ def near_duplicates(
 
     met = stars.select(F.col("id").alias("rep")).union(stars.select("c")).distinct()
     met = store(classes.join(met, "rep"), "met")
-    sets = store(_sets(docs.withColumnRenamed("doc_id", "rep").join(met, "rep"), words), "sets")
+    # Few documents are candidates: while their ids are few, whole texts need no shuffle.
+    sets = store(_sets(docs.withColumnRenamed("doc_id", "rep").join(hinted(met, 24), "rep"), words), "sets")
     pairs = stars.join(sets, "id").withColumnRenamed("members", "mine")
     pairs = pairs.join(sets.select(F.col("id").alias("c"), F.col("members").alias("other")), "c")
     joint = F.size(F.array_intersect("mine", "other"))
@@ -146,4 +147,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, of which each group's smallest id stays; an id stays where all its texts do."""
     gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = hinted(store(gone, "near_gone"), 8)
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
