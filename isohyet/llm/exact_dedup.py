@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import collapsed, match, store
+from isohyet.llm.common import collapsed, hinted, match, store
 
 HEAD_CHARS = 256
 
@@ -50,5 +50,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of `docs`, all columns, of which the text's smallest id stays."""
     digest = F.sha2(collapsed(text_col), 256)
     gone = exact_duplicates(docs, id_col, text_col, carry={"__digest": digest}).filter("not kept")
-    gone = gone.select(F.col("doc_id").alias(id_col), "__digest").distinct()
+    gone = hinted(store(gone.select(F.col("doc_id").alias(id_col), "__digest").distinct(), "exact_gone"), 96)
     return match(docs.withColumn("__digest", digest), gone, [id_col, "__digest"], "left_anti").drop("__digest")

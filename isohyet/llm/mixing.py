@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import match, store, words
+from isohyet.llm.common import hinted, match, store, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -181,6 +181,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     keys = ["__id", "__source", "__size"]
     drawn = mix(docs, id_col, text_col, source_col, seed).select(*[F.col(c).alias(k) for c, k in zip(["doc_id", "source", "size"], keys, strict=True)], "copies")
     drawn = drawn.groupBy(*keys).agg(F.round(F.avg("copies")).cast("int").alias("__copies")).filter("__copies > 0")
+    drawn = hinted(store(drawn, "drawn"), 64)
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__size": F.size(words(text_col)).cast("long")})
     rows = match(rows, drawn, keys)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])

@@ -24,7 +24,7 @@ END_ID = 0
 #: Ranks of one length are counted in so many slices, so that a frequent length is no single window.
 SLICES = 1024
 #: Words whose ids one Python worker remembers; the store starts anew when full.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import body, match, store, words
+from isohyet.llm.common import body, hinted, match, store, words
 
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -117,6 +117,6 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.xxhash64(body(text_col))
     gone = quality_rules(docs, id_col, text_col, lang_col, source_col, carry={"__digest": digest, "__lang": F.col(lang_col), "__source": F.col(source_col)})
     keys = [id_col, "__digest", "__lang", "__source"]
-    gone = gone.filter("not kept").select(F.col("doc_id").alias(id_col), *keys[1:]).distinct()
+    gone = hinted(store(gone.filter("not kept").select(F.col("doc_id").alias(id_col), *keys[1:]).distinct(), "quality_gone"), 64)
     rows = docs.withColumns({"__digest": digest, "__lang": F.col(lang_col), "__source": F.col(source_col)})
     return match(rows, gone, keys, "left_anti").drop(*keys[1:])
