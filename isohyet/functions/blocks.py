@@ -20,11 +20,6 @@ BLOCK_ROWS = 8192
 FANOUT = 4096
 KEYS = ("region_id",)
 RADIX = 4
-# Sliding frames re-aggregate their rows, so only frames below this width use them.
-SHORT = 8
-# Relative rounding that one row adds to a running sum of squares, taken generously.
-SUM_ROUNDING = 5e-16
-REDUCERS = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "count": F.count}
 
 BLOCK, OWN = "_block", "_own"
 
@@ -120,11 +115,14 @@ class Blocked:
     ) -> "Blocked":
         """Add trailing frames, recursive means and lags; frames without a value give NULL.
 
-        Every window expression and every pass costs time per row, so requests share both:
+        Every window expression and every pass costs time per row, so requests share both. All frames are put
+        together from tables over 1, 4, 16, ... rows, each built from the one before by `lag`:
 
-        * means, sums, counts and deviations are differences of running totals (squares are taken around
-          a block-local centre; a variance below the rounding of those totals is 0);
-        * maxima use tables over 4, 16, 64, ... rows, each built from the one before by `lag`;
+        * counts are differences of running counts, which are whole numbers;
+        * sums add up disjoint pieces, so nothing is subtracted and far values cannot blur near ones;
+        * deviations aggregate their frame anew for each row (its update is Welford's), as squares taken out of
+          running totals would lose small deviations near large ones; frames of one extent share the pass;
+        * maxima cover the frame with pieces that may overlap;
         * a recursive mean y(t) = b*y(t-1) + a*x(t-1), a = 2/(span+1), seeded by the first value, is a
           weighted sum with weights a*b^k; it grows fourfold in the same passes until the weight left out
           is below 1e-15.  Gaps repeat the last known value (`ewm`: output name -> (source, span)).
@@ -132,23 +130,26 @@ class Blocked:
         The last pass takes each needed (column, offset) once; results are arithmetic on those.
         """
         ewm, lags = ewm or {}, lags or {}
-        direct = [r for r in rolls if r.width < SHORT]
-        long = [r for r in rolls if r.width >= SHORT]
 
-        def sources(*fns: str) -> list[str]:
-            return sorted({r.source for r in long if r.fn in fns})
+        def widest(*fns: str) -> dict[str, int]:
+            out: dict[str, int] = {}
+            for r in rolls:
+                if r.fn in fns:
+                    out[r.source] = max(out.get(r.source, 0), r.width)
+            return out
 
-        widest = {s: max(r.width for r in long if r.fn == "max" and r.source == s) for s in sources("max")}
+        peaks, sums = widest("max"), widest("mean", "sum")
         remembered = sorted({s for s, _ in ewm.values()})
-        whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
 
         # Pass 1: values every later step is based on.
-        first = {f"_c_{s}": F.first(s, ignorenulls=True).over(whole) for s in sources("std")}
-        first |= {f"_f_{s}": self.last_known(s) for s in remembered}
+        first = {f"_f_{s}": self.last_known(s) for s in remembered}
         first |= {f"_p_{s}": self.last_known(s, inclusive=False) for s in remembered}
+        first |= {f"_n_{s}": F.count(s).over(upto) for s in sorted({r.source for r in rolls if r.fn not in ("max", "std")})}
+        first |= {r.name: F.stddev_samp(r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in rolls if r.fn == "std"}
         self.add(first, temp=True)
-        start: dict[str, Column] = {f"_o_{s}": F.col(s) - F.col(f"_c_{s}") for s in sources("std")}
+        self.temps = [t for t in self.temps if t not in {r.name for r in rolls if r.fn == "std"}]
+        start: dict[str, Column] = {f"_s1_{s}": F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in sums}
         factor, depth = {}, {}
         for name, (s, span) in ewm.items():
             a = 2.0 / (span + 1.0)
@@ -157,24 +158,25 @@ class Blocked:
                 F.when(F.col(f"_f_{s}").isNull(), 0.0).when(F.col(f"_p_{s}").isNull(), F.col(f"_f_{s}")).otherwise(F.col(f"_f_{s}") * a))
         self.add(start, temp=True)
 
-        # Passes 2..n: running totals and one fourfold step of every table.
-        totals = {f"_n_{s}": F.count(s).over(upto) for s in sources("mean", "sum", "count", "std")}
-        totals |= {f"_s_{s}": F.sum(s).over(upto) for s in sources("mean", "sum")}
-        for s in sources("std"):
-            off = F.col(f"_o_{s}")
-            totals |= {f"_d_{s}": F.sum(off).over(upto), f"_q_{s}": F.sum(off * off).over(upto)}
-        maxima = {s: {1: s} for s in widest}
+        def zero(column: Column) -> Column:
+            return F.coalesce(column, F.lit(0.0))
+
+        # Passes 2..n: one fourfold step of every table.
+        maxima = {s: {1: s} for s in peaks}
         level, length = 0, 1
-        while totals or level < max(depth.values(), default=0) or any(length * RADIX <= w for w in widest.values()):
-            step, totals = dict(totals), {}
-            for s, w in widest.items():
+        while level < max(depth.values(), default=0) or any(length * RADIX <= w for w in [*peaks.values(), *sums.values()]):
+            step = {}
+            for s, w in peaks.items():
                 if length * RADIX <= w:
                     maxima[s][length * RADIX] = f"_m{length * RADIX}_{s}"
                     step[f"_m{length * RADIX}_{s}"] = F.greatest(*[self.lag(maxima[s][length], i * length) for i in range(RADIX)])
+            for s, w in sums.items():
+                if length * RADIX <= w:
+                    step[f"_s{length * RADIX}_{s}"] = sum((zero(self.lag(f"_s{length}_{s}", i * length)) for i in range(RADIX)), F.lit(0.0))
             for name in ewm:
                 if level < depth[name]:
                     step[f"_e{level + 1}_{name}"] = sum((
-                        F.coalesce(self.lag(f"_e{level}_{name}", i * length), F.lit(0.0)) * (factor[name] ** (i * length)) for i in range(1, RADIX)
+                        zero(self.lag(f"_e{level}_{name}", i * length)) * (factor[name] ** (i * length)) for i in range(1, RADIX)
                     ), F.col(f"_e{level}_{name}"))
             self.add(step, temp=True)
             level, length = level + 1, length * RADIX
@@ -187,33 +189,36 @@ class Blocked:
                 taken.setdefault(f"_l{k}_{source}", self.lag(source, k))
             return F.col(f"_l{k}_{source}" if k else source)
 
-        def between(prefix: str, r: Roll) -> Column:
-            newer, older = at(f"{prefix}{r.source}", r.lo), at(f"{prefix}{r.source}", r.hi + 1)
-            return F.coalesce(newer, F.lit(0)) - F.coalesce(older, F.lit(0))
+        def pieces(r: Roll) -> list[tuple[int, int]]:
+            """(size, offset) of disjoint pieces of a frame, the largest next to today."""
+            out, k, size = [], r.lo, RADIX ** 12
+            while k <= r.hi:
+                while size > r.hi - k + 1:
+                    size //= RADIX
+                out.append((size, k))
+                k += size
+            return out
 
         results: dict[str, Column] = {}
-        for r in long:
+        for r in rolls:
+            s = r.source
             if r.fn == "max":
-                size = max(k for k in maxima[r.source] if k <= r.width)
+                size = max(k for k in maxima[s] if k <= r.width)
                 starts = sorted({min(r.lo + i * size, r.hi - size + 1) for i in range(-(-r.width // size))})
-                pieces = [at(maxima[r.source][size], k) for k in starts]
-                results[r.name] = F.greatest(*pieces) if len(pieces) > 1 else pieces[0]
+                tops = [at(maxima[s][size], k) for k in starts]
+                results[r.name] = F.greatest(*tops) if len(tops) > 1 else tops[0]
                 continue
-            n = between("_n_", r)
+            if r.fn == "std":
+                continue
+            n = F.coalesce(at(f"_n_{s}", r.lo), F.lit(0)) - F.coalesce(at(f"_n_{s}", r.hi + 1), F.lit(0))
             if r.fn == "count":
                 results[r.name] = n
-            elif r.fn == "std":
-                d, q = between("_d_", r), between("_q_", r)
-                rounding = F.coalesce(at(f"_q_{r.source}", r.lo), F.lit(0.0)) * (SUM_ROUNDING * r.width)
-                var = q - d * d / n
-                results[r.name] = F.when(n > 1, F.when(var > rounding, F.sqrt(var / (n - 1))).otherwise(0.0))
-            else:
-                total = between("_s_", r)
-                results[r.name] = F.when(n > 0, total / n if r.fn == "mean" else total)
+                continue
+            total = sum((zero(at(f"_s{size}_{s}", k)) for size, k in pieces(r)), F.lit(0.0))
+            results[r.name] = F.when(n > 0, total / F.nullif(n, F.lit(0)) if r.fn == "mean" else total)
         results |= {n: at(s, k) for n, (s, k) in lags.items()}
         results |= {n: F.when(F.col(f"_p_{s}").isNotNull(), at(f"_e{depth[n]}_{n}", 1)) for n, (s, _) in ewm.items()}
-        self.add({r.name: REDUCERS[r.fn](r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in direct} | taken)
-        self.temps += taken
+        self.add(taken, temp=True)
         return self.add(results)
 
 

@@ -42,29 +42,34 @@ def origin_targets(panel: DataFrame, origins: Sequence[int] = DEFAULT_ORIGINS) -
         "region_id", label.alias("origin"), F.col("date").alias("origin_date"), F.col("day_idx").alias("origin_day_idx"), *TARGETS)
 
 
-def origin_band_join(panel: DataFrame, targets: DataFrame, condition: Column, block_rows: int | None = None) -> DataFrame:
-    """Rows of a region next to each of its origins that satisfy `condition` (on day_idx, origin_day_idx).
+def origin_band_join(panel: DataFrame, targets: DataFrame, youngest: int = 0, oldest: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """Rows of a region next to each of its origins that lie `youngest` to `oldest` days before it.
 
-    A region has few origins; they travel as one array per (region, block).
+    A region has few origins; they travel as one array per (region, block), and a row repeats only for those
+    it belongs to.
     """
     side = targets.groupBy("region_id").agg(
         F.collect_list(F.struct("origin", "origin_date", "origin_day_idx")).alias("_origins"))
     joined = spread(panel, side=side, block_rows=block_rows).done()
-    return joined.select(*panel.columns, F.explode("_origins").alias("_o")).select(*panel.columns, "_o.*").filter(condition)
+
+    def near(o: Column) -> Column:
+        age = o["origin_day_idx"] - F.col("day_idx")
+        return (age >= youngest) & (age <= oldest) if oldest is not None else age >= youngest
+
+    joined = joined.withColumn("_origins", F.filter("_origins", near)).filter(F.size("_origins") > 0)
+    return joined.select(*panel.columns, F.explode("_origins").alias("_o")).select(*panel.columns, "_o.*")
 
 
 def history_window(panel: DataFrame, targets: DataFrame, tail: int = HISTORY_DAYS, blind: int = GAP_DAYS) -> DataFrame:
     """The last `tail` days up to each origin, the newest `blind` of them flagged."""
     if tail < blind:
         raise ValueError("tail must cover the blind days")
-    age = F.col("origin_day_idx") - F.col("day_idx")
-    return origin_band_join(panel, targets, (age >= 0) & (age < tail)).withColumn("is_blind", age < blind)
+    return origin_band_join(panel, targets, 0, tail - 1).withColumn("is_blind", F.col("origin_day_idx") - F.col("day_idx") < blind)
 
 
 def blind_mask(panel: DataFrame, targets: DataFrame, blind: int = GAP_DAYS) -> DataFrame:
     """(origin, region, day) rows whose label is hidden."""
-    age = F.col("origin_day_idx") - F.col("day_idx")
-    return origin_band_join(panel.select("region_id", "date", "day_idx", "score"), targets, (age >= 0) & (age < blind))
+    return origin_band_join(panel.select("region_id", "date", "day_idx", "score"), targets, 0, blind - 1)
 
 
 def check_blind_start(targets: DataFrame, blind: int = GAP_DAYS) -> DataFrame:
@@ -79,13 +84,12 @@ def blind_origin(panel: DataFrame, targets: DataFrame, blind: int = GAP_DAYS, ta
 
 
 def pseudo_test_window(
-    panel: DataFrame, targets: DataFrame, options: FeatureOptions | None = None, blind: int = GAP_DAYS,
-    tail: int = HISTORY_DAYS, rows: DataFrame | None = None,
+    panel: DataFrame, targets: DataFrame, options: FeatureOptions | None = None, blind: int = GAP_DAYS, tail: int = HISTORY_DAYS,
 ) -> DataFrame:
     """Features of every origin row, built from masked history with statistics from before the blind days."""
-    masked = blind_origin(panel, targets, blind, tail) if rows is None else rows
+    masked = blind_origin(panel, targets, blind, tail)
     features = build_features(
-        masked.drop("is_blind", "origin_date"), masked.filter(~F.col("is_blind")), options or FeatureOptions(), keys=ORIGIN_KEYS)
+        masked.drop("is_blind", "origin_date"), masked.filter(~F.col("is_blind")), options or FeatureOptions(), keys=ORIGIN_KEYS, last_only=True)
     return features.filter(F.col("day_idx") == F.col("origin_day_idx"))
 
 
@@ -168,21 +172,19 @@ def diff_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
 
 
 def leakage_sentinel(panel: DataFrame, targets: DataFrame, options: FeatureOptions | None = None, poison: float = 999.0) -> DataFrame:
-    """Overwrite the hidden labels, rebuild the features and compare; every row must report no change.
+    """Overwrite the labels that an origin must not see, run the production path and compare; no row may change.
 
-    The poisoned labels stay in the panel that enters the masking step, so a feature or statistic that
-    reads past the mask shows up.
+    A day hidden from one origin is history for another, so every (origin, region) gets a history of its own, under
+    a name made of both. Masking, statistics and features are those of `pseudo_test_window`.
     """
     options = options or FeatureOptions(region_priors=True)
-    age = F.col("origin_day_idx") - F.col("day_idx")
-    hidden = (age >= 0) & (age < GAP_DAYS)
-    window = history_window(panel, targets)
-    poisoned = window.withColumn("score", F.when(hidden & F.col("score").isNotNull(), F.lit(poison)).otherwise(F.col("score")))
-
-    def features(rows: DataFrame) -> DataFrame:
-        masked = rows.withColumn("score", F.when(~F.col("is_blind"), F.col("score")))
-        return pseudo_test_window(panel, targets, options, rows=masked)
-
-    clean, dirty = features(window), features(poisoned)
+    name = F.concat_ws("|", "origin", "region_id")
+    own = origin_band_join(panel, targets, 0)
+    rows = own.withColumn("region_id", name).drop("origin", "origin_date", "origin_day_idx")
+    hidden = F.col("origin_day_idx") - F.col("day_idx") < GAP_DAYS
+    bad = own.withColumn("score", F.when(hidden & F.col("score").isNotNull(), F.lit(poison)).otherwise(F.col("score")))
+    bad = bad.withColumn("region_id", name).drop("origin", "origin_date", "origin_day_idx")
+    named = targets.withColumn("region_id", name)
+    clean, dirty = (pseudo_test_window(x, named, options) for x in (rows, bad))
     names = [c for c, t in clean.dtypes if t in ("double", "int", "bigint") and c not in ("day_idx", "origin_day_idx", "score")]
     return diff_by_key(clean, dirty, ORIGIN_KEYS, names)

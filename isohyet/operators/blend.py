@@ -7,8 +7,6 @@ aggregation, so the exploded rows never leave their task.
 
 from __future__ import annotations
 
-import itertools
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,43 +31,75 @@ def to_wide(long: DataFrame, keep: Sequence[str], value: str = "pred") -> DataFr
 
 
 def align_models(preds: DataFrame, targets: DataFrame, models: Sequence[str], keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
-    """Target keys with one prediction column per model; a gap raises when `strict`."""
+    """Target keys with one prediction column per model; absent and repeated predictions are NULL and raise when `strict`."""
     t = to_long(targets, [*KEYS, *keep], [f"target_w{h}" for h in range(1, HORIZONS + 1)], "target")
+    one = {m: F.col("model") == m for m in models}
     p = to_long(preds, [*KEYS, "model"]).groupBy(*KEYS, "horizon").agg(
-        *[F.max(F.when(F.col("model") == m, F.col("pred"))).alias(m) for m in models])
+        *[F.when(F.count_if(own) == 1, F.max(F.when(own, F.col("pred")))).alias(m) for m, own in one.items()])
     out = t.join(p, [*KEYS, "horizon"], "left")
     if strict:
         gaps = out.filter(" or ".join(f"`{m}` is null" for m in models)).limit(1).count()
         if gaps:
-            raise ValueError("some target keys have no prediction")
+            raise ValueError("some target keys have no prediction of a model, or more than one")
     return out
 
 
-def simplex_grid(n: int, step: float, caps: Sequence[float] | None = None) -> list[tuple[float, ...]]:
-    """Non-negative weights that sum to one, in lexicographic order, within the caps."""
-    units = round(1.0 / step)
-    if abs(units * step - 1.0) > 1e-9:
+def weight_grid(models: int, step: float, caps: Sequence[float] | None = None) -> Column:
+    """All ways to share one among `models` in parts of `step`, as an array of arrays in lexicographic order.
+
+    A generator expression: the first model may take nothing up to everything, the next one up to what is left,
+    and so on; the last one takes the rest. Shares above a model's cap are filtered out.
+    """
+    parts = round(1.0 / step)
+    if abs(parts * step - 1.0) > 1e-9:
         raise ValueError("step must divide 1 evenly")
-    limits = caps or [1.0] * n
-    heads = itertools.product(range(units + 1), repeat=n - 1)
-    full = ([*h, units - sum(h)] for h in heads if sum(h) <= units)
-    grid = [tuple(u / units for u in w) for w in full]
-    return [w for w in grid if all(x <= c + 1e-12 for x, c in zip(w, limits))]
 
+    def choices(taken: list[Column]) -> Column:
+        left = F.lit(parts)
+        for share in taken:
+            left = left - share
+        if len(taken) == models - 1:
+            return F.array(F.array(*taken, left))
+        return F.flatten(F.transform(F.sequence(F.lit(0), left), lambda share: choices([*taken, share])))
+
+    shares = F.transform(choices([]), lambda point: F.transform(point, lambda x: x / F.lit(parts)))
+    limits = [(k, cap) for k, cap in enumerate(caps or []) if cap < 1.0]
+
+    def within(point: Column) -> Column:
+        ok = F.lit(True)
+        for k, cap in limits:
+            ok = ok & (point[k] <= cap + 1e-12)
+        return ok
+
+    return F.filter(shares, within) if limits else shares
+
+
+def value_grid(*axes: tuple[float, float, float]) -> Column:
+    """Every combination of evenly spaced values, first axis outermost; an axis is (first, last, step)."""
+    def values(axis: tuple[float, float, float]) -> Column:
+        first, last, step = axis
+        return F.transform(F.sequence(F.lit(0), F.lit(round((last - first) / step))), lambda i: F.round(F.lit(first) + i * F.lit(step), 10))
+
+    def points(head: list[Column]) -> Column:
+        if len(head) == len(axes) - 1:
+            return F.transform(values(axes[-1]), lambda x: F.array(*head, x))
+        return F.flatten(F.transform(values(axes[len(head)]), lambda x: points([*head, x])))
 
-def _grid_column(grid: Sequence[Sequence[float]], names: Sequence[str]) -> Column:
-    """One row per grid point; the grid is a single constant of the plan, however many points it has."""
-    points = [{"grid_idx": i, **dict(zip(names, map(float, point)))} for i, point in enumerate(grid)]
-    fields = ", ".join(["grid_idx: int", *[f"`{n}`: double" for n in names]])
-    return F.explode(F.from_json(F.lit(json.dumps(points)), f"array<struct<{fields}>>"))
+    return points([])
 
 
-def error_table(aligned: DataFrame, models: Sequence[str], grid: Sequence[Sequence[float]], by: Sequence[str] = ("origin", "horizon")) -> DataFrame:
+def _spread(rows: DataFrame, keep: Sequence[str], grid: Column, names: Sequence[str]) -> DataFrame:
+    """One row per grid point, with its number and coordinates."""
+    points = rows.select(*keep, F.posexplode(grid).alias("grid_idx", "_g"))
+    return points.select(*keep, "grid_idx", *[F.col("_g")[i].alias(n) for i, n in enumerate(names)])
+
+
+def error_table(aligned: DataFrame, models: Sequence[str], grid: Column, by: Sequence[str] = ("origin", "horizon")) -> DataFrame:
     """Absolute error sums of every grid point: (by..., grid_idx, w_<model>..., sum_abs, n)."""
     weights = [f"w_{m}" for m in models]
-    rows = aligned.select(*by, *models, "target", _grid_column(grid, weights).alias("_g"))
-    blend = sum((F.col(f"_g.{w}") * F.col(m) for w, m in zip(weights, models)), F.lit(0.0))
-    return rows.select(*by, "_g.*", F.abs(blend - F.col("target")).alias("_e")).groupBy(*by, "grid_idx", *weights).agg(
+    rows = _spread(aligned, [*by, *models, "target"], grid, weights)
+    blend = sum((F.col(w) * F.col(m) for w, m in zip(weights, models)), F.lit(0.0))
+    return rows.select(*by, "grid_idx", *weights, F.abs(blend - F.col("target")).alias("_e")).groupBy(*by, "grid_idx", *weights).agg(
         F.sum("_e").alias("sum_abs"), F.count("_e").alias("n"))
 
 
@@ -91,24 +121,24 @@ def fit_weights(
 
 
 def search_two(aligned: DataFrame, models: Sequence[str], step: float, segment: Sequence[str] = ()) -> DataFrame:
-    units = round(1.0 / step)
-    grid = [(i / units, 1.0 - i / units) for i in range(units + 1)]
     by = [*segment, "horizon"]
-    return fit_weights(error_table(aligned, models, grid, by), models, by=by)
+    return fit_weights(error_table(aligned, models, weight_grid(2, step), by), models, by=by)
 
 
 def search_three(aligned: DataFrame, models: Sequence[str], step: float, segment: Sequence[str] = ()) -> DataFrame:
     by = [*segment, "horizon"]
-    return fit_weights(error_table(aligned, models, simplex_grid(3, step), by), models, by=by)
+    return fit_weights(error_table(aligned, models, weight_grid(3, step), by), models, by=by)
 
 
 def constrained_fit(
     aligned: DataFrame, models: Sequence[str], anchor: dict[str, float], caps: dict[str, float] | None = None,
     step: float = 0.02, lambda_reg: float = 0.05, segment: Sequence[str] = (),
 ) -> DataFrame:
-    grid = simplex_grid(len(models), step, [(caps or {}).get(m, 1.0) for m in models])
-    if not grid:
+    limits = [(caps or {}).get(m, 1.0) for m in models]
+    parts = round(1.0 / step)
+    if min(limits) < 0 or sum(min(parts, int(c * parts + 1e-9)) for c in limits) < parts:
         raise ValueError("no weights satisfy the caps")
+    grid = weight_grid(len(models), step, limits)
     by = [*segment, "horizon"]
     return fit_weights(error_table(aligned, models, grid, by), models, anchor, lambda_reg, by)
 
@@ -158,12 +188,31 @@ def check_weights(weights: dict[str, Sequence[float]]) -> None:
 
 
 def convex_blend(preds: DataFrame, weights: dict[str, Sequence[float]]) -> DataFrame:
-    """Weighted sum of models per horizon with weights that sum to one, clipped: (region_id, origin, horizon, pred)."""
+    """Weighted sum of models per horizon with weights that sum to one, clipped: (region_id, origin, horizon, pred).
+
+    A key that lacks a model, or has one twice, gets NULL: part of a blend is no blend.
+    """
     check_weights(weights)
     maps = F.create_map(*[x for m, ws in weights.items() for x in (F.lit(m), F.array(*[F.lit(float(w)) for w in ws]))])
     long = to_long(preds, [*KEYS, "model"]).filter(F.col("model").isin(list(weights)))
     weighted = F.element_at(F.try_element_at(maps, F.col("model")), F.col("horizon")) * F.col("pred")
-    return long.groupBy(*KEYS, "horizon").agg(clip(F.sum(weighted)).alias("pred"))
+    complete = F.lit(True)
+    for m in weights:
+        complete = complete & (F.count_if((F.col("model") == m) & F.col("pred").isNotNull()) == 1)
+    return long.groupBy(*KEYS, "horizon").agg(F.when(complete & (F.count(F.lit(1)) == len(weights)), clip(F.sum(weighted))).alias("pred"))
+
+
+def parse_weights(text: str, models: Sequence[str]) -> dict[str, list[float]]:
+    """Weights written as one value or five per model, in model order or by name: `0.5,0.3,0.2` or `a=0.4;b=0.1,0.2,0.3,0.4,0.5`."""
+    named = "=" in text
+    items = [part.strip() for part in text.split(";" if named or ";" in text else ",") if part.strip()]
+    pairs = [tuple(x.strip() for x in item.split("=", 1)) for item in items] if named else list(zip(models, items))
+    if sorted(m for m, _ in pairs) != sorted(models):
+        raise ValueError(f"weights must name each of {', '.join(models)} once")
+    out = {m: [float(x) for x in values.split(",")] for m, values in pairs}
+    if any(len(v) not in (1, HORIZONS) for v in out.values()):
+        raise ValueError(f"a model takes one weight or {HORIZONS}")
+    return {m: v * HORIZONS if len(v) == 1 else v for m, v in out.items()}
 
 
 def apply_weights(aligned: DataFrame, fitted: DataFrame, models: Sequence[str], by: Sequence[str] = ("horizon",)) -> DataFrame:
@@ -190,22 +239,13 @@ def affine_variants(preds: DataFrame, specs: dict[str, tuple[float, float]]) ->
     return rows.select("_s.spec", *KEYS, "model", "horizon", clip(F.col("pred") * F.col("_s.scale") + F.col("_s.bias")).alias("pred"))
 
 
-def grid_values(text: str) -> list[float]:
-    """`start:stop:step` with both ends, or a comma-separated list."""
-    if ":" not in text:
-        return [float(p) for p in text.split(",") if p.strip()]
-    start, stop, step = (float(p) for p in text.split(":"))
-    return [round(start + i * step, 10) for i in range(int((stop - start) / step + 0.5) + 1)]
-
-
-def fit_affine(long: DataFrame, scales: Sequence[float], biases: Sequence[float], lambda_reg: float = 0.02, by: Sequence[str] = ("horizon",)) -> DataFrame:
+def fit_affine(long: DataFrame, scales: tuple[float, float, float], biases: tuple[float, float, float], lambda_reg: float = 0.02, by: Sequence[str] = ("horizon",)) -> DataFrame:
     """Best clipped (scale, bias) per group: MAE + lambda*((scale-1)^2 + bias^2), with MAE before and after.
 
-    `long` has pred and target; rows without either are left out.
+    `long` has pred and target; rows without either are left out. Scales and biases are (first, last, step).
     """
-    grid = [(s, b) for s in scales for b in biases]
     usable = long.filter(F.col("pred").isNotNull() & F.col("target").isNotNull())
-    rows = usable.select(*by, "pred", "target", _grid_column(grid, ["scale", "bias"]).alias("_g")).select(*by, "pred", "target", "_g.*")
+    rows = _spread(usable, [*by, "pred", "target"], value_grid(scales, biases), ["scale", "bias"])
     moved = F.least(F.lit(LABEL_MAX), F.greatest(F.lit(LABEL_MIN), F.col("pred") * F.col("scale") + F.col("bias")))
     totals = rows.groupBy(*by, "grid_idx", "scale", "bias").agg(
         F.avg(F.abs(moved - F.col("target"))).alias("tuned_mae"), F.avg(F.abs(F.col("pred") - F.col("target"))).alias("baseline_mae"))
@@ -226,10 +266,10 @@ def inverse_mae_weights(maes: DataFrame, segment: Sequence[str] = ()) -> DataFra
     return joined.select(*maes.columns, (F.col("_raw") / F.col("_total")).alias("weight"))
 
 
-def _proxy_rows(maes: DataFrame, models: Sequence[str], grid: Sequence[Sequence[float]], segment: Sequence[str]) -> DataFrame:
+def _proxy_rows(maes: DataFrame, models: Sequence[str], grid: Column, segment: Sequence[str]) -> DataFrame:
     wide = maes.groupBy(*segment, "origin").agg(*[F.max(F.when(F.col("model") == m, F.col("mae"))).alias(m) for m in models])
     weights = [f"w_{m}" for m in models]
-    rows = wide.select(*segment, "origin", *models, _grid_column(grid, weights).alias("_g")).select(*segment, "origin", *models, "_g.*")
+    rows = _spread(wide, [*segment, "origin", *models], grid, weights)
     proxy = sum((F.col(m) * F.col(w) for m, w in zip(models, weights)), F.lit(0.0))
     return rows.withColumns({"proxy": proxy, "regret": proxy - F.least(*[F.col(m) for m in models])})
 
@@ -240,7 +280,7 @@ def _anchored(models: Sequence[str], anchor: dict[str, float]) -> Column:
 
 def minimax_weights(maes: DataFrame, models: Sequence[str], anchor: dict[str, float], caps: dict[str, float] | None = None, step: float = 0.05, lambda_anchor: float = 0.02, segment: Sequence[str] = ()) -> DataFrame:
     """Weights with the lowest worst + .25*mean + .10*std(pop) of per-origin MAEs + anchor penalty."""
-    grid, weights = simplex_grid(len(models), step, [(caps or {}).get(m, 1.0) for m in models]), [f"w_{m}" for m in models]
+    grid, weights = weight_grid(len(models), step, [(caps or {}).get(m, 1.0) for m in models]), [f"w_{m}" for m in models]
     totals = _proxy_rows(maes, models, grid, segment).groupBy(*segment, "grid_idx", *weights).agg(
         F.max("proxy").alias("worst"), F.avg("proxy").alias("mean"), F.stddev_pop("proxy").alias("std"))
     objective = F.col("worst") + 0.25 * F.col("mean") + 0.10 * F.col("std") + lambda_anchor * _anchored(models, anchor)
@@ -249,7 +289,7 @@ def minimax_weights(maes: DataFrame, models: Sequence[str], anchor: dict[str, fl
 
 def minimax_regret_weights(maes: DataFrame, models: Sequence[str], anchor: dict[str, float], caps: dict[str, float] | None = None, step: float = 0.05, lambda_anchor: float = 0.02, segment: Sequence[str] = ()) -> DataFrame:
     """Weights with the lowest max regret + .5*mean regret + .1*worst + anchor penalty."""
-    grid, weights = simplex_grid(len(models), step, [(caps or {}).get(m, 1.0) for m in models]), [f"w_{m}" for m in models]
+    grid, weights = weight_grid(len(models), step, [(caps or {}).get(m, 1.0) for m in models]), [f"w_{m}" for m in models]
     totals = _proxy_rows(maes, models, grid, segment).groupBy(*segment, "grid_idx", *weights).agg(
         F.max("regret").alias("max_regret"), F.avg("regret").alias("mean_regret"), F.max("proxy").alias("worst"))
     objective = F.col("max_regret") + 0.5 * F.col("mean_regret") + 0.1 * F.col("worst") + lambda_anchor * _anchored(models, anchor)
@@ -297,7 +337,9 @@ def proxy_summary(proxy: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
 
 
 def mean_abs_delta(left: DataFrame, right: DataFrame, keys: Sequence[str] = (*KEYS, "horizon")) -> DataFrame:
-    """Mean and largest absolute difference of two long prediction frames."""
-    both = left.select(*keys, F.col("pred").alias("_l")).join(right.select(*keys, F.col("pred").alias("_r")), list(keys))
+    """Mean and largest absolute difference of two long prediction frames, and the keys that only one of them has."""
+    a = left.select(*keys, F.col("pred").alias("_l"), F.lit(True).alias("_in_l"))
+    both = a.join(right.select(*keys, F.col("pred").alias("_r"), F.lit(True).alias("_in_r")), list(keys), "full")
     gap = F.abs(F.col("_l") - F.col("_r"))
-    return both.agg(F.avg(gap).alias("mean_abs_delta"), F.max(gap).alias("max_abs_delta"))
+    alone = F.col("_in_l").isNull() | F.col("_in_r").isNull()
+    return both.agg(F.avg(gap).alias("mean_abs_delta"), F.max(gap).alias("max_abs_delta"), F.count_if(alone).alias("unmatched_keys"))

@@ -1,7 +1,7 @@
 """Exact quantiles and cumulative counts of many columns without gathering a column in one task.
 
 Values are first collapsed to (group, value, counts) with map-side combine.  Running counts then use
-equal-width value buckets: totals per bucket, offsets over the few buckets, running sums inside one.
+ranges of values: totals per range, offsets over the few ranges, running sums inside one.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.session import materialize
 from isohyet.functions.numeric import finite_or_null
 
-BUCKETS = 4096
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -29,18 +29,23 @@ def value_counts(long: DataFrame, groups: Sequence[str], counts: dict[str, Colum
     return long.groupBy(*groups, value).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
-def cumulate(counts: DataFrame, groups: Sequence[str], names: Sequence[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
-    """Add `c_<n>` (rows with a value up to this one) and `t_<n>` (all rows) for every count column."""
+def cumulate(counts: DataFrame, groups: Sequence[str], names: Sequence[str], value: str = "value") -> DataFrame:
+    """Add `c_<n>` (rows with a value up to this one) and `t_<n>` (all rows) for every count column.
+
+    Rows are stored in ranges of (group, value) that Spark cuts by a sample, so an outlier cannot put the rest of
+    its group in one task. Ranges only place rows; totals per range give exact offsets.
+    """
     groups = list(groups)
-    span = counts.groupBy(*groups).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(n).alias(f"t_{n}") for n in names])
-    slot = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets)
-    placed = counts.join(span, groups).withColumn("_bucket", F.coalesce(slot.cast("int"), F.lit(0)))
-    totals = placed.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(offsets, [*groups, "_bucket"]).select(
+    ranged = counts.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id())
+    placed = materialize(ranged, "value_ranges")
+    # One row per group and range that holds it: about as many as ranges and groups together.
+    totals = placed.groupBy(*groups, "_range").agg(*[F.sum(n).alias(n) for n in names])
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *groups, "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names], *[F.sum(n).over(whole).alias(f"t_{n}") for n in names])
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(offsets, [*groups, "_range"]).select(
         *groups, value, *names, *[f"t_{n}" for n in names],
         *[(F.col(f"_b_{n}") + F.sum(n).over(inside)).alias(f"c_{n}") for n in names],
     )

@@ -19,26 +19,33 @@ PUBLIC_TOLERANCE = 0.0020
 CLOSE_TOLERANCE = 0.0005
 ANCHOR_DELTA_SCALE = 0.18
 COMPLEXITY = [("calendar", 0.0030), ("affine", 0.0015), ("stack", 0.0008)]
-BLOCKED_NAMES = r"restored_20260522_|restored_unverified_"
 UNKNOWN_METRIC = 999.0
 
 
 def validate_predictions(preds: DataFrame, template: DataFrame) -> DataFrame:
-    """One report row per model: rows, missing and extra keys, nulls, range, mean and mean deviation."""
+    """One report row per model: rows, missing, extra and repeated keys, nulls, range, mean and mean deviation.
+
+    Keys are counted once each: a repeated row cannot stand in for a missing key.
+    """
     keys = template.select("region_id").distinct()
     size = keys.count()
-    marked = preds.join(keys.withColumn("_known", F.lit(True)), "region_id", "left")
+    per_key = preds.groupBy("model", "region_id").agg(F.count(F.lit(1)).alias("_copies"))
+    marked = per_key.join(keys.withColumn("_known", F.lit(True)), "region_id", "left")
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    counted = marked.groupBy("model").agg(
+        F.count_if(known).alias("_matched"), F.count_if(~known).alias("extra_keys"), F.sum(F.col("_copies") - 1).alias("duplicate_rows"))
     nulls = sum((F.col(c).isNull().cast("int") for c in PREDS), F.lit(0))
-    report = marked.groupBy("model").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_known")).alias("_matched"), F.sum(nulls).alias("nulls"),
+    report = preds.groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(nulls).alias("nulls"),
         F.least(*[F.min(c) for c in PREDS]).alias("pred_min"), F.greatest(*[F.max(c) for c in PREDS]).alias("pred_max"),
         (sum((F.avg(c) for c in PREDS), F.lit(0.0)) / len(PREDS)).alias("pred_mean"),
         (sum((F.stddev_samp(c) for c in PREDS), F.lit(0.0)) / len(PREDS)).alias("pred_std_mean"))
-    missing, extra = F.lit(size) - F.col("_matched"), F.col("rows") - F.col("_matched")
+    missing = F.lit(size) - F.col("_matched")
     in_range = (F.col("pred_min") >= -RANGE_SLACK) & (F.col("pred_max") <= 5.0 + RANGE_SLACK)
-    return report.select(
-        "model", "rows", missing.alias("missing_keys"), extra.alias("extra_keys"), "nulls", "pred_min", "pred_max", "pred_mean", "pred_std_mean",
-        ((missing == 0) & (extra == 0) & (F.col("nulls") == 0) & in_range).alias("is_valid"))
+    whole = (missing == 0) & (F.col("extra_keys") == 0) & (F.col("duplicate_rows") == 0) & (F.col("nulls") == 0)
+    return report.join(counted, "model").select(
+        "model", "rows", missing.alias("missing_keys"), "extra_keys", "duplicate_rows", "nulls", "pred_min", "pred_max", "pred_mean", "pred_std_mean",
+        F.coalesce(whole & in_range, F.lit(False)).alias("is_valid"))
 
 
 def candidates_x_references(preds: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str]) -> DataFrame:
@@ -75,29 +82,24 @@ def nearest_reference(distances: DataFrame, scores: DataFrame, bad_from: float =
     return out.withColumn("risk_flag", flag)
 
 
-def global_position(df: DataFrame, first: str, order: Sequence[Column], name: str, buckets: int = 4096) -> DataFrame:
-    """1-based rank over the whole table: `first` must be the leading numeric sort key.
+def global_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based rank over the whole table by all sort keys.
 
-    Rows are cut into equal ranges of the leading key; counts per range give the offsets.
+    Spark cuts the rows into ranges by a sample of the keys, so equal or missing leading values are told apart by
+    the keys after them; the ranges are stored, and counts per range give the offsets.
     """
-    bounds = df.agg(F.min(first), F.max(first)).first()
-    low, high = bounds[0], bounds[1]
-    width = (high - low) / buckets if low is not None and high > low else 1.0
-    slot = F.least(F.lit(buckets - 1), F.floor((F.col(first) - F.lit(low or 0.0)) / width)).cast("int")
-    placed = df.withColumns({"_slot": F.coalesce(slot, F.lit(buckets)), "_all": F.lit(0)})
+    placed = materialize(df.repartitionByRange(*order).withColumn("_slot", F.spark_partition_id()), "ranges").withColumn("_all", F.lit(0))
     counts = placed.groupBy("_all", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     ends = running_state(counts, ["_all"], "_slot", sums=["_n"]).withColumnRenamed("_n", "_end")
-    # One row per range: at most buckets + 1.
+    # One row per range, as many as shuffle partitions.
     starts = ends.join(counts, ["_all", "_slot"]).select("_slot", (F.col("_end") - F.col("_n")).alias("_start"))
-    inner = Window.partitionBy("_slot").orderBy(F.col(first).asc_nulls_last(), *order)
+    inner = Window.partitionBy("_slot").orderBy(*order)
     return placed.join(F.broadcast(starts), "_slot").withColumn(name, (F.col("_start") + F.row_number().over(inner)).cast("int")).drop("_slot", "_all", "_start")
 
 
 def rank_candidates(candidates: DataFrame, metrics: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Rank by several metrics in order; a missing metric sorts last."""
-    filled = candidates.withColumns({f"_{m}": F.coalesce(F.col(m), F.lit(UNKNOWN_METRIC)) for m in metrics})
-    rest = [F.col(f"_{m}") for m in metrics[1:]] + [F.col(t) for t in ties]
-    return global_position(filled, f"_{metrics[0]}", rest, "rank").drop(*[f"_{m}" for m in metrics])
+    return global_position(candidates, [*[F.col(m).asc_nulls_last() for m in metrics], *[F.col(t).asc() for t in ties]], "rank")
 
 
 def risk_adjusted_rank(maes: DataFrame, manifest: DataFrame, raw: str, approved: int = 3) -> DataFrame:
@@ -119,7 +121,7 @@ def risk_adjusted_rank(maes: DataFrame, manifest: DataFrame, raw: str, approved:
         + F.greatest(F.lit(0), 4 - good) * 0.0015 + extra)
     # Ranking reads its input several times; a candidate table is small, so it is stored first.
     scored = materialize(per.withColumn("risk_adjusted_score", score).join(manifest, "model"), "risk_scores")
-    ranked = global_position(scored.withColumn("_key", F.round("risk_adjusted_score", 12)), "_key", [F.col("old_rank")], "risk_rank").drop("_key")
+    ranked = global_position(scored, [F.round("risk_adjusted_score", 12).asc_nulls_last(), F.col("old_rank").asc()], "risk_rank")
     status = F.when(F.col("risk_rank") <= approved, "approved_for_submission_order").otherwise(f"defer_after_top{approved}_risk_adjusted")
     return ranked.withColumn("status", status)
 
@@ -139,14 +141,14 @@ def guard_manifest(manifest: DataFrame, history: DataFrame) -> DataFrame:
     return rows.withColumns({"live_seen": seen, "decision": decision}).drop("_seen")
 
 
-def choose_slate(candidates: DataFrame, history: DataFrame, used_hashes: DataFrame, slots: int, today: str) -> DataFrame:
+def choose_slate(candidates: DataFrame, history: DataFrame, used_hashes: DataFrame, slots: int, today: str, blocked_names: str | None = None) -> DataFrame:
     """Fill the day's slots: the best reportable candidate, then public-only ones, then other reportables.
 
-    Seen names, used hashes and blocked names drop out first; submissions already made today take slots.
+    Seen names, used hashes and names that match `blocked_names` drop out first; submissions already made today take slots.
     """
     used = history.filter(F.col("submitted_at").startswith(today)).count()
     remaining = max(0, slots - used)
-    usable = candidates.filter(~F.col("file_name").rlike(BLOCKED_NAMES))
+    usable = candidates.filter(~F.col("file_name").rlike(blocked_names)) if blocked_names else candidates
     usable = usable.join(history.select("file_name").distinct(), "file_name", "left_anti")
     usable = usable.join(used_hashes.select("sha").distinct(), "sha", "left_anti")
     keyed = usable.withColumns({
@@ -165,20 +167,22 @@ def _known_delta() -> Column:
     return F.coalesce(F.nullif(F.col("delta_to_anchor"), F.lit(0.0)), F.lit(9.0))
 
 
-def robust_score(submitted: DataFrame) -> DataFrame:
-    """Gap to the best public score, tolerance flags, robust score and both rankings."""
+def score_gaps(submitted: DataFrame) -> DataFrame:
+    """Gap to the best public score, tolerance flags and robust score."""
     scored = submitted.filter(F.col("public_mae").isNotNull())
     best = scored.agg(F.min("public_mae")).first()[0]
     gap = F.col("public_mae") - F.lit(best)
-    delta = F.col("delta_to_anchor")
-    out = scored.withColumns({
+    return scored.withColumns({
         "public_gap": gap, "within_close": gap <= CLOSE_TOLERANCE + 1e-12, "within_tolerance": gap <= PUBLIC_TOLERANCE + 1e-12,
-        "robust_score": 0.55 * (gap / PUBLIC_TOLERANCE) + 0.45 * (delta / ANCHOR_DELTA_SCALE),
-        "_delta": _known_delta(),
+        "robust_score": 0.55 * (gap / PUBLIC_TOLERANCE) + 0.45 * (F.col("delta_to_anchor") / ANCHOR_DELTA_SCALE),
     })
-    out = global_position(out, "public_mae", [F.col("_delta"), F.col("path")], "public_rank")
-    return global_position(out, "robust_score", [F.col("path")], "robust_rank").drop("_delta").withColumn(
-        "robust_rank", F.when(F.col("robust_score").isNotNull(), F.col("robust_rank")))
+
+
+def robust_score(submitted: DataFrame) -> DataFrame:
+    """`score_gaps` with the public ranking and the robust one; without a robust score there is no robust rank."""
+    out = global_position(score_gaps(submitted), [F.col("public_mae").asc(), _known_delta().asc(), F.col("path").asc()], "public_rank")
+    out = global_position(out, [F.col("robust_score").asc_nulls_last(), F.col("path").asc()], "robust_rank")
+    return out.withColumn("robust_rank", F.when(F.col("robust_score").isNotNull(), F.col("robust_rank")))
 
 
 def select_pair(scored: DataFrame) -> DataFrame:

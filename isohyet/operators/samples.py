@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -58,12 +58,19 @@ def feature_ready_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def tail_per_region(df: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Last n daily rows per region (0 keeps all), by distance to the region's last position."""
-    if n <= 0:
-        return df
+    return _by_distance(df, lambda age: age < n, keys) if n > 0 else df
+
+
+def before_tail(df: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The rows that `tail_per_region` leaves out."""
+    return _by_distance(df, lambda age: age >= n, keys)
+
+
+def _by_distance(df: DataFrame, wanted: Callable[[Column], Column], keys: Sequence[str]) -> DataFrame:
     last = df.groupBy(*keys).agg(F.max("day_idx").alias("_last"))
     blocked = spread(df, keys=keys, side=last)
     blocked.temps.append("_last")
-    blocked.df = blocked.df.filter(F.col("day_idx") > F.col("_last") - n)
+    blocked.df = blocked.df.filter(wanted(F.col("_last") - F.col("day_idx")))
     return blocked.done()
 
 

@@ -9,8 +9,9 @@ from isohyet.operators import profiles, samples
 from isohyet.plans.feature_table import FeatureOptions
 from isohyet.queries.registry import KEYS, panel, query, rounded, sql_rounded, stored
 from isohyet.queries.samples import TARGETS, WEEKLY
+from isohyet.session import new_path
 from isohyet.sources import toys
-from isohyet.sources.panel import metric_rows
+from isohyet.sources.panel import metric_rows, read_metrics, write_metrics
 
 TARGET = WEEKLY + """,
 targets as (select region_id, concat('tail_minus_', cast(max_week_idx - week_idx as varchar), 'w') as origin, date as origin_date, day_idx as origin_day_idx,
@@ -51,8 +52,7 @@ HIST = TARGET + """, hist as (select p.region_id, p.day_idx, t.origin, p.score,
 
 @query("j08_origin_band_join", f"with {TARGET} select p.region_id, p.day_idx, t.origin from panel p join targets t on t.region_id = p.region_id and p.day_idx between t.origin_day_idx - 90 and t.origin_day_idx")
 def j08(spark, sf):
-    age = F.col("origin_day_idx") - F.col("day_idx")
-    return bt.origin_band_join(panel(spark, sf).select(*KEYS), targets(spark, sf), (age >= 0) & (age < 91)).select(*KEYS, "origin")
+    return bt.origin_band_join(panel(spark, sf).select(*KEYS), targets(spark, sf), 0, 90).select(*KEYS, "origin")
 
 
 @query("f05_history_window", f"with {HIST} select region_id, day_idx, origin, cast(is_blind as integer) as is_blind from hist")
@@ -152,28 +152,43 @@ def j06(spark, sf):
     return rounded(out, ["region_id", "origin", "model", "origin_month", "region_cluster", "target_w1"], ["pred_week1"])
 
 
-def _suite(source: str) -> str:
+def _suite(source: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
     parts = [f"select 'overall_mae' as metric, 'all' as key, avg(abs_error) as value from {source}"]
-    for name, col in (("mae_by_horizon", "horizon"), ("mae_by_origin", "origin"), ("mae_by_region_id", "region_id"), ("mae_by_origin_month", "origin_month")):
+    for name, col in (("mae_by_horizon", "horizon"), ("mae_by_origin", "origin"), ("mae_by_region_id", "region_id"), ("mae_by_origin_month", "origin_month"), *extra):
         parts.append(f"select '{name}', cast({col} as varchar), avg(abs_error) from {source} group by {col}")
     for name, cond in (("zero_score", "target = 0"), ("nonzero_score", "target > 0"), ("high_severity_ge3", "target >= 3")):
         parts.append(f"select 'target_segment_mae', '{name}', avg(abs_error) from {source} where {cond}")
     return " union all ".join(parts)
 
 
-@query("a10_mae_suite", f"with {LONG}, l as (select * from errors where model = 'xgb'), s as ({_suite('l')}) select metric, key, round(value + 1e-9, 6) as value from s where value is not null")
+# With the cluster stand-in of every region and with the model as further breakdowns.
+SUITE = LONG + """, pr as (select region_id, avg(score) as sm from panel group by 1),
+l as (select e.*, cast(least(4, floor(coalesce(sm, 0) / 5 * 5)) as integer) as region_cluster from errors e left join pr using (region_id)),
+s as (""" + _suite("l", (("mae_by_region_cluster", "region_cluster"), ("mae_by_model", "model"))) + ")"
+
+
+def suite(spark, sf):
+    rows = bt.join_predictions(predictions(spark, sf), targets(spark, sf), bt.coarse_segment(panel(spark, sf)))
+    return bt.mae_suite(rows, ("origin", "region_id", "origin_month", "region_cluster", "model"))
+
+
+@query("a10_mae_suite", f"with {SUITE} select metric, key, round(value + 1e-9, 6) as value from s where value is not null")
 def a10(spark, sf):
-    return rounded(bt.mae_suite(scored(spark, sf).filter("model = 'xgb'")), ["metric", "key"], ["value"])
+    return rounded(suite(spark, sf), ["metric", "key"], ["value"])
 
 
-@query("v13_evaluate_backtest", f"with {LONG}, s as ({_suite('errors')}) select 'toys' as run_id, metric, key, round(value + 1e-9, 6) as value from s where value is not null")
+@query("v13_evaluate_backtest", f"with {SUITE} select 'toys' as run_id, metric, key, round(value + 1e-9, 6) as value from s where value is not null")
 def v13(spark, sf):
-    return rounded(metric_rows(bt.mae_suite(scored(spark, sf)), "toys"), ["run_id", "metric", "key"], ["value"])
+    return rounded(metric_rows(suite(spark, sf), "toys"), ["run_id", "metric", "key"], ["value"])
 
 
-@query("s08_metric_rows", f"with {LONG}, s as ({_suite('errors')}) select 'run-1' as run_id, metric, key, round(value + 1e-9, 6) as value from s where metric = 'mae_by_horizon'")
+@query("s08_write_metrics", f"with {SUITE}, r(run_id) as (values ('run-1'), ('run-2')) select run_id, metric, key, round(value + 1e-9, 6) as value from s, r where value is not null")
 def s08(spark, sf):
-    return rounded(metric_rows(bt.mae_suite(scored(spark, sf)), "run-1").filter("metric = 'mae_by_horizon'"), ["run_id", "metric", "key"], ["value"])
+    """Two runs are written, one of them twice, and read back."""
+    rows, path = suite(spark, sf), new_path(spark, "metrics")
+    for run in ("run-1", "run-2", "run-1"):
+        write_metrics(metric_rows(rows, run), path)
+    return rounded(read_metrics(spark, path), ["run_id", "metric", "key"], ["value"])
 
 
 STATS = [f"{c}_{s}" for c in ("pred", "target") for s in ("mean", "std", "min", "max")]

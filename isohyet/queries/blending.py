@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.operators import blend, profiles
 from isohyet.operators.backtest import long_errors
 from isohyet.queries.backtest import LONG, PREDS, predictions, scored, targets
 from isohyet.queries.registry import panel, query, rounded, sql_rounded
-from isohyet.sources.predictions import align_to_template
+from isohyet.session import new_path
+from isohyet.sources.predictions import align_to_template, check_predictions, read_predictions, write_predictions
 
 MODELS = ["lgb", "xgb", "cat"]
+ORIGINS = ["tail_minus_5w", "tail_minus_13w", "tail_minus_26w"]
 KEYS = ["region_id", "origin", "horizon"]
 ANCHOR = {"lgb": 0.35, "xgb": 0.35, "cat": 0.30}
 CAPS = {"lgb": 0.6, "xgb": 1.0, "cat": 0.5}
@@ -38,47 +43,62 @@ def j07(spark, sf):
     return rounded(aligned(spark, sf), [*KEYS, "target"], MODELS)
 
 
-@query("s04_read_predictions", f"with {PREDS} select model, cast(count(*) as bigint) as rows, round(avg(pred) + 1e-9, 6) as pred_mean from preds group by 1")
+@query("s04_read_predictions", f"with {PREDS} select model, origin, cast(count(*) as bigint) as rows, round(avg(pred) + 1e-9, 6) as pred_mean from preds group by all")
 def s04(spark, sf):
-    """Three named tables stacked with their model name; file reading is covered by the tests."""
-    from isohyet.operators.blend import to_long
-
-    long_ = to_long(predictions(spark, sf), ["model", "region_id", "origin"])
-    return rounded(long_.filter("horizon = 1").groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.avg("pred").alias("pred_mean")), ["model", "rows"], ["pred_mean"])
-
-
-@query("j05_align_to_template", f"""with {PREDS}, t as (select distinct region_id from panel union all select 'R-new')
-select t.region_id, round(coalesce(p.pred, 0) + 1e-9, 6) as pred_week1 from t left join (select * from preds where model = 'xgb' and origin = 'tail_minus_5w') p using (region_id)""")
+    """One file per model and origin is written, then read back under its name and checked."""
+    preds, paths = predictions(spark, sf), {}
+    for m in MODELS:
+        for o in ORIGINS:
+            paths[f"{m}|{o}"] = new_path(spark, "predictions")
+            write_predictions(preds.filter((F.col("model") == m) & (F.col("origin") == o)), paths[f"{m}|{o}"])
+    read = check_predictions(read_predictions(spark, paths))
+    long_ = blend.to_long(read, ["model", "region_id"]).filter("horizon = 1")
+    named = long_.select(F.split("model", r"\|")[0].alias("model"), F.split("model", r"\|")[1].alias("origin"), "pred")
+    return rounded(named.groupBy("model", "origin").agg(F.count(F.lit(1)).alias("rows"), F.avg("pred").alias("pred_mean")), ["model", "origin", "rows"], ["pred_mean"])
+
+
+@query("j05_align_to_template", f"""with {PREDS}, t as (select distinct region_id from panel union all select 'R-new'), k as (select distinct model, origin from preds)
+select k.model, k.origin, t.region_id, round(coalesce(p.pred, 0) + 1e-9, 6) as pred_week1 from t cross join k left join preds p on p.region_id = t.region_id and p.model = k.model and p.origin = k.origin""")
 def j05(spark, sf):
-    rows = panel(spark, sf)
+    rows, preds, parts = panel(spark, sf), predictions(spark, sf), []
     template = rows.select("region_id").distinct().unionByName(spark.sql("select 'R-new' as region_id"))
-    one = predictions(spark, sf).filter("model = 'xgb' and origin = 'tail_minus_5w'").select("region_id", *blend.PREDS)
-    return rounded(align_to_template(template, one), ["region_id"], ["pred_week1"])
+    for m in MODELS:
+        for o in ORIGINS:
+            one = preds.filter((F.col("model") == m) & (F.col("origin") == o)).select("region_id", *blend.PREDS)
+            parts.append(align_to_template(template, one).withColumns({"model": F.lit(m), "origin": F.lit(o)}))
+    return rounded(reduce(DataFrame.unionByName, parts), ["model", "origin", "region_id"], ["pred_week1"])
 
 
 @query("s07_write_predictions", f"""with {PREDS}, t as (select distinct region_id from panel)
-select t.region_id, {", ".join(f"round(coalesce(least(5.0, greatest(0.0, p.pred)), 0) + 1e-9, 6) as pred_week{h}" for h in range(1, 6))}
-from t left join (select * from preds where model = 'lgb' and origin = 'tail_minus_13w') p using (region_id)""")
+select k.model, t.region_id, {", ".join(f"round(coalesce(least(5.0, greatest(0.0, p.pred)), 0) + 1e-9, 6) as pred_week{h}" for h in range(1, 6))}
+from t cross join (select distinct model from preds) k left join (select * from preds where origin = 'tail_minus_13w') p on p.region_id = t.region_id and p.model = k.model""")
 def s07(spark, sf):
-    """The rows that are written: aligned to the template and clipped."""
+    """Rows aligned to the template and clipped, written as CSV per model and read back."""
     from isohyet.functions.numeric import clip
 
-    one = predictions(spark, sf).filter("model = 'lgb' and origin = 'tail_minus_13w'").select("region_id", *[clip(F.col(c)).alias(c) for c in blend.PREDS])
-    return rounded(align_to_template(panel(spark, sf).select("region_id").distinct(), one), ["region_id"], blend.PREDS)
+    template, paths = panel(spark, sf).select("region_id").distinct(), {}
+    for m in MODELS:
+        one = predictions(spark, sf).filter((F.col("origin") == "tail_minus_13w") & (F.col("model") == m))
+        paths[m] = new_path(spark, "predictions")
+        write_predictions(align_to_template(template, one.select("region_id", *[clip(F.col(c)).alias(c) for c in blend.PREDS])), paths[m])
+    return rounded(read_predictions(spark, paths), ["model", "region_id"], blend.PREDS)
 
 
 @query("j11_cross_grid", f"with {WIDE}, {_grid(10)} select horizon, cast(g - 1 as integer) as grid_idx, cast(count(*) as bigint) as n, round(sum(abs(wl * lgb + wx * xgb + wc * cat - target)) + 1e-9, 5) as sum_abs from wide, grid group by 1, 2")
 def j11(spark, sf):
-    out = blend.error_table(aligned(spark, sf), MODELS, blend.simplex_grid(3, 0.1), ["horizon"])
+    out = blend.error_table(aligned(spark, sf), MODELS, blend.weight_grid(3, 0.1), ["horizon"])
     return rounded(out, ["horizon", "grid_idx", "n"], ["sum_abs"], 5)
 
 
 W = "0.5 * lgb + 0.3 * xgb + 0.2 * cat"
 
 
-@query("b01_convex_blend", f"with {WIDE} select region_id, origin, horizon, round(least(5.0, greatest(0.0, {W})) + 1e-9, 6) as pred from wide")
+@query("b01_convex_blend", f"""with {WIDE} select region_id, origin, horizon, case when region_id not in ('R1', 'R2') then round(least(5.0, greatest(0.0, {W})) + 1e-9, 6) end as pred from wide""")
 def b01(spark, sf):
-    return rounded(blend.convex_blend(predictions(spark, sf), {"lgb": [0.5] * 5, "xgb": [0.3] * 5, "cat": [0.2] * 5}), KEYS, ["pred"])
+    """One region lacks a model and one has a model twice: both are NULL."""
+    preds = predictions(spark, sf)
+    preds = preds.filter("not (model = 'cat' and region_id = 'R1')").unionByName(preds.filter("model = 'xgb' and region_id = 'R2'"))
+    return rounded(blend.convex_blend(preds, blend.parse_weights("lgb=0.5;xgb=0.3,0.3,0.3,0.3,0.3;cat=0.2", MODELS)), KEYS, ["pred"])
 
 
 @query("b02_search_two", f"""with {WIDE}, s as (select horizon, g, avg(abs(lgb * (g / 20.0) + xgb * (1 - g / 20.0) - target)) as mae from wide, range(0, 21) t(g) group by 1, 2)
@@ -115,7 +135,7 @@ f as (select *, mae + {PULL} as objective from d), b as (select * from f qualify
 l as (select horizon, 'lgb' as model, wl as w from b union all select horizon, 'xgb', wx from b union all select horizon, 'cat', wc from b)
 select horizon, model, round(avg(w) + 1e-9, 6) as mean, round(coalesce(stddev_samp(w), 0) + 1e-9, 6) as std, round(quantile_cont(w, 0.05) + 1e-9, 6) as p05, round(quantile_cont(w, 0.95) + 1e-9, 6) as p95 from l group by 1, 2""")
 def b05(spark, sf):
-    errors = blend.error_table(aligned(spark, sf), MODELS, blend.simplex_grid(3, 0.1))
+    errors = blend.error_table(aligned(spark, sf), MODELS, blend.weight_grid(3, 0.1))
     return rounded(blend.bootstrap_fit(errors, DRAWS, MODELS, ANCHOR), ["horizon", "model"], ["mean", "std", "p05", "p95"])
 
 
@@ -141,13 +161,13 @@ def b08(spark, sf):
 
 
 @query("b09_fit_affine", f"""with {LONG}, g as (select i * 19 + j as g, 0.75 + i * 0.025 as s, -0.30 + j * 0.025 as b from range(0, 15) t(i), range(0, 19) u(j)),
-e as (select horizon, g, s, b, avg(abs(least(5.0, greatest(0.0, pred * s + b)) - target)) as tuned_mae, avg(abs(pred - target)) as baseline_mae from long, g where model = 'xgb' group by all),
+e as (select model, horizon, g, s, b, avg(abs(least(5.0, greatest(0.0, pred * s + b)) - target)) as tuned_mae, avg(abs(pred - target)) as baseline_mae from long, g group by all),
 o as (select *, tuned_mae + 0.02 * ((s - 1) * (s - 1) + b * b) as objective from e)
-select horizon, round(s + 1e-9, 6) as scale, round(b + 1e-9, 6) as bias, round(baseline_mae + 1e-9, 6) as baseline_mae, round(tuned_mae + 1e-9, 6) as tuned_mae from o
-qualify row_number() over (partition by horizon order by round(objective, 9), g) = 1""")
+select model, horizon, round(s + 1e-9, 6) as scale, round(b + 1e-9, 6) as bias, round(baseline_mae + 1e-9, 6) as baseline_mae, round(tuned_mae + 1e-9, 6) as tuned_mae from o
+qualify row_number() over (partition by model, horizon order by round(objective, 9), g) = 1""")
 def b09(spark, sf):
-    out = blend.fit_affine(long(spark, sf).filter("model = 'xgb'"), blend.grid_values("0.75:1.10:0.025"), blend.grid_values("-0.30:0.15:0.025"))
-    return rounded(out, ["horizon"], ["scale", "bias", "baseline_mae", "tuned_mae"])
+    out = blend.fit_affine(long(spark, sf), (0.75, 1.10, 0.025), (-0.30, 0.15, 0.025), by=("model", "horizon"))
+    return rounded(out, ["model", "horizon"], ["scale", "bias", "baseline_mae", "tuned_mae"])
 
 
 MAES = LONG + ", maes as (select origin, model, avg(abs_error) as mae from errors group by 1, 2)"
@@ -197,10 +217,12 @@ def b14(spark, sf):
     return rounded(blend.proxy_summary(blend.origin_proxy(maes(spark, sf), ANCHOR)), [], ["mean", "std", "worst"])
 
 
-@query("b15_mean_abs_delta", f"with {WIDE} select round(avg(abs(lgb - xgb)) + 1e-9, 6) as mean_abs_delta, round(max(abs(lgb - xgb)) + 1e-9, 6) as max_abs_delta from wide")
+@query("b15_mean_abs_delta", f"""with {WIDE} select round(avg(abs(lgb - xgb)) filter (where region_id <> 'R1') + 1e-9, 6) as mean_abs_delta,
+ round(max(abs(lgb - xgb)) filter (where region_id <> 'R1') + 1e-9, 6) as max_abs_delta, cast(count(*) filter (where region_id = 'R1') as bigint) as unmatched_keys from wide""")
 def b15(spark, sf):
     rows = blend.to_long(predictions(spark, sf), ["region_id", "origin", "model"])
-    return rounded(blend.mean_abs_delta(rows.filter("model = 'lgb'"), rows.filter("model = 'xgb'")), [], ["mean_abs_delta", "max_abs_delta"])
+    out = blend.mean_abs_delta(rows.filter("model = 'lgb' and region_id <> 'R1'"), rows.filter("model = 'xgb'"))
+    return rounded(out, ["unmatched_keys"], ["mean_abs_delta", "max_abs_delta"])
 
 
 @query("a13_residual_correlation", f"""with {LONG}, r as (select region_id, origin, horizon, model, pred - target as r from long)

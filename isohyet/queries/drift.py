@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isohyet.fixed import DRIFT_DAILY, DRIFT_RAW, MEASURES
+from isohyet.fixed import DRIFT_COLUMNS, DRIFT_TREE_COLUMNS, HOT_FROM, MEASURES
 from isohyet.operators import adversarial, drift
 from isohyet.operators import features as ft
 from isohyet.queries.features import DAILY
-from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, trailing
+from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, stored, trailing
 from isohyet.sources.panel import union_splits
 
-COLUMNS = ["prec", "tmp", "tmp_range", "wind_max", "wind_range"]
+COLUMNS = MEASURES
 BASE = drift.SEASON_BASELINES
 
 
@@ -101,13 +101,21 @@ def d08(spark, sf):
     return row.select(F.explode(F.array(*[F.struct(F.lit(s).alias("baseline"), F.col(f"{s}_n").alias("rows"), F.col(f"{s}_s").alias("day_sum")) for s in sides])).alias("r")).select("r.*")
 
 
-TABLE_COLUMNS = [*DRIFT_RAW, *DRIFT_DAILY, "prec_sum_90d", "dry_share_90d", "rolling_drought_idx_90d"]
+TABLE_COLUMNS = DRIFT_COLUMNS
+DRY, HOT = "case when prec < 0.1 then 1.0 else 0.0 end", f"case when tmp_max >= {HOT_FROM} then 1.0 else 0.0 end"
 ROLLING = {
-    "prec_sum_90d": f"sum(prec) {trailing(90)}", "dry_share_90d": f"sum(case when prec < 0.1 then 1.0 else 0.0 end) {trailing(90)} / nullif(sum(1.0) {trailing(90)}, 0)",
+    **{f"prec_sum_{w}d": f"sum(prec) {trailing(w)}" for w in (30, 90, 180)}, **{f"dry_days_{w}d": f"sum({DRY}) {trailing(w)}" for w in (30, 90)},
+    "dry_share_90d": f"sum({DRY}) {trailing(90)} / nullif(sum(1.0) {trailing(90)}, 0)",
+    "rain_days_90d": f"sum(case when prec >= 1 then 1.0 else 0.0 end) {trailing(90)}", "hot_days_90d": f"sum({HOT}) {trailing(90)}",
+    "tmp_mean_90d": f"avg(tmp) {trailing(90)}", "humidity_mean_90d": f"avg(humidity) {trailing(90)}",
+    "dew_depression_mean_90d": f"avg(tmp - dp_tmp) {trailing(90)}", "wet_bulb_depression_mean_90d": f"avg(tmp - wb_tmp) {trailing(90)}",
+    "max_dry_streak_90d": f"coalesce(cast(max(streak) {trailing(90)} as double), 0)",
     "rolling_drought_idx_90d": f"avg(tmp) {trailing(90)} / nullif(sum(prec) {trailing(90)} + 0.1, 0)",
 }
+STREAKS = """(select *, day_idx - coalesce(max(case when not coalesce(prec < 0.1, false) then day_idx end) over (partition by region_id order by day_idx),
+ min(day_idx) over (partition by region_id) - 1) as streak from panel)"""
 EXTRA = {k: v for k, v in {**DAILY, **ROLLING}.items()}
-FULL = SEASONS + f""", extra as (select region_id, day_idx, {", ".join(f"{v} as {k}" for k, v in EXTRA.items())} from panel),
+FULL = SEASONS + f""", extra as (select region_id, day_idx, {", ".join(f"{v} as {k}" for k, v in EXTRA.items())} from {STREAKS}),
 rows_ as (select t.*, extra.* exclude (region_id, day_idx) from tagged t join extra using (region_id, day_idx))"""
 VALUES = ["train_mean", "test_mean", "mean_delta", "std_mean_delta", "train_p10", "train_p50", "train_p90", "test_p10", "test_p50", "test_p90", "psi", "ks"]
 TABLE_SQL = f"""with {_long(TABLE_COLUMNS, FULL)}, {metrics()},
@@ -117,10 +125,17 @@ tab as (select a.feature, a.baseline, cast(a.n as bigint) as train_non_null, cas
  from mom a join mom b on a.feature = b.feature and b.baseline = 'test' join psi_adaptive p on p.feature = a.feature and p.baseline = a.baseline join ks k on k.feature = a.feature and k.baseline = a.baseline where a.baseline <> 'test')"""
 
 
+def flagged_rows(spark, sf):
+    """Train and test days with every column of the comparison and the baselines they belong to."""
+    def build():
+        train, test = splits(spark, sf)
+        return drift.season_baselines(ft.shifted_context(train.drop("score"), test))
+
+    return stored(spark, sf, "drift_rows", build)
+
+
 def full_table(spark, sf):
-    train, test = splits(spark, sf)
-    rows = ft.shifted_context(train.drop("score"), test)
-    return drift.feature_drift_table(drift.season_baselines(rows), TABLE_COLUMNS, BASE)
+    return stored(spark, sf, "drift_table", lambda: drift.feature_drift_table(flagged_rows(spark, sf), TABLE_COLUMNS, BASE))
 
 
 @query("d09_feature_drift_table", f"{TABLE_SQL} select feature, baseline, train_non_null, test_non_null, {sql_rounded(VALUES, 5)} from tab")
@@ -133,8 +148,8 @@ def d09_avg(spark, sf):
     return rounded(drift.drift_averages(full_table(spark, sf)), ["baseline", "features"], ["avg_psi", "avg_ks"], 5)
 
 
-@query("l01_top_drift", f"""{TABLE_SQL} select feature, baseline, cast(row_number() over (partition by baseline order by psi desc nulls last, abs(std_mean_delta) desc nulls last, feature) as integer) as rank,
- round(psi + 1e-9, 5) as psi from tab qualify row_number() over (partition by baseline order by psi desc nulls last, abs(std_mean_delta) desc nulls last, feature) <= 5""")
+@query("l01_top_drift", f"""{TABLE_SQL} select feature, baseline, cast(row_number() over (partition by baseline order by round(psi, 9) desc nulls last, round(abs(std_mean_delta), 9) desc nulls last, feature) as integer) as rank,
+ round(psi + 1e-9, 5) as psi from tab qualify row_number() over (partition by baseline order by round(psi, 9) desc nulls last, round(abs(std_mean_delta), 9) desc nulls last, feature) <= 5""")
 def l01(spark, sf):
     return rounded(drift.top_drift(full_table(spark, sf), 5), ["feature", "baseline", "rank"], ["psi"], 5)
 
@@ -152,9 +167,12 @@ def d10(spark, sf):
     return rounded(drift.tail_sweep(both(spark, sf), [1095, 1825, 0]), ["baseline"], ["avg_psi", "avg_ks", "avg_q_wasserstein"], 5)
 
 
-@query("d11_bounded_sample")
+@query("d11_bounded_sample", f"""with {SPLIT}, r as (select region_id, day_idx, prec, 'train' as split from train union all select region_id, day_idx, prec, 'test' from test)
+select region_id, day_idx, split, round(prec + 1e-9, 6) as prec from r
+qualify row_number() over (partition by split order by md5(concat_ws('|', region_id, cast(day_idx as varchar), '42')), region_id, day_idx) <= 900""")
 def d11(spark, sf):
-    return drift.bounded_sample(panel(spark, sf).select(*KEYS, "prec"), 5000, 42, KEYS)
+    rows = both(spark, sf).select(*KEYS, "split", "prec")
+    return rounded(drift.bounded_sample(rows, 900, 42, KEYS, side="split"), [*KEYS, "split"], ["prec"])
 
 
 HIST = SPLIT + """, r as (select *, 'train' as split from train union all by name select *, 'test' as split from test), f as (select split, prec as value, 'prec' as feature from r
@@ -183,19 +201,16 @@ def d12_centre(spark, sf):
     return rounded(drift.centre_table(both(spark, sf), ["prec", "tmp"]), ["feature", "split", "rows"], ["mean", "median"])
 
 
-AUC_COLUMNS = ["prec", "humidity", "tmp", "dp_tmp", "tmp_max", "tmp_range", "wind"]
-
-
 @query("d05_adversarial_auc")
 def d05(spark, sf):
-    return adversarial.adversarial_auc(both(spark, sf), AUC_COLUMNS)
+    return adversarial.adversarial_auc(both(spark, sf), MEASURES)
 
 
 @query("d06_adversarial_auc_context")
 def d06(spark, sf):
-    return adversarial.adversarial_auc_context(both(spark, sf), AUC_COLUMNS)
+    return adversarial.adversarial_auc_context(both(spark, sf), MEASURES)
 
 
 @query("d07_adversarial_auc_tree")
 def d07(spark, sf):
-    return adversarial.adversarial_auc_tree(both(spark, sf), AUC_COLUMNS)
+    return adversarial.adversarial_auc_trees(flagged_rows(spark, sf), DRIFT_TREE_COLUMNS, BASE)

@@ -13,13 +13,22 @@ from isohyet.sources.derived import read_table
 REPORT = ["pred_min", "pred_max", "pred_mean", "pred_std_mean"]
 
 
-@query("r01_validate_predictions", f"""with {PREDS}, o as (select * from preds where origin = 'tail_minus_5w' and not (model = 'cat' and region_id = 'R1')), n as (select count(distinct region_id) as n from panel),
-g as (select model, count(*) as rows, count(*) - count(pred) as nulls, min(pred) as pred_min, max(pred) as pred_max, avg(pred) as pred_mean, stddev_samp(pred) as pred_std_mean from o group by 1)
-select model, cast(rows as bigint) as rows, cast(n - rows as bigint) as missing_keys, cast(0 as bigint) as extra_keys, cast(nulls * 5 as bigint) as nulls, cast(n = rows and nulls = 0 as integer) as is_valid, {sql_rounded(REPORT)} from g, n""")
+@query("r01_validate_predictions", f"""with {PREDS}, k as (select model, region_id, origin, pred from preds where not (model = 'cat' and region_id = 'R1')
+ union all select model, region_id, origin, pred from preds where model = 'xgb' and region_id = 'R2' union all select model, 'R-extra', origin, pred from preds where model = 'lgb' and region_id = 'R3'),
+n as (select count(distinct region_id) as n from panel), t as (select distinct region_id, true as known from panel),
+c as (select origin, model, region_id, count(*) as copies from k group by all),
+d as (select origin, model, count(known) as matched, count(*) - count(known) as extra, sum(copies - 1) as dup from c left join t using (region_id) group by all),
+g as (select origin, model, count(*) as rows, count(*) - count(pred) as nulls, min(pred) as pred_min, max(pred) as pred_max, avg(pred) as pred_mean, stddev_samp(pred) as pred_std_mean from k group by all)
+select concat(model, '|', origin) as model, cast(rows as bigint) as rows, cast(n - matched as bigint) as missing_keys, cast(extra as bigint) as extra_keys, cast(dup as bigint) as duplicate_rows, cast(nulls * 5 as bigint) as nulls,
+ cast(n = matched and extra = 0 and dup = 0 and nulls = 0 as integer) as is_valid, {sql_rounded(REPORT)} from g join d using (origin, model), n""")
 def r01(spark, sf):
-    preds = predictions(spark, sf).filter("origin = 'tail_minus_5w' and not (model = 'cat' and region_id = 'R1')")
+    """Every model and origin; one lacks a key, one repeats a key, one has a foreign key."""
+    preds = predictions(spark, sf)
+    again, extra = preds.filter("model = 'xgb' and region_id = 'R2'"), preds.filter("model = 'lgb' and region_id = 'R3'").withColumn("region_id", F.lit("R-extra"))
+    preds = preds.filter("not (model = 'cat' and region_id = 'R1')").unionByName(again).unionByName(extra)
+    preds = preds.withColumn("model", F.concat_ws("|", "model", "origin"))
     out = ranking.validate_predictions(preds, panel(spark, sf)).withColumn("is_valid", F.col("is_valid").cast("int"))
-    return rounded(out, ["model", "rows", "missing_keys", "extra_keys", "nulls", "is_valid"], REPORT)
+    return rounded(out, ["model", "rows", "missing_keys", "extra_keys", "duplicate_rows", "nulls", "is_valid"], REPORT)
 
 
 PAIRS = [(a, b) for a in MODELS for b in MODELS if a < b]
@@ -74,10 +83,10 @@ def r04(spark, sf):
 
 
 CANDIDATES = """
-manifest as (select p_partkey as rank, p_name as name, concat('out/part_', cast(p_partkey as varchar), '.csv') as path,
+manifest as (select p_partkey as rank, p_name as name, concat('out/part_', cast(p_partkey as varchar), '_', cast(p_size % 101 as varchar), '.csv') as path,
  case p_size % 5 when 0 then 'approved_for_submission_order' when 1 then 'blocked_public' when 2 then 'defer_later' when 3 then null else 'draft' end as status,
  case when p_size % 7 = 0 then 'do_not_submit' else 'open' end as slot_policy from part),
-history as (select concat('part_', cast(l_partkey as varchar), '.csv') as file_name, cast(strftime(l_shipdate, '%Y-%m-%d') as varchar) as submitted_at, l_discount as public_score from lineitem where l_suppkey % 7 = 0)"""
+history as (select concat('part_', cast(l_partkey as varchar), '_', cast(l_suppkey % 101 as varchar), '.csv') as file_name, cast(strftime(l_shipdate, '%Y-%m-%d') as varchar) as submitted_at, l_discount as public_score from lineitem)"""
 
 
 def manifest(spark, sf):
@@ -85,14 +94,14 @@ def manifest(spark, sf):
     status = (F.when(c("p_size") % 5 == 0, "approved_for_submission_order").when(c("p_size") % 5 == 1, "blocked_public")
               .when(c("p_size") % 5 == 2, "defer_later").when(c("p_size") % 5 == 4, "draft"))
     return read_table(spark, sf, "part").select(
-        c("p_partkey").alias("rank"), c("p_name").alias("name"), F.concat(F.lit("out/part_"), c("p_partkey").cast("string"), F.lit(".csv")).alias("path"),
+        c("p_partkey").alias("rank"), c("p_name").alias("name"), F.concat(F.lit("out/part_"), c("p_partkey").cast("string"), F.lit("_"), (c("p_size") % 101).cast("string"), F.lit(".csv")).alias("path"),
         status.alias("status"), F.when(c("p_size") % 7 == 0, "do_not_submit").otherwise("open").alias("slot_policy"))
 
 
 def history(spark, sf):
     c = F.col
-    return read_table(spark, sf, "lineitem").filter(c("l_suppkey") % 7 == 0).select(
-        F.concat(F.lit("part_"), c("l_partkey").cast("string"), F.lit(".csv")).alias("file_name"),
+    return read_table(spark, sf, "lineitem").select(
+        F.concat(F.lit("part_"), c("l_partkey").cast("string"), F.lit("_"), (c("l_suppkey") % 101).cast("string"), F.lit(".csv")).alias("file_name"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("submitted_at"), c("l_discount").alias("public_score"))
 
 
@@ -106,7 +115,7 @@ def r05(spark, sf):
 
 
 SLATE = """
-cand as (select p_partkey as id, concat('c', cast(p_partkey as varchar)) as name, concat(case when p_size % 11 = 0 then 'restored_unverified_' else '' end, 'part_', cast(p_partkey as varchar), '.csv') as file_name,
+cand as (select p_partkey as id, concat('c', cast(p_partkey as varchar)) as name, concat(case when p_size % 11 = 0 then 'restored_unverified_' else '' end, 'part_', cast(p_partkey as varchar), '_', cast(p_size % 101 as varchar), '.csv') as file_name,
  concat('h', cast(p_partkey % 1500 as varchar)) as sha, case when p_size % 3 > 0 then p_retailprice / 1000 end as blind_mae, case when p_size % 4 > 0 then p_retailprice / 1500 end as rolling_mae,
  p_size as priority, p_size % 2 = 0 as reportable from part)"""
 
@@ -115,7 +124,7 @@ def slate_candidates(spark, sf):
     c, key = F.col, F.col("p_partkey").cast("string")
     return read_table(spark, sf, "part").select(
         c("p_partkey").alias("id"), F.concat(F.lit("c"), key).alias("name"),
-        F.concat(F.when(c("p_size") % 11 == 0, "restored_unverified_").otherwise(""), F.lit("part_"), key, F.lit(".csv")).alias("file_name"),
+        F.concat(F.when(c("p_size") % 11 == 0, "restored_unverified_").otherwise(""), F.lit("part_"), key, F.lit("_"), (c("p_size") % 101).cast("string"), F.lit(".csv")).alias("file_name"),
         F.concat(F.lit("h"), (c("p_partkey") % 1500).cast("string")).alias("sha"),
         F.when(c("p_size") % 3 > 0, c("p_retailprice") / 1000).alias("blind_mae"), F.when(c("p_size") % 4 > 0, c("p_retailprice") / 1500).alias("rolling_mae"),
         c("p_size").alias("priority"), (c("p_size") % 2 == 0).alias("reportable"))
@@ -129,7 +138,7 @@ s as (select *, row_number() over (order by grp, o) as slot from f)
 select id, name, cast(slot as integer) as slot from s, used where slot <= greatest(0, 40 - n)""")
 def r06(spark, sf):
     used = read_table(spark, sf, "supplier").select(F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("sha"))
-    return ranking.choose_slate(slate_candidates(spark, sf), history(spark, sf), used, 40, "1998-03-04").select("id", "name", "slot")
+    return ranking.choose_slate(slate_candidates(spark, sf), history(spark, sf), used, 40, "1998-03-04", "restored_unverified_").select("id", "name", "slot")
 
 
 @query("l03_rank_candidates", f"""with {SLATE} select id, cast(row_number() over (order by coalesce(blind_mae, 999), coalesce(rolling_mae, 999), priority, name) as integer) as rank from cand""")
@@ -167,4 +176,4 @@ select (select path from b) as public_best,
  (select path from scored, n where ledger = l and within_close and path <> (select path from b) order by public_mae, d, path limit 1) as alternate,
  (select path from scored where within_tolerance order by d, public_mae, path limit 1) as fallback""")
 def r08(spark, sf):
-    return ranking.select_pair(ranking.robust_score(submitted(spark, sf)))
+    return ranking.select_pair(ranking.score_gaps(submitted(spark, sf)))

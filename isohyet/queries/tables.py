@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isohyet.fixed import CLIMATE_COLUMNS, MEASURES, MONTH_STARTS
+from isohyet.fixed import CLIMATE_COLUMNS, MEASURES, MONTH_STARTS, PROFILES, STREAK_WINDOWS
 from isohyet.functions import dates
 from isohyet.functions.numeric import clip, coerce_types, finite_or_null, r6
 from isohyet.operators import features as ft
 from isohyet.operators import priors, profiles, samples
 from isohyet.operators.quantiles import column_medians
+from isohyet.plans.lifecycle import inference_rows
 from isohyet.plans.feature_table import FeatureOptions, build_features, drop_groups
 from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, trailing
+from isohyet.session import new_path
 from isohyet.sources import ledgers
 from isohyet.sources.derived import read_table
 from isohyet.sources.panel import read_panel, sample_panel, union_splits
@@ -81,16 +83,16 @@ def s05_board(spark, sf):
 select path, ref, ledger, round(public_mae + 1e-9, 6) as public_mae, round(delta_to_anchor + 1e-9, 6) as delta_to_anchor, label from items
 qualify row_number() over (partition by path, ref order by ledger desc, n, public_mae, delta_to_anchor) = 1""")
 def s06(spark, sf):
-    # One JSON document per order, holding its line items; documents parse back through the ledger schema.
+    # One JSON document per order, holding its line items; the documents are written and read back as ledgers.
     items, orders, c = read_table(spark, sf, "lineitem"), read_table(spark, sf, "orders"), F.col
     entry = F.struct(c("l_linenumber").alias("n"), c("l_extendedprice").alias("public_mae"), c("l_quantity").alias("delta_to_anchor"),
                      F.concat(F.lit("part_"), c("l_partkey").cast("string")).alias("path"), (c("l_suppkey") % 10).alias("ref"), c("l_returnflag").alias("label"))
     docs = items.join(orders, c("l_orderkey") == c("o_orderkey")).groupBy(
         F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), c("o_orderkey").cast("string")).alias("ledger")
     ).agg(F.sort_array(F.collect_list(entry)).alias("items"))
-    text = docs.select(F.to_json(F.struct("ledger", "items")).alias("doc"))
-    parsed = text.select(F.from_json("doc", ledgers.LEDGER_SCHEMA).alias("d")).select("d.*")
-    return rounded(ledgers.flatten_ledgers(parsed), ["path", "ref", "ledger", "label"], ["public_mae", "delta_to_anchor"])
+    path = new_path(spark, "ledgers")
+    docs.select("ledger", "items").write.json(path)
+    return rounded(ledgers.flatten_ledgers(ledgers.read_ledgers(spark, path, one_per_file=False)), ["path", "ref", "ledger", "label"], ["public_mae", "delta_to_anchor"])
 
 
 # -- scalar functions ------------------------------------------------------------------------------
@@ -413,10 +415,17 @@ BUILD_PANEL = {
 BUILD_JOINED = ["prec_clim_mean", "prec_anom", "region_score_mean", "region_score_mean_recent_365d", "region_month_score_mean_smooth"]
 
 
-@query("feat_build_micro", f"""with {SPLIT},
+STREAK = {"consecutive_dry_days": "coalesce(cast(lag(streak, 1) over (partition by region_id order by day_idx) as double), 0)"}
+STREAK |= {f"cdd_rolling{w}": f"coalesce(cast(max(streak) {trailing(w)} as double), 0)" for w in STREAK_WINDOWS}
+
+
+def _build_sql(columns: dict[str, str]) -> str:
+    """Features of the last day over the whole history; labels and statistics come from train."""
+    return f"""with {SPLIT},
 full_ as (select d.* exclude (score), t.score from dated d left join train t using (region_id, day_idx)),
-known as (select *, last_value(score ignore nulls) over (partition by region_id order by day_idx) as ks from full_),
-o as (select region_id, day_idx, month, prec, {", ".join(f"{v} as {k}" for k, v in BUILD_PANEL.items())} from known),
+known as (select *, last_value(score ignore nulls) over (partition by region_id order by day_idx) as ks,
+ day_idx - coalesce(max(case when not coalesce(prec < 0.1, false) then day_idx end) over (partition by region_id order by day_idx), min(day_idx) over (partition by region_id) - 1) as streak from full_),
+o as (select region_id, day_idx, month, prec, {", ".join(f"{v} as {k}" for k, v in columns.items())} from known),
 clim as (select region_id, month, avg(prec) prec_clim_mean, stddev_samp(prec) prec_clim_std from train group by 1, 2),
 labels_ as (select *, max(day_idx) over (partition by region_id) last_idx from train where score is not null),
 rp as (select region_id, avg(score) region_score_mean, avg(score) filter (where day_idx >= last_idx - 364) region_score_mean_recent_365d from labels_ group by 1),
@@ -424,10 +433,52 @@ gm as (select month, avg(score) g from labels_ group by 1),
 mp as (select region_id, month, (sum(score) + any_value(g) * 12.0) / (count(*) + 12.0) region_month_score_mean_smooth from labels_ join gm using (month) group by 1, 2),
 final as (select *, (prec - prec_clim_mean) / nullif(prec_clim_std, 0) prec_anom from o left join clim using (region_id, month)
  left join rp using (region_id) left join mp using (region_id, month) where day_idx = (select max(day_idx) from panel))
-select region_id, day_idx, {sql_rounded([*BUILD_PANEL, *BUILD_JOINED], 5)} from final""")
+select region_id, day_idx, {sql_rounded([*columns, *BUILD_JOINED], 5)} from final"""
+
+
+@query("feat_build_micro", _build_sql(BUILD_PANEL))
 def feat_build(spark, sf):
     """Train and test in one panel, statistics from train, all micro features, last row per region."""
     train, test = splits(spark, sf)
     both = union_splits(train, test).drop("split")
     wide = build_features(both, train, FeatureOptions(region_priors=True), last_only=True)
     return rounded(wide, KEYS, [*BUILD_PANEL, *BUILD_JOINED], 5)
+
+
+def _profile_columns(name: str) -> dict[str, str]:
+    """Columns of every family and window of a profile."""
+    p, lag = PROFILES[name], "lag({}, {}) over (partition by region_id order by day_idx)"
+    out = {f"prec_lag{k}": lag.format("prec", k) for k in p["lags"]} | dict(STREAK)
+    for w in p["rolls"]:
+        out |= {f"tmp_rmean{w}": f"avg(tmp) {trailing(w)}", f"prec_rstd{w}": f"stddev_samp(prec) {trailing(w)}"}
+    for w in p["domain"]:
+        out[f"drought_idx_r{w}"] = f"avg(tmp) {trailing(w)} / (avg(prec) {trailing(w)} + 0.01)"
+    for w in p["long"]:
+        out |= {f"prec_sum{w}": f"sum(prec) {trailing(w)}", f"tmp_mean_long{w}": f"avg(tmp) {trailing(w)}", f"long_drought_idx{w}": f"avg(tmp) {trailing(w)} / (sum(prec) {trailing(w)} + 0.1)"}
+    for k in p["label_lags"]:
+        out[f"score_gap_lag{k}w"] = lag.format("ks", 91 + 7 * k)
+    for w in p["label_windows"]:
+        out |= {f"score_gap_{a}{w}d": f"{f}(score) {trailing(w, 91)}" for a, f in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"))}
+    return out | {k: BUILD_PANEL[k] for k in ("sin_doy", "hot_days_above35_90d", "tmp_range_std_30d", "dew_depression_mean_14d", "last_known_score")}
+
+
+def _final(spark, sf, profile: str, columns: dict[str, str]):
+    """The production path of a prediction: a cut history with the state before it."""
+    train, test = splits(spark, sf)
+    wide = inference_rows(train, test, FeatureOptions(profile=profile, region_priors=True))
+    return rounded(wide, KEYS, [*columns, *BUILD_JOINED], 5)
+
+
+@query("l00_predict_final_features", _build_sql(BUILD_PANEL | STREAK))
+def l00(spark, sf):
+    return _final(spark, sf, "micro", BUILD_PANEL | STREAK)
+
+
+@query("feat_build_lean", _build_sql(_profile_columns("lean")))
+def feat_lean(spark, sf):
+    return _final(spark, sf, "lean", _profile_columns("lean"))
+
+
+@query("feat_build_full", _build_sql(_profile_columns("full")))
+def feat_full(spark, sf):
+    return _final(spark, sf, "full", _profile_columns("full"))

@@ -38,6 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "isohyet", spark.sparkContext.applicationId, uuid.uuid4().hex, name])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
@@ -45,6 +50,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     is cut, and the files outlive executors.
     """
     spark = df.sparkSession
-    path = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "isohyet", spark.sparkContext.applicationId, uuid.uuid4().hex, name])
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -42,9 +42,9 @@ LEDGER_SCHEMA = (
 )
 
 
-def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of JSON ledgers, one document per file."""
-    return spark.read.schema(LEDGER_SCHEMA).json(path, multiLine=True)
+def read_ledgers(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """A directory of JSON ledgers, one document per file or one per line."""
+    return spark.read.schema(LEDGER_SCHEMA).json(path, multiLine=one_per_file)
 
 
 def flatten_ledgers(ledgers: DataFrame) -> DataFrame:

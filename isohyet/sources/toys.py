@@ -15,7 +15,7 @@ def toy_predictions(panel: DataFrame, targets: DataFrame) -> DataFrame:
     """Prediction frame (region_id, origin, model, pred_week1..5) from labels at least 91 days before the origin."""
     age = F.col("origin_day_idx") - F.col("day_idx")
     labels = panel.select("region_id", "day_idx", "score").filter(F.col("score").isNotNull())
-    visible = origin_band_join(labels, targets, age >= GAP_DAYS)
+    visible = origin_band_join(labels, targets, GAP_DAYS)
     # Labels are weekly, so the five newest visible ones lie in the first 35 visible days.
     per_origin = visible.groupBy("region_id", "origin").agg(
         F.max_by("score", "day_idx").alias("lgb"), F.avg("score").alias("xgb"),

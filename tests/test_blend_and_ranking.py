@@ -47,7 +47,7 @@ def test_constrained_fit_equals_brute_force(aligned):
 
 def test_bootstrap_equals_refit(aligned, spark):
     draws = [(0, "o0", 2), (0, "o1", 1), (1, "o2", 3)]
-    errors = blend.error_table(aligned, MODELS, blend.simplex_grid(3, 0.25))
+    errors = blend.error_table(aligned, MODELS, blend.weight_grid(3, 0.25))
     got = blend.bootstrap_fit(errors, draws, MODELS, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).toPandas()
     pdf, fits = aligned.toPandas(), []
     for d in (0, 1):
@@ -75,8 +75,34 @@ def test_weights_must_sum_to_one(spark):
     with pytest.raises(ValueError):
         blend.check_weights({"a": [0.5] * 5, "b": [0.4] * 5})
     with pytest.raises(ValueError):
-        blend.simplex_grid(3, 0.3)
-    assert blend.grid_values("-0.1:0.1:0.1") == [-0.1, 0.0, 0.1]
+        blend.weight_grid(3, 0.3)
+    points = [tuple(x) for x in spark.range(1).select(blend.value_grid((-0.1, 0.1, 0.1), (0.0, 1.0, 0.5)).alias("g")).first().g]
+    assert points == [(a, b) for a in (-0.1, 0.0, 0.1) for b in (0.0, 0.5, 1.0)]
+    capped = spark.range(1).select(blend.weight_grid(3, 0.5, [0.5, 1.0, 1.0]).alias("g")).first().g
+    assert [tuple(x) for x in capped] == [(0, 0, 1), (0, 0.5, 0.5), (0, 1, 0), (0.5, 0, 0.5), (0.5, 0.5, 0)]
+    assert blend.parse_weights("0.5, 0.3, 0.2", MODELS)["b"] == [0.3] * 5 and blend.parse_weights("a=1,0,0,0,0;b=0,1,1,1,1;c=0", MODELS)["a"][0] == 1
+    for text in ("a=0.5;b=0.5", "0.5,0.5", "a=1,2;b=0;c=0"):
+        with pytest.raises(ValueError):
+            blend.parse_weights(text, MODELS)
+
+
+def test_incomplete_predictions_show(spark):
+    """A missing model is no blend, a repeated key hides no gap, and unmatched keys are counted."""
+    row = lambda region, model, value: (region, "o", model, *[value] * 5)
+    schema = "region_id string, origin string, model string, " + ", ".join(f"pred_week{h} double" for h in range(1, 6))
+    preds = spark.createDataFrame([row("R1", "a", 4.0), row("R2", "a", 1.0), row("R2", "b", 3.0), row("R3", "a", 1.0), row("R3", "a", 1.0), row("R3", "b", 1.0)], schema)
+    got = {r.region_id: r.pred for r in blend.convex_blend(preds, {"a": [0.5] * 5, "b": [0.5] * 5}).filter("horizon = 1").collect()}
+    assert got == {"R1": None, "R2": 2.0, "R3": None}
+    twice = spark.createDataFrame([("R1", "m", *[1.0] * 5)] * 2, "region_id string, model string, " + schema.split(", ", 3)[3])
+    report = ranking.validate_predictions(twice, spark.createDataFrame([("R1",), ("R2",)], "region_id string")).first()
+    assert (report.missing_keys, report.duplicate_rows, report.is_valid) == (1, 1, False)
+    with pytest.raises(ValueError):
+        predictions.check_predictions(twice)
+    with pytest.raises(ValueError):
+        predictions.align_to_template(twice.select("region_id"), twice)
+    long = blend.to_long(preds, ["region_id", "origin", "model"])
+    delta = blend.mean_abs_delta(long.filter("model = 'a' and region_id < 'R3'"), long.filter("model = 'b' and region_id < 'R3'")).first()
+    assert delta.unmatched_keys == 5 and delta.mean_abs_delta == 2.0
 
 
 def test_prediction_files(spark, tmp_path):
@@ -100,9 +126,9 @@ def test_panel_files(spark, panel, tmp_path):
     text.coalesce(1).write.option("header", True).csv(str(tmp_path / "csv"))
     assert read_panel(spark, str(tmp_path / "csv"), fmt="csv").count() == small.count()
     metrics = spark.createDataFrame([("mae", "all", 0.5)], "metric string, key string, value double")
-    for run in ("r1", "r2"):
+    for run in ("r1", "r2", "r1"):
         write_metrics(metric_rows(metrics, run), str(tmp_path / "metrics"))
-    assert spark.read.parquet(str(tmp_path / "metrics")).groupBy("run_id").count().count() == 2
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 2
 
 
 def test_ledger_files(spark, tmp_path):
@@ -122,7 +148,13 @@ def test_history_lines(spark, tmp_path):
 
 
 def test_global_position_equals_sort(spark):
+    """Half the leading keys are missing and one is far away; ranks are those of a sort, and ranges stay even."""
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"x": rng.integers(0, 50, 500).astype(float), "id": range(500)})
-    got = ranking.global_position(spark.createDataFrame(pdf), "x", [F.col("id")], "rank", buckets=7).toPandas().sort_values("rank")
-    assert list(got.id) == list(pdf.sort_values(["x", "id"]).id) and list(got["rank"]) == list(range(1, 501))
+    pdf = pd.DataFrame({"x": rng.integers(0, 50, 4000).astype(float), "id": range(4000)})
+    pdf.loc[::2, "x"], pdf.loc[1, "x"] = None, 1e30
+    rows = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    order = [F.col("x").asc_nulls_last(), F.col("id").asc()]
+    got = ranking.global_position(rows, order, "rank").toPandas().sort_values("rank")
+    assert list(got.id) == list(pdf.sort_values(["x", "id"], na_position="last").id) and list(got["rank"]) == list(range(1, 4001))
+    sizes = [r["count"] for r in rows.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 4000 / len(sizes)

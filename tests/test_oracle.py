@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from check_oracle import compare, connect
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Long-running learners are covered once in test_models.
-SLOW = {"m01_fit_horizons", "m02_final_mode_refit", "m03_average_models", "m06_categorical_features", "v14_ablation", "d06_adversarial_auc_context", "d07_adversarial_auc_tree"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def test_matches_sql(name, spark, folder, duck):
     assert len(got)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_returns_rows(name, spark, folder):
     assert QUERIES[name](spark, folder).limit(1).count() == 1
 

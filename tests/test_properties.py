@@ -32,13 +32,40 @@ def test_no_feature_reads_the_future(panel):
     assert not report
 
 
-def test_sentinel_reports_a_leak(panel):
-    """Statistics from unmasked labels must show up as changed rows."""
-    targets = bt.origin_targets(panel.select("region_id", "date", "day_idx", "score"))
-    window = bt.history_window(panel, targets)
-    poisoned = window.withColumn("score", F.when(F.col("is_blind") & F.col("score").isNotNull(), 999.0).otherwise(F.col("score")))
-    a, b = (priors.region_priors(w, bt.ORIGIN_KEYS) for w in (window, poisoned))
-    assert bt.diff_by_key(a, b, bt.ORIGIN_KEYS, ["region_score_max"]).first().changed_rows > 0
+@pytest.fixture(scope="module")
+def few_targets(panel):
+    return bt.origin_targets(panel.select("region_id", "date", "day_idx", "score"), [5])
+
+
+def test_sentinel_is_silent_on_the_production_path(panel, few_targets):
+    report = bt.leakage_sentinel(panel, few_targets, FeatureOptions(region_priors=True))
+    assert report.count() > 50 and not report.filter("changed_rows > 0").count()
+
+
+def test_sentinel_reports_a_broken_mask(panel, few_targets, monkeypatch):
+    """With the mask taken out of the production path, hidden labels reach features and statistics."""
+    monkeypatch.setattr(bt, "blind_origin", lambda rows, targets, blind, tail: bt.history_window(rows, targets, tail, blind).withColumn("is_blind", F.lit(False)))
+    changed = {r.feature for r in bt.leakage_sentinel(panel, few_targets, FeatureOptions(region_priors=True)).filter("changed_rows > 0").collect()}
+    assert "region_score_max" in changed
+
+
+@pytest.mark.parametrize("block_rows", [64, 1000, 8192])
+def test_small_deviations_near_large_values(spark, block_rows):
+    """A tiny spread after a huge one, and on a high level, equals pandas whatever the block."""
+    import pandas as pd
+
+    from isohyet.operators import features as ft
+
+    rng = np.random.default_rng(2)
+    values = np.concatenate([np.tile([1e6, -1e6], 50), rng.choice([1.0, 1.2], 300), 1e6 + rng.normal(0, 1e-3, 100)])
+    df = spark.createDataFrame(pd.DataFrame({"region_id": "R1", "day_idx": range(len(values)), "x": values}))
+    got = ft.rolling(df, ["x"], [5, 28], ["mean", "std"], block_rows=block_rows).toPandas().sort_values("day_idx")
+    for w in (5, 28):
+        frames = [values[max(0, t - w) : t] for t in range(len(values))]
+        for name, fn in ((f"x_rstd{w}", lambda f: f.std(ddof=1) if len(f) > 1 else np.nan), (f"x_rmean{w}", lambda f: f.mean() if len(f) else np.nan)):
+            want = np.array([fn(f) for f in frames])
+            rel = 1e-9 if "std" not in name else 1e-6
+            assert np.allclose(got[name].astype(float), want, rtol=rel, atol=1e-9, equal_nan=True), name
 
 
 def test_drift_of_a_side_with_itself(panel):
