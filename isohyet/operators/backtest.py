@@ -179,7 +179,7 @@ def leakage_sentinel(panel: DataFrame, targets: DataFrame, options: FeatureOptio
     """
     options = options or FeatureOptions(region_priors=True)
     name = F.concat_ws("|", "origin", "region_id")
-    own = origin_band_join(panel, targets, 0)
+    own = origin_band_join(panel, targets, 0, HISTORY_DAYS - 1)
     rows = own.withColumn("region_id", name).drop("origin", "origin_date", "origin_day_idx")
     hidden = F.col("origin_day_idx") - F.col("day_idx") < GAP_DAYS
     bad = own.withColumn("score", F.when(hidden & F.col("score").isNotNull(), F.lit(poison)).otherwise(F.col("score")))
