@@ -25,8 +25,9 @@ TERM = r"[\p{L}][\p{L}\p{N}]++"
 
 #: Characters on either side of a mention where terms count as its company.
 NEAR = 160
-#: Distinct surroundings in which an entity and a term must meet: what meets less often is chance.
-LEAST_MEETINGS = 3
+#: Half the squared normal quantile of a one-sided 95% bound: the log-likelihood that a bound gives away.
+DOUBT = 1.3528
+BISECTIONS = 30
 GENERALISE, REMOVE = 0.7, 0.9
 
 
@@ -72,26 +73,46 @@ def mentions(found: DataFrame) -> DataFrame:
     return each.select("row", "entity", placed.alias("terms"), F.xxhash64("window").alias("window"))
 
 
+def log_bound(hits: Column, tries: Column) -> Column:
+    """Log of the likelihood-ratio lower bound of a share of `hits` in `tries`, both at least 1.
+
+    -DOUBT / tries where all hit; else the root below hits / tries of the log-likelihood less DOUBT, by bisection.
+    """
+    top, missed = F.log(hits / tries), tries - hits
+    low = top - DOUBT / hits - 1.0
+    likely = lambda x: hits * (x - top) + missed * (F.log1p(-F.exp(x)) - F.log(missed / tries)) >= -DOUBT
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        return F.struct(F.when(likely(middle), s["low"]).otherwise(middle).alias("low"), F.when(likely(middle), middle).otherwise(s["high"]).alias("high"))
+
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(low.alias("low"), top.alias("high")), halve)["low"]
+    return F.when(missed <= 0, -DOUBT / tries).otherwise(root)
+
+
 def disclosures(docs: DataFrame, met: DataFrame, text_col: str = "text") -> DataFrame:
     """entity, term and the share of the entity's information that the term discloses, where above GENERALISE.
 
     n(t) and N count rows of the whole corpus; n(e) and n(e, t) count one mention a text and distinct surroundings,
-    so repeats inside a text and copies of a text are one meeting.
+    so repeats inside a text and copies of a text are one meeting. Every pair that meets is scored. PMI is IC(e) plus
+    the log of n(e, t) / n(t), for which its lower bound stands: few meetings give away little, however rare the term.
     """
     met = met.groupBy("entity", "row").agg(F.min(F.struct("window", "terms")).alias("m")).select("entity", "m.window", "m.terms")
     met = store(met, "pii_meetings")
     pairs = met.select("entity", "window", F.explode(F.array_distinct(F.transform("terms", lambda t: t["value"]))).alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = store(pairs.filter(F.col("both") >= LEAST_MEETINGS), "pii_pairs")
+    pairs = store(pairs, "pii_pairs")
     seen = store(met.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii_entities")
     terms = F.array_distinct(F.split(F.lower(body(text_col)), r"[^\p{L}\p{N}]+"))
     counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     wanted = pairs.select("term").distinct()
     counts = store(counts.join(wanted, "term", "left_semi"), "pii_terms")
     n = float(docs.count())
-    share = F.log(F.col("both") * n / (F.col("n_entity") * F.greatest("n_term", "both"))) / F.log(F.lit(n) / F.col("n_entity"))
-    found = pairs.join(counts, "term").join(seen, "entity").filter(F.col("n_entity") < n)
-    return found.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    found = pairs.join(counts, "term").join(seen, "entity").filter(F.col("n_entity") < n).withColumn("n_term", F.greatest("n_term", "both"))
+    share = lambda log: 1.0 + log / F.log(F.lit(n) / F.col("n_entity"))
+    # The bound lies below the plain share, so that sorts out most pairs first.
+    found = found.filter(share(F.log(F.col("both") / F.col("n_term"))) >= GENERALISE)
+    return found.select("entity", "term", share(log_bound(F.col("both"), F.col("n_term"))).alias("share")).filter(F.col("share") >= GENERALISE)
 
 
 def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

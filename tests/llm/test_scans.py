@@ -1,3 +1,5 @@
+import math
+
 import brute
 import pytest
 from cases import rows
@@ -54,6 +56,26 @@ def test_revealing_terms(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+def test_terms_beside_entities_seen_once_or_twice(spark):
+    plain = [(i, f"meeting number {i} said that nothing came of it", "en", "a") for i in range(300)]
+    once = [(1000, "meeting that Quetzalina said ada@x.org came of it", "en", "a")]
+    twice = [(1001 + i, f"meeting {i} that Xiomarova said eve@x.org came of it", "en", "a") for i in range(2)]
+    got = {r["doc_id"]: r["term"] for r in pii.pii_scan(rows(spark, plain + once + twice)).collect()}
+    text = {i: t for i, t, _, _ in once + twice}
+    assert {i: [text[i][x["start"] : x["end"]] for x in got[i]] for i in text} == {1000: ["Quetzalina"], 1001: ["Xiomarova"], 1002: ["Xiomarova"]}
+    assert not any(got[i] for i in range(300))
+
+
+def test_bound_of_a_share(spark):
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(1, 1), (6, 6), (1, 30), (40, 100)], "k long, n long")
+    for r in pairs.withColumn("x", F.exp(pii.log_bound(F.col("k"), F.col("n")))).collect():
+        k, n, p = r["k"], r["n"], r["x"]
+        gain = k * math.log(p * n / k) + ((n - k) * math.log((1 - p) * n / (n - k)) if k < n else 0)
+        assert p < k / n and abs(gain + pii.DOUBT) < 1e-6
+
+
 @pytest.mark.parametrize("which", ["docs", "tricky"])
 def test_quality_measures(which, request):
     df = request.getfixturevalue(which)
