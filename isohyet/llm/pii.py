@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import body, store
+from isohyet.llm.common import body, hinted, store
 from isohyet.llm.spans import add_matches, outside, ranked, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -90,24 +90,39 @@ def log_bound(hits: Column, tries: Column) -> Column:
     return F.when(missed <= 0, -DOUBT / tries).otherwise(root)
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def text_counts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, float]:
+    """Of each term, the number of distinct texts that hold it, and the number of distinct texts.
+
+    A copied text counts as a whole: each of its copies has one share of it, and sums of shares are rounded.
+    """
+    key = F.sha2(body(text_col), 256).alias("key")
+    copies = docs.select(key).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = store(copies, "pii_copies")
+    extra = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
+    each = docs.select(key, _words(body(text_col)).alias("terms")).join(hinted(copies, 100), "key", "left")
+    each = each.select(F.explode("terms").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
+    return each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term")), float(docs.count() - extra)
+
+
 def disclosures(docs: DataFrame, met: DataFrame, text_col: str = "text") -> DataFrame:
     """entity, term and the share of the entity's information that the term discloses, where above GENERALISE.
 
-    n(t) and N count rows of the whole corpus; n(e) and n(e, t) count one mention a text and distinct surroundings,
-    so repeats inside a text and copies of a text are one meeting. Every pair that meets is scored. PMI is IC(e) plus
+    All four counts are of distinct texts, so repeats inside a text and copies of a text are one meeting. Every pair that meets is scored. PMI is IC(e) plus
     the log of n(e, t) / n(t), for which its lower bound stands: few meetings give away little, however rare the term.
     """
-    met = met.groupBy("entity", "row").agg(F.min(F.struct("window", "terms")).alias("m")).select("entity", "m.window", "m.terms")
+    met = met.groupBy("entity", "row").agg(F.min(F.struct("window", "terms")).alias("m")).select("entity", "row", "m.terms")
     met = store(met, "pii_meetings")
-    pairs = met.select("entity", "window", F.explode(F.array_distinct(F.transform("terms", lambda t: t["value"]))).alias("term")).distinct()
+    pairs = met.select("entity", "row", F.explode(F.array_distinct(F.transform("terms", lambda t: t["value"]))).alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = store(pairs, "pii_pairs")
-    seen = store(met.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii_entities")
-    terms = F.array_distinct(F.split(F.lower(body(text_col)), r"[^\p{L}\p{N}]+"))
-    counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    seen = store(met.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii_entities")
+    counts, n = text_counts(docs, text_col)
     wanted = pairs.select("term").distinct()
     counts = store(counts.join(wanted, "term", "left_semi"), "pii_terms")
-    n = float(docs.count())
     found = pairs.join(counts, "term").join(seen, "entity").filter(F.col("n_entity") < n).withColumn("n_term", F.greatest("n_term", "both"))
     share = lambda log: 1.0 + log / F.log(F.lit(n) / F.col("n_entity"))
     # The bound lies below the plain share, so that sorts out most pairs first.

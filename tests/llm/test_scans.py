@@ -66,6 +66,15 @@ def test_terms_beside_entities_seen_once_or_twice(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_copies_of_texts_count_once(spark):
+    plain = [(i, f"meeting number {i} said that nothing came of it", "en", "a") for i in range(300)]
+    told = [(1000 + i, f"meeting {i % 3} that Xiomarova said eve@x.org came of it", "en", "a") for i in range(120)]
+    got = pii.pii_scan(rows(spark, plain + told)).filter("doc_id >= 1000").collect()
+    assert all([(told[0][1][x["start"] : x["end"]], x["value"]) for x in r["term"]] == [("Xiomarova", "remove")] for r in got)
+    counts, n = pii.text_counts(rows(spark, plain + told))
+    assert n == 303 and {r["term"]: r["n_term"] for r in counts.collect()} | {"xiomarova": 3, "meeting": 303, "number": 300} == {r["term"]: r["n_term"] for r in counts.collect()}
+
+
 def test_bound_of_a_share(spark):
     from pyspark.sql import functions as F
 
