@@ -54,23 +54,21 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """One row per base span: doc_id, its arrays' row key, entity, and the terms near it as (start, end, value)."""
+    """One row per base span: its text's row key, entity, and the distinct terms near it."""
     entity = lambda kind: F.transform(
         kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit(f"{kind}:"), F.lower(x["value"])).alias("entity"))
     )
-    each = found.select("row", "text", F.explode(F.concat(*[entity(k) for k in KINDS[:4]])).alias("x"))
-    lo = F.greatest(F.col("x.start") - NEAR, F.lit(0))
-    each = each.select("row", "x.start", "x.end", "x.entity", lo.alias("lo"), F.substring(F.col("text"), (lo + 1).cast("int"), (F.col("x.end") - lo + NEAR).cast("int")).alias("window"))
+    each = found.withColumn("size", F.length("text")).select("row", "text", "size", F.explode(F.concat(*[entity(k) for k in KINDS[:4]])).alias("x"))
+    # One character more on either side tells whether the window cuts a term.
+    lo, hi = F.greatest(F.col("x.start") - NEAR - 1, F.lit(0)), F.least(F.col("x.end") + NEAR + 1, F.col("size"))
+    each = each.select("row", "size", "x.start", "x.end", "x.entity", lo.alias("lo"), hi.alias("hi"), F.substring(F.col("text"), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("window"))
     each = add_matches(each, "window", "terms", TERM)
+    each = each.withColumn("cut", F.when(F.col("lo") > 0, F.length(F.regexp_extract("window", r"^[\p{L}\p{N}]*+", 0))).otherwise(0))
     # Terms cut by the window's edge and those inside the entity do not count.
-    inner = lambda t: ((t["start"] > 0) | (F.col("lo") == 0)) & (t["end"] < F.length("window")) & (
+    inner = lambda t: (t["start"] >= F.col("cut")) & ((t["end"] + F.col("lo") < F.col("hi")) | (F.col("hi") == F.col("size"))) & (
         (t["end"] + F.col("lo") <= F.col("start")) | (t["start"] + F.col("lo") >= F.col("end"))
     )
-    placed = F.transform(
-        F.filter("terms", inner),
-        lambda t: F.struct((t["start"] + F.col("lo")).alias("start"), (t["end"] + F.col("lo")).alias("end"), F.lower(t["value"]).alias("value")),
-    )
-    return each.select("row", "entity", placed.alias("terms"), F.xxhash64("window").alias("window"))
+    return each.select("row", "entity", F.array_distinct(F.transform(F.filter("terms", inner), lambda t: F.lower(t["value"]))).alias("terms"))
 
 
 def log_bound(hits: Column, tries: Column) -> Column:
@@ -104,22 +102,20 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, flo
     copies = store(copies, "pii_copies")
     extra = copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
     each = docs.select(key, _words(body(text_col)).alias("terms")).join(hinted(copies, 100), "key", "left")
-    each = each.select(F.explode("terms").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
+    each = each.select(F.explode_outer("terms").alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
     return each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term")), float(docs.count() - extra)
 
 
 def disclosures(docs: DataFrame, met: DataFrame, text_col: str = "text") -> DataFrame:
     """entity, term and the share of the entity's information that the term discloses, where above GENERALISE.
 
-    All four counts are of distinct texts, so repeats inside a text and copies of a text are one meeting. Every pair that meets is scored. PMI is IC(e) plus
+    All four counts are of distinct texts; a pair meets in a text if the term is near any mention. So repeats inside a text and copies of a text are one meeting. Every pair that meets is scored. PMI is IC(e) plus
     the log of n(e, t) / n(t), for which its lower bound stands: few meetings give away little, however rare the term.
     """
-    met = met.groupBy("entity", "row").agg(F.min(F.struct("window", "terms")).alias("m")).select("entity", "row", "m.terms")
-    met = store(met, "pii_meetings")
-    pairs = met.select("entity", "row", F.explode(F.array_distinct(F.transform("terms", lambda t: t["value"]))).alias("term"))
+    pairs = met.select("entity", "row", F.explode("terms").alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     pairs = store(pairs, "pii_pairs")
-    seen = store(met.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii_entities")
+    seen = store(met.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "pii_entities")
     counts, n = text_counts(docs, text_col)
     wanted = pairs.select("term").distinct()
     counts = store(counts.join(wanted, "term", "left_semi"), "pii_terms")
@@ -133,8 +129,8 @@ def disclosures(docs: DataFrame, met: DataFrame, text_col: str = "text") -> Data
 def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and the arrays email, ip, card, phone and term of (start, end, value).
 
-    For `term`, the value is `remove` or `generalise`; such spans lie near a mention of the entity that they
-    reveal and outside the other spans. Null text counts as empty; rows that repeat are scanned alike; a corpus in
+    For `term`, the value is `remove` or `generalise`; such spans lie anywhere in a text that holds the entity that
+    they reveal, outside the other spans. Null text counts as empty; rows that repeat are scanned alike; a corpus in
     which every row holds an entity, or none does, has no terms; no rows give no rows.
     """
     base = _base(docs, id_col, text_col)
@@ -144,9 +140,12 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = found.filter("row is not null").dropDuplicates(["row"])
     met = store(mentions(texts), "pii_mentions")
     telling = store(disclosures(docs, met, text_col), "pii_disclosures")
-    near = met.select("row", "entity", F.explode("terms").alias("t")).withColumn("term", F.col("t.value"))
-    near = near.join(telling, ["entity", "term"])
-    near = near.groupBy("row", "t.start", "t.end").agg(F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise").alias("value"))
+    # Outer: an inner one would push a filter on the size below the matches and evaluate them once per match.
+    placed = add_matches(texts.select("row", "text"), "text", "terms", TERM).select("row", F.explode_outer("terms").alias("t"))
+    placed = placed.select("row", "t.start", "t.end", F.lower("t.value").alias("term"))
+    # Wherever a telling term stands in a text that holds its entity.
+    near = placed.join(hinted(telling, 120), "term").join(met.select("row", "entity").distinct(), ["row", "entity"], "left_semi")
+    near = near.groupBy("row", "start", "end").agg(F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise").alias("value"))
     spans = store(near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value"))).alias("term")), "pii_spans")
     out = found.join(spans, "row", "left")
     out = out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")))

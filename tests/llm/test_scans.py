@@ -1,8 +1,10 @@
 import math
+import re
 
 import brute
 import pytest
 from cases import rows
+from pyspark.sql import functions as F
 
 from isohyet.llm import pii, secrets
 from isohyet.llm.license_scan import license_scan
@@ -75,9 +77,26 @@ def test_copies_of_texts_count_once(spark):
     assert n == 303 and {r["term"]: r["n_term"] for r in counts.collect()} | {"xiomarova": 3, "meeting": 303, "number": 300} == {r["term"]: r["n_term"] for r in counts.collect()}
 
 
-def test_bound_of_a_share(spark):
-    from pyspark.sql import functions as F
+def test_terms_of_all_mentions_and_places(spark):
+    plain = [(i, f"meeting number {i} said that nothing came of it", "en", "a") for i in range(300)]
+    far = "nothing came of it " * 40
+    long = "Xiomarova " + far + "eve@x.org " + far + "".join(f"eve@x.org {far}" for _ in range(7)) + "eve@x.org said Xiomarova " + far
+    last = far + "ada@x.org said Quetzalina"
+    got = {r["doc_id"]: r["term"] for r in pii.pii_scan(rows(spark, [*plain, (1000, long, "en", "a"), (1001, last, "en", "a")])).collect()}
+    assert [x["start"] for x in got[1000]] == [0, long.rindex("Xiomarova")]
+    assert [last[x["start"] :] for x in got[1001]] == ["Quetzalina"]
+
 
+def test_terms_cut_by_the_window(spark):
+    text = "x" * 50 + " " + "Borderline " + "1234 " * 29 + "zz ada@x.org zz " + "1234 " * 31 + "Cutoff"
+    found = pii._base(rows(spark, [(1, text, "en", "a")]), "doc_id", "text").withColumn("row", F.lit("r"))
+    at = text.index("ada@")
+    lo, hi = at - pii.NEAR, at + len("ada@x.org") + pii.NEAR
+    want = {m[0].lower() for m in re.finditer(r"[^\W\d_][^\W_]+", text) if lo <= m.start() and m.end() <= hi and not at <= m.start() < at + 9}
+    assert set(pii.mentions(found).first()["terms"]) == want == {"borderline", "zz"}
+
+
+def test_bound_of_a_share(spark):
     pairs = spark.createDataFrame([(1, 1), (6, 6), (1, 30), (40, 100)], "k long, n long")
     for r in pairs.withColumn("x", F.exp(pii.log_bound(F.col("k"), F.col("n")))).collect():
         k, n, p = r["k"], r["n"], r["x"]
