@@ -39,7 +39,3 @@ def panel(spark, folder):
 def frame(panel):
     """The panel in pandas, sorted."""
     return panel.toPandas().sort_values(["region_id", "day_idx"]).reset_index(drop=True)
-
-
-def in_order(df):
-    return df.toPandas().sort_values(["region_id", "day_idx"]).reset_index(drop=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import in_order
+from ordering import in_order
 from isohyet.fixed import MEASURES
 from isohyet.functions.numeric import clean_numeric, clip
 from isohyet.operators import backtest as bt

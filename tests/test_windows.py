@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import in_order
+from ordering import in_order
 from isohyet.functions.blocks import running_state, with_day_index, with_position
 from isohyet.functions.dates import parse_synthetic_date
 from isohyet.operators import features as ft
