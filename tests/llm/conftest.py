@@ -1,5 +1,5 @@
 import pytest
-from cases import SMALL, TEXTS, rows
+from corpus_cases import SMALL, TEXTS, rows
 
 
 @pytest.fixture(scope="session")

@@ -2,9 +2,9 @@ import random
 from collections import Counter
 
 import pytest
-from brute import components as plain_components
-from brute import near
-from cases import rows
+from corpus_brute import components as plain_components
+from corpus_brute import near
+from corpus_cases import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,7 +85,7 @@ def test_signature_estimates_similarity():
 @given(st.lists(st.sampled_from(["a", "B", "b", "ä", " ", "\n", "\x0b", "\x1c", "ab"]), max_size=40), st.integers(1, 4))
 @settings(max_examples=200, deadline=None)
 def test_shingle_counts(parts, size):
-    from brute import shingles as plain
+    from corpus_brute import shingles as plain
 
     assert len(shingles.shingle_set("".join(parts), size)) == len(plain("".join(parts), size))
 

@@ -3,8 +3,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import words
-from cases import rows
+from corpus_brute import words
+from corpus_cases import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,5 +1,5 @@
-import brute
-from cases import SMALL
+import corpus_brute as brute
+from corpus_cases import SMALL
 
 import corpus_pipeline
 from isohyet.llm.common import store

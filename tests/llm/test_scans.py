@@ -1,9 +1,9 @@
 import math
 import re
 
-import brute
+import corpus_brute as brute
 import pytest
-from cases import rows
+from corpus_cases import rows
 from pyspark.sql import functions as F
 
 from isohyet.llm import pii, secrets
