@@ -11,6 +11,7 @@ from isohyet.llm.common import collapsed, documents
 from isohyet.llm.exact_dedup import exact_duplicates
 from isohyet.llm.language_id import predict_languages
 from isohyet.llm.license_scan import license_scan
+from isohyet.llm.merkle import merkle_manifest
 from isohyet.llm.mixing import mix
 from isohyet.llm.near_dedup import near_duplicates
 from isohyet.llm.packing import pack
@@ -113,3 +114,60 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     # Documents have no paths: source, thousand of the id and id stand for directories and file name.
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
     return license_scan(documents(spark, folder).withColumn("path", path), carry={"doc_id": F.col("doc_id")})
+
+
+#: The unsigned CRC-32 of a list of bytes `{0}` in DuckDB, where `t` is the table of 256 remainders.
+CRC_TABLE = "(select list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) order by b) from range(256) r(b))"
+
+
+def crc_sql(bytes_sql: str, table: str) -> str:
+    step = f"xor(c >> 8, {table}[xor(c & 255, b) + 1])"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], {bytes_sql}), lambda c, b: {step}))"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(concat(octet_length(encode({value}::varchar)), ':', {value}::varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_field(c if c != "text" else text) for c in ("doc_id", "source", "lang", "n_chars", "text")) + "))"
+
+
+@query("op11_merkle_manifest", f"""
+with recursive t as (select {CRC_TABLE} t),
+d as (select doc_id, source, {_leaf("text")} leaf,
+ case when {crc_sql("[ascii(x)::bigint for x in string_split(doc_id::varchar, '')]", "t")} % 5 = 0 then {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")}
+  else {_leaf("text")} end other from documents, t),
+p as (select *, row_number() over (partition by source order by doc_id, leaf) - 1 pos, count(*) over (partition by source) n,
+ dense_rank() over (order by source nulls first) - 1 tree from d),
+up as (
+ select 0 lv, tree, pos, n, leaf digest from p
+ union all select lv + 1, tree, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' order by pos)) from up where n > 1 group by lv, tree, pos // 16, n),
+nodes as materialized (select * from up),
+subs as (select tree, digest from nodes where n = 1),
+top as (
+ select 0 lv, tree pos, count(*) over () n, digest from subs
+ union all select lv + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' order by pos)) from top where n > 1 group by lv, pos // 16, n),
+tops as materialized (select * from top),
+steps as (
+ select p.tree, p.pos, x.lv, string_agg(case when x.pos < (p.pos >> (4 * x.lv)) then x.digest end, '' order by x.pos) a,
+  string_agg(case when x.pos > (p.pos >> (4 * x.lv)) then x.digest end, '' order by x.pos) b
+ from p join nodes x on x.tree = p.tree and x.n > 1 and (x.pos >> 4) = (p.pos >> (4 * x.lv + 4)) group by all
+ union all
+ select p.tree, p.pos, 100 + x.lv, string_agg(case when x.pos < (p.tree >> (4 * x.lv)) then x.digest end, '' order by x.pos),
+  string_agg(case when x.pos > (p.tree >> (4 * x.lv)) then x.digest end, '' order by x.pos)
+ from p join tops x on x.n > 1 and (x.pos >> 4) = (p.tree >> (4 * x.lv + 4)) group by all),
+proof as (
+ select tree, pos, list({{'a': coalesce(a, ''), 'b': coalesce(b, '')}} order by lv) s,
+  sha256(string_agg(concat(a, b), '' order by lv)) h from steps group by all),
+last as (
+ select p.doc_id, p.leaf, subs.digest subroot, (select digest from tops where n = 1) root, coalesce(h, sha256('')) proof_sha256,
+  coalesce(list_reduce(list_concat([other], list_transform(s, lambda x: x.a || chr(0) || x.b)), lambda c, x: sha256(replace(x, chr(0), c))), other) folded_root
+ from p join subs using (tree) left join proof using (tree, pos))
+select *, folded_root = root as verified from last""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.when(fold(5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle_manifest(documents(spark, folder), tampered)
