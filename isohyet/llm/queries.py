@@ -19,6 +19,7 @@ from isohyet.llm.pii import pii_digest, pii_scan
 from isohyet.llm.quality_gam import quality_scores
 from isohyet.llm.quality_rules import quality_rules
 from isohyet.llm.secrets import secret_digest, secret_scan
+from isohyet.llm.spelling import spelling_variants, word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +172,33 @@ select *, folded_root = root as verified from last""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.when(fold(5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
     return merkle_manifest(documents(spark, folder), tampered)
+
+
+#: UTF-8 bytes of a text of ASCII and Latin-1 letters.
+BYTES = "flatten([case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end for x in string_split({0}, '')])"
+
+
+@query("op12_spelling_variants", f"""
+with recursive t as (select {CRC_TABLE} t),
+r as (
+ select doc_id, translate(run, '{UPPER}', '{LOWER}') run, count(*) k
+ from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) run from documents) group by all),
+h as (select run, k, {crc_sql(BYTES.format("(coalesce(doc_id::varchar, '') || ':' || run)"), "t")} h from r, t),
+w as materialized (
+ select word, sum(k)::bigint n from (
+  select case when h % 199 = 0 then run[:(h % length(run))::int] || run[(h % length(run))::int + 2:] else run end word, k from h)
+ where length(word) >= 6 group by word having sum(k) >= 5),
+cut as (select word, n, i, word[:i - 1] || word[i + 1:] rest from (select *, unnest(range(1, length(word) + 1)) i from w)),
+near as (
+ select distinct a.word, a.n, b.word other, b.n other_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+ union select a.word, a.n, b.word, b.n from cut a join w b on a.rest = b.word
+ union select b.word, b.n, a.word, a.n from cut a join w b on a.rest = b.word),
+best as (select word, any_value(n) n, count(*) n_near, max(other_n) top from near group by word),
+form as (
+ select b.word, min(x.other) form, any_value(b.top) form_n from best b join near x on x.word = b.word and x.other_n = b.top
+ where b.top >= 5 * b.n group by b.word),
+walk as (select word, word root, 0 step from w union all select k.word, f.form, step + 1 from walk k join form f on f.word = k.root)
+select w.word, w.n, coalesce(b.n_near, 0) n_near, f.form, f.form_n, (select arg_max(root, step) from walk k where k.word = w.word) root
+from w left join best b using (word) left join form f using (word)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(word_counts(documents(spark, folder), drop_one_in=199))
