@@ -19,6 +19,7 @@ from isohyet.llm.pii import pii_digest, pii_scan
 from isohyet.llm.quality_gam import quality_scores
 from isohyet.llm.quality_rules import quality_rules
 from isohyet.llm.secrets import secret_digest, secret_scan
+from isohyet.llm.simhash import simhash_duplicates
 from isohyet.llm.spelling import spelling_variants, word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +203,8 @@ select w.word, w.n, coalesce(b.n_near, 0) n_near, f.form, f.form_n, (select arg_
 from w left join best b using (word) left join form f using (word)""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(word_counts(documents(spark, folder), drop_one_in=199))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, folder))
