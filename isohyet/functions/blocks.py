@@ -9,7 +9,7 @@ A region shorter than one block costs nothing extra: one shuffle, no copies that
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +20,8 @@ BLOCK_ROWS = 8192
 FANOUT = 4096
 KEYS = ("region_id",)
 RADIX = 4
+#: Rows of a frame that are aggregated directly for a deviation.
+BASE = 64
 
 BLOCK, OWN = "_block", "_own"
 
@@ -120,8 +122,9 @@ class Blocked:
 
         * counts are differences of running counts, which are whole numbers;
         * sums add up disjoint pieces, so nothing is subtracted and far values cannot blur near ones;
-        * deviations aggregate their frame anew for each row (its update is Welford's), as squares taken out of
-          running totals would lose small deviations near large ones; frames of one extent share the pass;
+        * deviations of up to BASE rows aggregate their frame (Spark's update is Welford's); wider ones merge moments
+          (count, mean, squares about the mean) of disjoint pieces by the parallel-variance formula, so that small
+          deviations after large values stay exact and no row reads more than BASE rows for a piece;
         * maxima cover the frame with pieces that may overlap;
         * a recursive mean y(t) = b*y(t-1) + a*x(t-1), a = 2/(span+1), seeded by the first value, is a
           weighted sum with weights a*b^k; it grows fourfold in the same passes until the weight left out
@@ -146,9 +149,8 @@ class Blocked:
         first = {f"_f_{s}": self.last_known(s) for s in remembered}
         first |= {f"_p_{s}": self.last_known(s, inclusive=False) for s in remembered}
         first |= {f"_n_{s}": F.count(s).over(upto) for s in sorted({r.source for r in rolls if r.fn not in ("max", "std")})}
-        first |= {r.name: F.stddev_samp(r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in rolls if r.fn == "std"}
         self.add(first, temp=True)
-        self.temps = [t for t in self.temps if t not in {r.name for r in rolls if r.fn == "std"}]
+        self.deviations([r for r in rolls if r.fn == "std"])
         start: dict[str, Column] = {f"_s1_{s}": F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in sums}
         factor, depth = {}, {}
         for name, (s, span) in ewm.items():
@@ -221,6 +223,57 @@ class Blocked:
         self.add(taken, temp=True)
         return self.add(results)
 
+    def deviations(self, rolls: Sequence[Roll]) -> "Blocked":
+        """Add sample deviations of trailing frames, NULL with fewer than two values."""
+        self.add({r.name: F.stddev_samp(r.source).over(self.window.rowsBetween(-r.hi, -r.lo)) for r in rolls if r.width <= BASE})
+        wide = [r for r in rolls if r.width > BASE]
+        if not wide:
+            return self
+        # The last BASE rows of each source, and what is left of each frame after pieces of BASE times powers of RADIX.
+        frames = {f"_v{BASE}_{r.source}": (r.source, BASE - 1, 0) for r in wide}
+        frames |= {f"_v0_{r.name}": (r.source, r.hi, r.hi - r.width % BASE + 1) for r in wide if r.width % BASE}
+        raw: dict[str, Column] = {}
+        for name, (source, hi, lo) in frames.items():
+            over = self.window.rowsBetween(-hi, -lo)
+            raw |= {f"{name}_n": F.count(source).over(over), f"{name}_a": F.avg(source).over(over), f"{name}_q": F.var_pop(source).over(over)}
+        self.add(raw, temp=True)
+        self.add({f: F.struct(F.col(f"{f}_n").cast("double").alias("n"), F.coalesce(f"{f}_a", F.lit(0.0)).alias("a"),
+                              F.coalesce(F.col(f"{f}_q") * F.col(f"{f}_n"), F.lit(0.0)).alias("q")) for f in frames}, temp=True)
+        widest: dict[str, int] = {}
+        for r in wide:
+            widest[r.source] = max(widest.get(r.source, 0), r.width)
+        length = BASE
+        while any(length * RADIX <= w for w in widest.values()):
+            self.merge({f"_v{length * RADIX}_{s}": [(f"_v{length}_{s}", i * length) for i in range(RADIX)] for s, w in widest.items() if length * RADIX <= w})
+            length *= RADIX
+        whole: dict[str, list[tuple[str, int]]] = {}
+        for r in wide:
+            parts, at, size = [], r.lo, length
+            while at + BASE <= r.hi + 1:
+                while size > r.hi - at + 1:
+                    size //= RADIX
+                parts.append((f"_v{size}_{r.source}", at))
+                at += size
+            whole[f"_v_{r.name}"] = parts + ([(f"_v0_{r.name}", 0)] if r.width % BASE else [])
+        self.merge(whole)
+        return self.add({r.name: F.when(F.col(f"_v_{r.name}.n") > 1, F.sqrt(F.col(f"_v_{r.name}.q") / (F.col(f"_v_{r.name}.n") - 1))) for r in wide})
+
+    def merge(self, wanted: dict[str, list[tuple[str, int]]]) -> "Blocked":
+        """Add moments (n, a, q) of disjoint pieces, each a (column of moments, offset); offsets before the block have none."""
+        pieces = sorted({p for parts in wanted.values() for p in parts if p[1]})
+        self.add({f"_l{k}_{c}": self.lag(c, k) for c, k in pieces}, temp=True)
+
+        def total(parts: list[tuple[str, int]], value: Callable[[Column], Column]) -> Column:
+            return sum((F.coalesce(value(F.col(f"_l{k}_{c}" if k else c)), F.lit(0.0)) for c, k in parts), F.lit(0.0))
+
+        self.add({f"{w}_n": total(parts, lambda p: p["n"]) for w, parts in wanted.items()}, temp=True)
+        self.add({f"{w}_a": total(parts, lambda p: p["n"] * p["a"]) / F.greatest(f"{w}_n", F.lit(1.0)) for w, parts in wanted.items()}, temp=True)
+        moments = {}
+        for w, parts in wanted.items():
+            away = lambda p, mean=F.col(f"{w}_a"): p["q"] + p["n"] * (p["a"] - mean) * (p["a"] - mean)
+            moments[w] = F.struct(F.col(f"{w}_n").alias("n"), F.col(f"{w}_a").alias("a"), total(parts, away).alias("q"))
+        return self.add(moments, temp=True)
+
 
 def widenings(span: int) -> int:
     """Fourfold steps after which the remaining weight of a recursive mean is below 1e-15."""

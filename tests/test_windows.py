@@ -118,3 +118,15 @@ def test_exact_quantiles(panel, frame):
     many = [i / 100 for i in range(101)]
     got = column_quantiles(panel, ["tmp"], many).toPandas()
     np.testing.assert_allclose(got.sort_values("prob")["quantile"], np.quantile(frame.tmp.dropna(), many), rtol=1e-9)
+
+
+@pytest.mark.parametrize("width", [64, 65, 128, 182, 365, 728])
+def test_wide_std_after_large_values(spark, width):
+    """Moments merge without a difference of totals: 1.0 and 1.2 after plus and minus a million, with gaps, over block borders."""
+    day = F.col("id")
+    value = F.when(day < 300, F.when(day % 2 == 0, 1e6).otherwise(-1e6)).when(day % 11 == 0, None).otherwise(F.when(day % 3 == 0, 1.2).otherwise(1.0))
+    rows = spark.range(2500).select(F.lit("a").alias("region_id"), day.cast("int").alias("day_idx"), value.alias("x"))
+    out = in_order(ft.rolling(rows, ["x"], [width], ["std"], block_rows=512))
+    want = in_order(rows).x.shift(1).rolling(width, min_periods=2)
+    want = want.apply(lambda v: np.std(v[~np.isnan(v)], ddof=1) if (~np.isnan(v)).sum() > 1 else np.nan, raw=True)
+    np.testing.assert_allclose(out[f"x_rstd{width}"], want, rtol=1e-9)
