@@ -1,13 +1,16 @@
 """Blending and calibration of model predictions.
 
 Long frames carry (region_id, origin, horizon, model, pred); aligned frames have one column per model
-and the target.  A search over weights is an explode over the given grid followed by partial
-aggregation, so the exploded rows never leave their task.
+and the target.  A search over weights sums rows per edge of the grid and breakpoint (`error_table`); other
+searches explode their grid and aggregate partially, so the exploded rows never leave their task.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,13 +97,58 @@ def _spread(rows: DataFrame, keep: Sequence[str], grid: Column, names: Sequence[
     return points.select(*keep, "grid_idx", *[F.col("_g")[i].alias(n) for i, n in enumerate(names)])
 
 
-def error_table(aligned: DataFrame, models: Sequence[str], grid: Column, by: Sequence[str] = ("origin", "horizon")) -> DataFrame:
-    """Absolute error sums of every grid point: (by..., grid_idx, w_<model>..., sum_abs, n)."""
-    weights = [f"w_{m}" for m in models]
-    rows = _spread(aligned, [*by, *models, "target"], grid, weights)
-    blend = sum((F.col(w) * F.col(m) for w, m in zip(weights, models)), F.lit(0.0))
-    return rows.select(*by, "grid_idx", *weights, F.abs(blend - F.col("target")).alias("_e")).groupBy(*by, "grid_idx", *weights).agg(
-        F.sum("_e").alias("sum_abs"), F.count("_e").alias("n"))
+def _edges(models: int, parts: int, limits: Sequence[float]) -> list[dict[str, int]]:
+    """Shares of all models but the last two, with what they leave and the number of their first grid point."""
+    out, at = [], 0
+    for head in product(range(parts + 1), repeat=models - 2):
+        left = parts - sum(head)
+        if left >= 0:
+            if all(x / parts <= cap + 1e-12 for x, cap in zip(head, limits)):
+                out.append({"at": at, "left": left, **{f"h{i}": x for i, x in enumerate(head)}})
+            at += left + 1
+    return out
+
+
+def error_table(
+    aligned: DataFrame, models: Sequence[str], step: float, by: Sequence[str] = ("origin", "horizon"), caps: Sequence[float] | None = None,
+    times: Column | None = None,
+) -> DataFrame:
+    """Absolute error sums of every grid point: (by..., grid_idx, w_<model>..., sum_abs, n), a row counted `times`.
+
+    Points are numbered in lexicographic order of the shares. Along an edge of the grid, where the last two models
+    share what the others leave, a row's error is |a + b*t| with one breakpoint. Rows are summed per edge and
+    breakpoint, and prefix sums over an edge's few breakpoints give all its points: rows are repeated per edge, not
+    per point. Rows without a target or a model are left out.
+    """
+    parts = round(1.0 / step)
+    if abs(parts * step - 1.0) > 1e-9:
+        raise ValueError("step must divide 1 evenly")
+    limits = list(caps) if caps else [1.0] * len(models)
+    *head, near, last = models
+    edges, names = _edges(len(models), parts, limits), ["at", "left", *[f"h{i}" for i in range(len(head))]]
+    listed = F.from_json(F.lit(json.dumps(edges)), f"array<struct<{','.join(f'{n}:int' for n in names)}>>")
+    known = " and ".join(f"`{c}` is not null" for c in [*models, "target"])
+    rows = aligned.filter(known).select(*by, *models, "target", (times if times is not None else F.lit(1)).cast("double").alias("_m"), F.explode(listed).alias("_e"))
+    start = sum((F.col(f"_e.h{i}") * F.col(m) for i, m in enumerate(head)), F.col("_e.left") * F.col(last)) / parts - F.col("target")
+    rows = rows.select(*by, "_m", "_e.*", start.alias("_a"), ((F.col(near) - F.col(last)) / parts).alias("_b"))
+    sign = F.when((F.col("_b") < 0) | ((F.col("_b") == 0) & (F.col("_a") < 0)), -1.0).otherwise(1.0)
+    turn = F.when(F.col("_b") == 0, 0).otherwise(F.least(F.col("left") + 1.0, F.greatest(F.lit(0.0), F.ceil(-F.col("_a") / F.col("_b")))))
+    bins = rows.select(*by, *names, turn.cast("int").alias("_at"), (sign * F.col("_a") * F.col("_m")).alias("_a"), (sign * F.col("_b") * F.col("_m")).alias("_b"), "_m")
+    bins = bins.groupBy(*by, *names, "_at").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.sum("_m").alias("m"))
+    # An edge has at most parts + 2 breakpoints.
+    per = bins.groupBy(*by, *names).agg(
+        F.collect_list(F.struct("_at", "a", "b")).alias("_bins"), F.sum("a").alias("_ta"), F.sum("b").alias("_tb"), F.sum("m").cast("long").alias("n"))
+    points = per.select("*", F.explode(F.sequence(F.lit(0), F.col("left"))).alias("_t"))
+    after = F.filter("_bins", lambda x: x["_at"] <= F.col("_t"))
+    positive = F.aggregate(after, F.lit(0.0), lambda total, x: total + x["a"] + x["b"] * F.col("_t"))
+    shares = [*[F.col(f"h{i}") for i in range(len(head))], F.col("_t"), F.col("left") - F.col("_t")]
+    out = points.select(
+        *by, (F.col("at") + F.col("_t")).alias("grid_idx"), *[(x / F.lit(parts)).alias(f"w_{m}") for m, x in zip(models, shares, strict=True)],
+        F.greatest(F.lit(0.0), 2 * positive - (F.col("_ta") + F.col("_tb") * F.col("_t"))).alias("sum_abs"), "n")
+    for m, cap in zip(models, limits, strict=True):
+        if cap < 1.0:
+            out = out.filter(F.col(f"w_{m}") <= cap + 1e-12)
+    return out
 
 
 def _best(scored: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -122,12 +170,12 @@ def fit_weights(
 
 def search_two(aligned: DataFrame, models: Sequence[str], step: float, segment: Sequence[str] = ()) -> DataFrame:
     by = [*segment, "horizon"]
-    return fit_weights(error_table(aligned, models, weight_grid(2, step), by), models, by=by)
+    return fit_weights(error_table(aligned, models, step, by), models, by=by)
 
 
 def search_three(aligned: DataFrame, models: Sequence[str], step: float, segment: Sequence[str] = ()) -> DataFrame:
     by = [*segment, "horizon"]
-    return fit_weights(error_table(aligned, models, weight_grid(3, step), by), models, by=by)
+    return fit_weights(error_table(aligned, models, step, by), models, by=by)
 
 
 def constrained_fit(
@@ -138,9 +186,8 @@ def constrained_fit(
     parts = round(1.0 / step)
     if min(limits) < 0 or sum(min(parts, int(c * parts + 1e-9)) for c in limits) < parts:
         raise ValueError("no weights satisfy the caps")
-    grid = weight_grid(len(models), step, limits)
     by = [*segment, "horizon"]
-    return fit_weights(error_table(aligned, models, grid, by), models, anchor, lambda_reg, by)
+    return fit_weights(error_table(aligned, models, step, by, limits), models, anchor, lambda_reg, by)
 
 
 def residual_correlation(aligned: DataFrame, models: Sequence[str], segment: Sequence[str] = ()) -> DataFrame:
@@ -165,13 +212,39 @@ def bootstrap_fit(
 ) -> DataFrame:
     """Refit per draw by re-weighting the error table, then summarise the weights.
 
-    `draws` lists (draw, origin, multiplicity); it is given by the caller and joins as a small literal.
+    `draws` lists (draw, origin, multiplicity); it is given by the caller, and Spark broadcasts it if it is small.
     """
-    spark = errors.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(draws), "draw int, origin string, times int"))
-    weights = [f"w_{m}" for m in models]
+    table = errors.sparkSession.createDataFrame(list(draws), "draw int, origin string, times int")
     drawn = errors.join(table, "origin").withColumns({"sum_abs": F.col("sum_abs") * F.col("times"), "n": F.col("n") * F.col("times")})
-    fits = fit_weights(drawn, models, anchor, lambda_reg, [*segment, "draw", "horizon"])
+    return _draw_summary(fit_weights(drawn, models, anchor, lambda_reg, [*segment, "draw", "horizon"]), models, segment)
+
+
+#: Chances that a row is drawn at most 0, 1, 2 ... times when as many rows are drawn as there are (Poisson of mean one).
+AT_MOST = [round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 12) for k in range(10)]
+
+
+def row_times(draw: Column, keys: Sequence[str], seed: int) -> Column:
+    """How often a draw takes a row: a number from a digest of the row's key, so reruns and other engines agree."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], draw.cast("string"), F.lit(str(seed))))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+    return sum((F.when(share >= p, 1).otherwise(0) for p in AT_MOST), F.lit(0))
+
+
+def bootstrap_rows(
+    aligned: DataFrame, draws: int, models: Sequence[str], anchor: dict[str, float], step: float = 0.1, lambda_reg: float = 0.05,
+    keys: Sequence[str] = (*KEYS, "horizon"), seed: int = 42, segment: Sequence[str] = (),
+) -> DataFrame:
+    """Bootstrap over rows, where there are no origins to draw: multiplicities weight the rows, which are never copied."""
+    numbered = aligned.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    numbered = numbered.withColumn("_times", row_times(F.col("draw"), keys, seed)).filter("_times > 0")
+    by = [*segment, "draw", "horizon"]
+    fits = fit_weights(error_table(numbered, models, step, by, times=F.col("_times")), models, anchor, lambda_reg, by)
+    return _draw_summary(fits, models, segment)
+
+
+def _draw_summary(fits: DataFrame, models: Sequence[str], segment: Sequence[str]) -> DataFrame:
+    """Mean, spread and 5 and 95% quantiles of each model's weight over the draws."""
+    weights = [f"w_{m}" for m in models]
     cells = F.array(*[F.struct(F.lit(m).alias("model"), F.col(w).alias("weight")) for m, w in zip(models, weights)])
     long = fits.select(*segment, "horizon", F.explode(cells).alias("_w")).select(*segment, "horizon", "_w.*")
     # A group holds one weight per draw.

@@ -86,7 +86,7 @@ def s07(spark, sf):
 
 @query("j11_cross_grid", f"with {WIDE}, {_grid(10)} select horizon, cast(g - 1 as integer) as grid_idx, cast(count(*) as bigint) as n, round(sum(abs(wl * lgb + wx * xgb + wc * cat - target)) + 1e-9, 5) as sum_abs from wide, grid group by 1, 2")
 def j11(spark, sf):
-    out = blend.error_table(aligned(spark, sf), MODELS, blend.weight_grid(3, 0.1), ["horizon"])
+    out = blend.error_table(aligned(spark, sf), MODELS, 0.1, ["horizon"])
     return rounded(out, ["horizon", "grid_idx", "n"], ["sum_abs"], 5)
 
 
@@ -135,10 +135,24 @@ f as (select *, mae + {PULL} as objective from d), b as (select * from f qualify
 l as (select horizon, 'lgb' as model, wl as w from b union all select horizon, 'xgb', wx from b union all select horizon, 'cat', wc from b)
 select horizon, model, round(avg(w) + 1e-9, 6) as mean, round(coalesce(stddev_samp(w), 0) + 1e-9, 6) as std, round(quantile_cont(w, 0.05) + 1e-9, 6) as p05, round(quantile_cont(w, 0.95) + 1e-9, 6) as p95 from l group by 1, 2""")
 def b05(spark, sf):
-    errors = blend.error_table(aligned(spark, sf), MODELS, blend.weight_grid(3, 0.1))
+    errors = blend.error_table(aligned(spark, sf), MODELS, 0.1)
     return rounded(blend.bootstrap_fit(errors, DRAWS, MODELS, ANCHOR), ["horizon", "model"], ["mean", "std", "p05", "p95"])
 
 
+ROW_DRAWS = 12
+SHARE = "cast(concat('0x', substr(md5(concat_ws('|', region_id, origin, cast(horizon as varchar), cast(draw as varchar), '42')), 1, 8)) as bigint) / 4294967296.0"
+
+
+@query("b05_bootstrap_rows", f"""with {WIDE}, {_grid(10)}, drawn_ as (select wide.*, draw, {SHARE} as u from wide, range({ROW_DRAWS}) t(draw)),
+times_ as (select *, {" + ".join(f"(u >= {p!r})::int" for p in blend.AT_MOST)} as times from drawn_),
+e as (select draw, horizon, g, wl, wx, wc, sum(times * abs(wl * lgb + wx * xgb + wc * cat - target)) / sum(times) as mae from times_, grid where times > 0 group by all),
+f as (select *, mae + {PULL} as objective from e), b as (select * from f qualify row_number() over (partition by draw, horizon order by round(objective, 9), g) = 1),
+l as (select horizon, 'lgb' as model, wl as w from b union all select horizon, 'xgb', wx from b union all select horizon, 'cat', wc from b)
+select horizon, model, round(avg(w) + 1e-9, 6) as mean, round(coalesce(stddev_samp(w), 0) + 1e-9, 6) as std, round(quantile_cont(w, 0.05) + 1e-9, 6) as p05, round(quantile_cont(w, 0.95) + 1e-9, 6) as p95 from l group by 1, 2""")
+def b05_rows(spark, sf):
+    return rounded(blend.bootstrap_rows(aligned(spark, sf), ROW_DRAWS, MODELS, ANCHOR), ["horizon", "model"], ["mean", "std", "p05", "p95"])
+
+
 @query("b06_apply_weights", f"with {WIDE}, {FIT} select region_id, origin, horizon, round(least(5.0, greatest(0.0, lgb * wl + xgb * wx + cat * wc)) + 1e-9, 6) as pred from wide join fit using (horizon)")
 def b06(spark, sf):
     rows = aligned(spark, sf)

@@ -47,7 +47,7 @@ def test_constrained_fit_equals_brute_force(aligned):
 
 def test_bootstrap_equals_refit(aligned, spark):
     draws = [(0, "o0", 2), (0, "o1", 1), (1, "o2", 3)]
-    errors = blend.error_table(aligned, MODELS, blend.weight_grid(3, 0.25))
+    errors = blend.error_table(aligned, MODELS, 0.25)
     got = blend.bootstrap_fit(errors, draws, MODELS, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).toPandas()
     pdf, fits = aligned.toPandas(), []
     for d in (0, 1):
@@ -158,3 +158,24 @@ def test_global_position_equals_sort(spark):
     assert list(got.id) == list(pdf.sort_values(["x", "id"], na_position="last").id) and list(got["rank"]) == list(range(1, 4001))
     sizes = [r["count"] for r in rows.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 3 * 4000 / len(sizes)
+
+
+@pytest.mark.parametrize("models, step, caps", [(2, 0.05, None), (3, 0.1, [0.6, 1.0, 0.5]), (4, 0.25, None), (5, 0.25, [0.5, 1.0, 1.0, 0.75, 1.0])])
+def test_breakpoints_equal_the_whole_grid(spark, models, step, caps):
+    """Every point of the grid: ties at zero, equal models, models that are absent."""
+    import random
+    from itertools import product
+
+    rng, parts, names = random.Random(models), round(1 / step), [f"m{i}" for i in range(models)]
+    rows = [("h", float(rng.randrange(6)), *[round(rng.uniform(0, 5), rng.choice([0, 1, 6])) for _ in names]) for _ in range(60)]
+    rows += [("h", 2.0, *[2.0] * models), ("h", 1.0, *[3.0] * models), ("h", None, *[1.0] * models), ("h", 1.0, None, *[1.0] * (models - 1))]
+    df = spark.createDataFrame(rows, "k string, target double, " + ", ".join(f"{n} double" for n in names))
+    got = {r["grid_idx"]: r for r in blend.error_table(df, names, step, ["k"], caps).collect()}
+    points = [p for p in product(range(parts + 1), repeat=models) if sum(p) == parts]
+    kept = [i for i, p in enumerate(points) if all(x / parts <= c + 1e-12 for x, c in zip(p, caps or [1.0] * models))]
+    assert sorted(got) == kept
+    whole = [r for r in rows if None not in r]
+    for i in kept:
+        want = sum(abs(sum(x / parts * v for x, v in zip(points[i], r[2:])) - r[1]) for r in whole)
+        assert got[i]["sum_abs"] == pytest.approx(want, abs=1e-9) and got[i]["n"] == len(whole)
+        assert [got[i][f"w_{n}"] for n in names] == [x / parts for x in points[i]]
