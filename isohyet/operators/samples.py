@@ -86,8 +86,9 @@ def date_rank(df: DataFrame) -> DataFrame:
     return df.join(ranked, ["year", "month", "day"])
 
 
-def _largest(df: DataFrame, column: str) -> int:
-    return df.agg(F.max(column)).first()[0]
+def _largest(df: DataFrame, column: str) -> Column:
+    """The largest value as a scalar subquery: part of the plan, no job of its own."""
+    return df.agg(F.max(column)).scalar()
 
 
 def recent_filter(samples: DataFrame, recent_days: int) -> DataFrame:
@@ -119,11 +120,12 @@ def rolling_origin_split(samples: DataFrame, folds: int, horizon: int) -> DataFr
 def expanding_date_split(samples: DataFrame, n: int) -> DataFrame:
     """Global date cuts with a growing training part: one copy per fold in which a row takes part."""
     ranked = date_rank(samples)
-    size = (_largest(ranked, "date_rank") + 1) // (n + 1)
     last = _largest(ranked, "date_rank")
+    ranked = ranked.withColumn("_last", last)
+    size = F.floor((F.col("_last") + 1) / (n + 1)).cast("int")
     folds = F.array(*[
-        F.struct(F.lit(i).alias("fold"), F.lit(size * (i + 1)).alias("cut"), F.lit(min(size * (i + 2), last)).alias("stop")) for i in range(n)])
-    rows = ranked.select("*", F.explode(folds).alias("_f")).select("*", "_f.*").drop("_f")
+        F.struct(F.lit(i).alias("fold"), (size * (i + 1)).alias("cut"), F.least(size * (i + 2), F.col("_last")).alias("stop")) for i in range(n)])
+    rows = ranked.select("*", F.explode(folds).alias("_f")).select("*", "_f.*").drop("_f", "_last")
     rank = F.col("date_rank")
     return rows.withColumns({
         "is_train": rank < F.col("cut"), "is_val": (rank >= F.col("cut")) & (rank < F.col("stop")),
@@ -149,8 +151,8 @@ def require_both_sides(split: DataFrame) -> DataFrame:
 
 
 def _normalised(df: DataFrame, raw: str) -> DataFrame:
-    mean = df.agg(F.avg(raw)).first()[0]
-    return df.withColumn("weight", F.least(F.lit(20.0), F.greatest(F.lit(0.05), F.col(raw) / F.lit(mean)))).drop(raw)
+    mean = df.agg(F.avg(raw)).scalar()
+    return df.withColumn("weight", F.least(F.lit(20.0), F.greatest(F.lit(0.05), F.col(raw) / mean))).drop(raw)
 
 
 def recency_weights(samples: DataFrame, half_life_days: float, mode: str = "region") -> DataFrame:
@@ -159,7 +161,7 @@ def recency_weights(samples: DataFrame, half_life_days: float, mode: str = "regi
         aged = samples.withColumn("_age", (F.col("max_week_idx") - F.col("week_idx")) * 7.0)
     else:
         ranked = date_rank(samples)
-        aged = ranked.withColumn("_age", (F.lit(_largest(ranked, "date_rank")) - F.col("date_rank")) * 7.0)
+        aged = ranked.withColumn("_age", (_largest(ranked, "date_rank") - F.col("date_rank")) * 7.0)
     return _normalised(aged.withColumn("_raw", F.pow(F.lit(0.5), F.col("_age") / half_life_days)).drop("_age"), "_raw")
 
 
@@ -178,9 +180,9 @@ def season_weights(weighted: DataFrame, test: DataFrame, multiplier: float) -> D
         season_keys(test).withColumn("_match", F.lit(True)), ["region_id", "md"], "left")
     hit = F.coalesce(F.col("_match"), F.lit(False))
     marked = marked.withColumn("season_match", hit).withColumn("_raw", F.col("weight") * F.when(hit, multiplier).otherwise(1.0)).drop("_match")
-    if not marked.filter("season_match").limit(1).count():
-        return marked.drop("_raw")
-    return _normalised(marked, "_raw")
+    # Without a match the given weights stay as they are.
+    some = marked.agg(F.max("season_match")).scalar()
+    return _normalised(marked.withColumnRenamed("weight", "_given"), "_raw").withColumn("weight", F.when(some, F.col("weight")).otherwise(F.col("_given"))).drop("_given")
 
 
 def final_row(df: DataFrame, mode: str = "last_row", keys: Sequence[str] = KEYS) -> DataFrame:
