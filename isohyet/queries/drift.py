@@ -179,8 +179,9 @@ def d11(spark, sf):
     return rounded(drift.bounded_sample(rows, 900, 42, KEYS, side="split"), [*KEYS, "split"], ["prec"])
 
 
-HIST = SPLIT + """, r as (select *, 'train' as split from train union all by name select *, 'test' as split from test), f as (select split, prec as value, 'prec' as feature from r
- union all select split, tmp, 'tmp' from r union all select split, case when prec < 0.1 then 1.0 else 0.0 end, 'dry_day' from r), v as (select * from f where value is not null)"""
+HIST = SPLIT + """, r as (select *, 'train' as split from train union all by name select *, 'test' as split from test), f as (""" + " union all ".join(
+    f"select split, {c} as value, '{c}' as feature from r" for c in MEASURES) + """
+ union all select split, case when prec < 0.1 then 1.0 else 0.0 end, 'dry_day' from r), v as (select * from f where value is not null)"""
 
 
 @query("d12_histogram_table", f"""with {HIST}, q as (select feature, quantile_cont(value, 0.005) as a, quantile_cont(value, 0.995) as b, min(cast(value in (0.0, 1.0) as integer)) = 1 as bin01 from v group by 1),
@@ -191,10 +192,10 @@ c as (select feature, split, bin, count(*) as rows, max(w) as w from s group by
 select feature, split, bin, cast(rows as bigint) as rows, round(rows / sum(rows) over (partition by feature, split) / w + 1e-9, 6) as density from c""")
 def d12(spark, sf):
     rows = ft.daily_derived(both(spark, sf))
-    return rounded(drift.histogram_table(rows, ["prec", "tmp", "dry_day"], 40), ["feature", "split", "bin", "rows"], ["density"])
+    return rounded(drift.histogram_table(rows, [*MEASURES, "dry_day"], 40), ["feature", "split", "bin", "rows"], ["density"])
 
 
-@query("d12_ecdf_table", f"""with {HIST}, c as (select feature, split, value, count(*) as n from v where feature <> 'dry_day' group by 1, 2, 3)
+@query("d12_ecdf_table", f"""with {HIST}, c as (select feature, split, value, count(*) as n from v where feature in ('prec', 'tmp') group by 1, 2, 3)
 select feature, split, round(value + 1e-9, 6) as value, round(sum(n) over (partition by feature, split order by value) / sum(n) over (partition by feature, split) + 1e-9, 6) as ecdf from c""")
 def d12_ecdf(spark, sf):
     return rounded(drift.ecdf_table(both(spark, sf), ["prec", "tmp"]), ["feature", "split"], ["value", "ecdf"])
@@ -202,7 +203,7 @@ def d12_ecdf(spark, sf):
 
 @query("d12_centre_table", f"with {HIST} select feature, split, cast(count(*) as bigint) as rows, round(avg(value) + 1e-9, 6) as mean, round(median(value) + 1e-9, 6) as median from v where feature <> 'dry_day' group by 1, 2")
 def d12_centre(spark, sf):
-    return rounded(drift.centre_table(both(spark, sf), ["prec", "tmp"]), ["feature", "split", "rows"], ["mean", "median"])
+    return rounded(drift.centre_table(both(spark, sf), MEASURES), ["feature", "split", "rows"], ["mean", "median"])
 
 
 AUC_SQL = f"""with {_long(MEASURES, SEASONS, "tagged")}, c as (select feature, baseline, value, count(*) as n from long group by all),

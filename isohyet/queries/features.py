@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from isohyet.fixed import MEASURES
+from isohyet.functions.numeric import r6
 from isohyet.operators import features as ft
+from isohyet.operators.quantiles import column_medians
 from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, trailing
 
 
@@ -44,6 +49,27 @@ def w03_long(spark, sf):
     return rounded(ft.rolling(panel(spark, sf), ["prec"], [90, 365, 730], ["mean", "sum", "max"]), KEYS, list(LONG_ROLLS))
 
 
+ALL_LONG = {
+    f"{c}_r{fn}{w}": f"{agg}({c}) {trailing(w)}"
+    for c in MEASURES for w in (90, 365, 730) for fn, agg in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"))
+}
+
+
+def _region_means(columns, ctes: str) -> str:
+    """Every column as its region's mean and number of values: all columns and days, in few rows."""
+    cells = ", ".join(f"round(avg({c}) + 1e-9, 5) as {c}, count({c}) as n_{c}" for c in columns)
+    return f"{ctes} select region_id, {cells} from o group by 1"
+
+
+def region_means(df, columns):
+    return df.groupBy("region_id").agg(*[x for c in columns for x in (r6(F.avg(c), 5).alias(c), F.count(c).alias(f"n_{c}"))])
+
+
+@query("w03_rolling_long_all", _region_means(ALL_LONG, f"with {PANEL}, o as (select region_id, {', '.join(f'{v} as {k}' for k, v in ALL_LONG.items())} from panel)"))
+def w03_long_all(spark, sf):
+    return region_means(ft.rolling(panel(spark, sf), MEASURES, [90, 365, 730], ["mean", "std", "max"]), ALL_LONG)
+
+
 FLAGS = {
     "dry_days": "case when prec < 0.1 then 1.0 else 0.0 end", "rain_days": "case when prec >= 1 then 1.0 else 0.0 end",
     "hot_days": "case when tmp_max >= 30 then 1.0 else 0.0 end",
@@ -83,6 +109,29 @@ def w05(spark, sf):
     return rounded(ft.ewm(panel(spark, sf), ["tmp"], [3, 7, 14]), KEYS, [f"tmp_ewm{s}" for s in (3, 7, 14)])
 
 
+SPANS = (3, 7, 14)
+ALL_EWM = [f"{c}_ewm{s}" for c in MEASURES for s in SPANS]
+
+
+def _all_ewm_sql() -> str:
+    """The recurrence of every measure, as `_ewm_sql` states it for one."""
+    state = [(c, s, f"y{i}_{s}") for i, c in enumerate(MEASURES) for s in SPANS]
+    step = ", ".join(f"case when r.{y} is null then f.x_{c} else r.{y} * (1 - 2.0 / ({s} + 1)) + f.x_{c} * (2.0 / ({s} + 1)) end" for c, s, y in state)
+    ctes = f"""with recursive {PANEL},
+filled as materialized (select region_id, day_idx, {", ".join(f"last_value({c} ignore nulls) over (partition by region_id order by day_idx) as x_{c}" for c in MEASURES)} from panel),
+r(region_id, day_idx, {", ".join(y for *_, y in state)}) as (
+ select region_id, day_idx, {", ".join(f"x_{c}" for c, *_ in state)} from filled where day_idx = 0
+ union all
+ select f.region_id, f.day_idx, {step} from r join filled f on f.region_id = r.region_id and f.day_idx = r.day_idx + 1),
+o as (select region_id, {", ".join(f"lag({y}) over (partition by region_id order by day_idx) as {c}_ewm{s}" for c, s, y in state)} from r)"""
+    return _region_means(ALL_EWM, ctes)
+
+
+@query("w05_ewm_all", _all_ewm_sql())
+def w05_all(spark, sf):
+    return region_means(ft.ewm(panel(spark, sf), MEASURES, list(SPANS)), ALL_EWM)
+
+
 STREAK = PANEL + """,
 islands as (select region_id, day_idx, prec < 0.1 as dry,
  sum(case when prec < 0.1 then 0 else 1 end) over (partition by region_id order by day_idx) as island from panel),
@@ -129,6 +178,21 @@ def w08_both(spark, sf):
     return rounded(ft.impute(panel(spark, sf), list(BOTH_WAYS), mode="ffill_bfill"), KEYS, list(BOTH_WAYS))
 
 
+def _with_medians(expressions: dict[str, str]) -> str:
+    """What both fills leave empty takes the column's median over the panel, regions without any value included."""
+    gaps = ", ".join(f"case when region_id in ('R1', 'R3') then null else {c} end as {c}" for c in expressions)
+    cells = ", ".join(f"round(coalesce(last_value({c} ignore nulls) over (partition by region_id order by day_idx), first_value({c} ignore nulls) over (partition by region_id order by day_idx rows between current row and unbounded following), m_{c}, 0) + 1e-9, 6) as {c}" for c in expressions)
+    return f"with {PANEL}, gaps as (select region_id, day_idx, {gaps} from panel), m as (select {', '.join(f'median({c}) as m_{c}' for c in expressions)} from panel) select region_id, day_idx, {cells} from gaps, m"
+
+
+@query("w08_impute_medians", _with_medians(dict.fromkeys(MEASURES)))
+def w08_medians(spark, sf):
+    """Two regions lose all their values, so every step of the imputation is needed."""
+    rows = panel(spark, sf)
+    gaps = rows.withColumns({c: F.when(~F.col("region_id").isin("R1", "R3"), F.col(c)) for c in MEASURES})
+    return rounded(ft.impute(gaps, mode="ffill_bfill", medians=column_medians(rows, MEASURES)), KEYS, MEASURES)
+
+
 KNOWN = PANEL + """, known as (select *, last_value(score ignore nulls) over (partition by region_id order by day_idx) as ks from panel)"""
 
 

@@ -141,32 +141,33 @@ def w15(spark, sf):
     return rounded(samples.visible_label_priors(rows, samples.label_median(rows)), KEYS, PRIOR_COLS)
 
 
+CHECKED = [f"{kind}_{c}" for c in MEASURES for kind in ("weighted", "first", "last")]
+
+
 @query("w16_sequence_samples", f"""with {WEEKLY}, g as (select median(score) as v from weekly),
 known as (select region_id, day_idx, last_value(score ignore nulls) over (partition by region_id order by day_idx) as ks from panel),
 lagged as (select region_id, day_idx, lag(ks, 91) over (partition by region_id order by day_idx) as prev from known),
-o as (select s.region_id, s.day_idx, s.target_w1, s.target_w5, coalesce(l.prev, g.v) as previous_score from sample s join lagged l using (region_id, day_idx) cross join g where s.day_idx >= 90),
-d as (select o.region_id, o.day_idx, count(*) as days, sum(p.prec * (p.day_idx - o.day_idx + 91)) as weighted_prec, arg_min(p.prec, p.day_idx) as first_prec, arg_max(p.prec, p.day_idx) as last_prec
+o as (select s.region_id, s.day_idx, {TARGETS}, coalesce(l.prev, g.v) as previous_score from sample s join lagged l using (region_id, day_idx) cross join g where s.day_idx >= 90),
+d as (select o.region_id, o.day_idx, count(*) as days, {", ".join(f"sum(coalesce(p.{c}, 0) * (p.day_idx - o.day_idx + 91)) as weighted_{c}, max(case when p.day_idx = o.day_idx - 90 then p.{c} end) as first_{c}, max(case when p.day_idx = o.day_idx then p.{c} end) as last_{c}" for c in MEASURES)}
  from o join panel p on p.region_id = o.region_id and p.day_idx between o.day_idx - 90 and o.day_idx group by 1, 2)
-select region_id, day_idx, target_w1, target_w5, previous_score, cast(days as integer) as days, round(weighted_prec + 1e-9, 4) as weighted_prec,
- round(first_prec + 1e-9, 4) as first_prec, round(last_prec + 1e-9, 4) as last_prec from o join d using (region_id, day_idx)""")
+select region_id, day_idx, {TARGETS}, previous_score, cast(days as integer) as days, {sql_rounded(CHECKED, 4)} from o join d using (region_id, day_idx)""")
 def w16(spark, sf):
-    """The arrays are checked through their length, ends and a position-weighted sum."""
+    """The arrays are checked through their length, and for every measure the ends and a position-weighted sum."""
     rows = panel(spark, sf).select(*KEYS, "date", "score", *MEASURES)
     seq = samples.sequence_samples(rows, samples.label_median(rows))
-    prec = F.transform("sequence", lambda s, i: s["prec"] * (i + 1))
-    flat = seq.select(
-        *KEYS, "target_w1", "target_w5", "previous_score", F.size("sequence").alias("days"),
-        F.aggregate(prec, F.lit(0.0), lambda a, x: a + x).alias("weighted_prec"),
-        F.element_at("sequence", 1)["prec"].alias("first_prec"), F.element_at("sequence", -1)["prec"].alias("last_prec"))
-    return rounded(flat, [*KEYS, "target_w1", "target_w5", "previous_score", "days"], ["weighted_prec", "first_prec", "last_prec"], 4)
+    sums = F.aggregate(
+        F.transform("sequence", lambda s, i: F.array(*[F.coalesce(s[c], F.lit(0.0)) * (i + 1) for c in MEASURES])), F.array(*[F.lit(0.0)] * len(MEASURES)),
+        lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    flat = seq.select(*KEYS, *samples.TARGETS, "previous_score", F.size("sequence").alias("days"), sums.alias("_w"), F.element_at("sequence", 1).alias("_a"), F.element_at("sequence", -1).alias("_z"))
+    flat = flat.withColumns({n: x for i, c in enumerate(MEASURES) for n, x in ((f"weighted_{c}", F.col("_w")[i]), (f"first_{c}", F.col("_a")[c]), (f"last_{c}", F.col("_z")[c]))})
+    return rounded(flat, [*KEYS, *samples.TARGETS, "previous_score", "days"], CHECKED, 4)
 
 
 @query("a11_sequence_norm", f"""with {WEEKLY}, s as (select region_id, day_idx from sample where day_idx >= 90 and week_idx + 40 < max_week_idx),
-c as (select p.region_id, p.day_idx, p.prec, p.wind_max, count(*) as n from panel p join s on s.region_id = p.region_id and p.day_idx between s.day_idx - 90 and s.day_idx group by 1, 2, 3, 4),
-u as (select 'prec' as feature, prec as x, n from c union all select 'wind_max', wind_max, n from c),
-m as (select feature, sum(x * n) / sum(n) as mean, sum(x * x * n) / sum(n) as sq from u where x is not null group by 1)
+c as (select {", ".join(f"avg({c}) as m_{c}, avg({c} * {c}) as q_{c}" for c in MEASURES)} from panel p join s on s.region_id = p.region_id and p.day_idx between s.day_idx - 90 and s.day_idx),
+m as ({" union all ".join(f"select '{c}' as feature, m_{c} as mean, q_{c} as sq from c" for c in MEASURES)})
 select feature, round(mean + 1e-9, 5) as mean, round(sqrt(greatest(sq - mean * mean, 1e-6)) + 1e-9, 5) as std from m""")
 def a11(spark, sf):
-    rows = panel(spark, sf).select(*KEYS, "score", "prec", "wind_max")
+    rows = panel(spark, sf).select(*KEYS, "score", *MEASURES)
     train = samples.lead_targets(rows).filter("day_idx >= 90 and week_idx + 40 < max_week_idx")
-    return rounded(sequences.sequence_norm(rows, train, ["prec", "wind_max"]), ["feature"], ["mean", "std"], 5)
+    return rounded(sequences.sequence_norm(rows, train, MEASURES), ["feature"], ["mean", "std"], 5)

@@ -251,11 +251,11 @@ def a01_anomaly(spark, sf):
     return rounded(priors.climate_anomalies(both, train), KEYS, list(ANOMALY), 5)
 
 
-@query("j02_join_climatology", f"""with {CLIM} select region_id, day_idx, {sql_rounded(CLIM_COLUMNS[:4])} from dated left join clim using (region_id, month)""")
+@query("j02_join_climatology", f"""with {CLIM} select region_id, day_idx, {sql_rounded(CLIM_COLUMNS)} from dated left join clim using (region_id, month)""")
 def j02(spark, sf):
     train, test = splits(spark, sf)
     both = train.drop("score").unionByName(test).select(*KEYS, "date")
-    return rounded(priors.join_climatology(both, priors.climatology(train)), KEYS, CLIM_COLUMNS[:4])
+    return rounded(priors.join_climatology(both, priors.climatology(train)), KEYS, CLIM_COLUMNS)
 
 
 PRIOR_SQL = {
@@ -362,13 +362,19 @@ def l02(spark, sf):
     return rounded(profiles.top_missing(panel(spark, sf), MEASURES, 5), ["feature", "missing", "rows"], ["missing_rate"])
 
 
+@query("a07_missing_summary", MISSING.split("\nselect feature")[0] + """
+select max(rows) as rows, count(*) as columns, count_if(missing > 0) as missing_columns, cast(sum(missing) as bigint) as missing_cells, round(max(missing / rows) + 1e-9, 6) as max_rate from u""")
+def a07_summary(spark, sf):
+    return rounded(profiles.missing_summary(panel(spark, sf), MEASURES), ["rows", "columns", "missing_columns", "missing_cells"], ["max_rate"])
+
+
 @query("a12_train_zscore", f"""with {SPLIT}, s as (select """ + ", ".join(
-    f"avg({c}) {c}_m, coalesce(nullif(stddev_samp({c}), 0), 1) {c}_s" for c in ("tmp", "wind")) + f""" from train)
-select region_id, day_idx, round((tmp - tmp_m) / tmp_s + 1e-9, 6) as tmp_z, round((wind - wind_m) / wind_s + 1e-9, 6) as wind_z from panel, s""")
+    f"avg({c}) {c}_m, coalesce(nullif(stddev_samp({c}), 0), 1) {c}_s" for c in MEASURES) + f""" from train)
+select region_id, day_idx, {", ".join(f"round(({c} - {c}_m) / {c}_s + 1e-9, 6) as {c}_z" for c in MEASURES)} from panel, s""")
 def a12(spark, sf):
     train, test = splits(spark, sf)
     both = union_splits(train, test)
-    return rounded(profiles.train_zscore(both, ["tmp", "wind"], F.col("split") == "train"), KEYS, ["tmp_z", "wind_z"])
+    return rounded(profiles.train_zscore(both, MEASURES, F.col("split") == "train"), KEYS, [f"{c}_z" for c in MEASURES])
 
 
 PROFILE = {c: f"coalesce(avg({c}), 0)" for c in MEASURES} | {
