@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import shingles as S
-from isohyet.llm.common import hinted, short_batches, store
+from isohyet.llm.common import body, hinted, match, short_batches, store
 from isohyet.llm.components import components
+from isohyet.llm.merkle import numbered
 
 ROWS = 5
 #: A pair of similarity 0.8 shares no band of 5 coordinates with probability (1 - 0.8^5)^40 = 1.3e-7.
@@ -145,7 +146,24 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, of which each group's smallest id stays; an id stays where all its texts do."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = hinted(store(gone, "near_gone"), 8)
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of `docs`, all columns, of which each group's smallest id stays.
+
+    Where some id stands for several rows, each pair of id and text is numbered, by id and then by digest, and the numbers
+    are compared instead: a text goes only if it is a near copy itself, and of near copies under one id one stays. Rows that
+    repeat id and text are decided alike; rows without id stay.
+    """
+    id_ = F.col(id_col).cast("long")
+    many = docs.select(id_.alias("__id")).filter("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    if not many.limit(1).count():
+        return _without(docs, id_, near_duplicates(docs, id_col, text_col, words, percent))
+    keys = ["__id", "__digest"]
+    marked = docs.withColumns({"__id": id_, "__digest": F.sha2(body(text_col), 256)})
+    pairs = marked.filter("__id is not null").select(*keys).distinct().withColumn("__all", F.lit(0))
+    pairs = numbered(pairs, ["__all", *keys], "__all", "near_ids").select(*keys, F.col("position").alias("__place"))
+    marked = match(marked, store(pairs, "near_places"), keys, "left")
+    return _without(marked, F.col("__place"), near_duplicates(marked, "__place", text_col, words, percent)).drop(*keys, "__place")
+
+
+def _without(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    gone = decided.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(hinted(store(gone, "near_gone"), 8), key == F.col("__gone"), "left_anti")
