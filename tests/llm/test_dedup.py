@@ -98,3 +98,15 @@ def test_components(spark, seed):
     want = plain_components({x for p in links for x in p}, links)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {k for k, v in want.items() if Counter(want.values())[v] == 1}
+
+
+def test_near_decides_by_id_and_text(spark):
+    """An id with several texts: only its near copy goes, the unique text stays; of near copies under one id one stays."""
+    base = [f"w{i}" for i in range(60)]
+    copy, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(30))
+    base = " ".join(base)
+    mixed = rows(spark, [(1, base, "en", "a"), (2, copy, "en", "a"), (2, other, "en", "a"), (2, other, "de", "b"), (None, base, "en", "a")])
+    left = drop_near_duplicates(mixed)
+    assert left.columns == mixed.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(0, base), (1, base), (2, other), (2, other)])
+    assert drop_near_duplicates(rows(spark, [(4, base, "en", "a"), (4, copy, "en", "a")])).count() == 1
