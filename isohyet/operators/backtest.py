@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from isohyet.fixed import DEFAULT_ORIGINS, GAP_DAYS, HISTORY_DAYS, HORIZONS
 from isohyet.functions.blocks import KEYS, spread
 from isohyet.functions.dates import month_of
-from isohyet.operators.priors import region_profile
 from isohyet.operators.samples import TARGETS, lead_targets
 from isohyet.plans.feature_table import FeatureOptions, build_features, look_back_days
 
@@ -110,12 +109,6 @@ def join_predictions(preds: DataFrame, targets: DataFrame, clusters: DataFrame |
     return rows.join(clusters, "region_id", "left") if clusters is not None else rows
 
 
-def coarse_segment(panel: DataFrame, parts: int = 5) -> DataFrame:
-    """Cluster stand-in from the region profile: label mean cut into `parts` equal ranges."""
-    cut = F.least(F.lit(parts - 1), F.floor(F.col("score_mean") / 5.0 * parts)).cast("int")
-    return region_profile(panel).select("region_id", cut.alias("region_cluster"))
-
-
 def long_errors(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per (kept keys, horizon) with pred, target and abs_error."""
     pairs = F.array(*[

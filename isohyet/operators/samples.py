@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.fixed import GAP_DAYS, HORIZONS, MEASURES
-from isohyet.functions.blocks import BLOCK, BLOCK_ROWS, KEYS, OWN, running_state, spread, with_position
+from isohyet.functions.blocks import BLOCK, KEYS, OWN, running_state, spread, with_position
 from isohyet.functions.dates import month_day_code, parse_synthetic_date
 from isohyet.functions.numeric import finite_or_null
 from isohyet.operators.priors import with_month
@@ -245,21 +245,25 @@ def visible_label_priors(panel: DataFrame, fallback: float, gap: int = GAP_DAYS,
 def sequence_samples(panel: DataFrame, fallback: float, length: int = 91, gap: int = GAP_DAYS, columns: Sequence[str] = tuple(MEASURES), keys: Sequence[str] = KEYS, block_rows: int | None = None) -> DataFrame:
     """Weekly origins with a `length`-day array of measures, the label visible `gap` days before and targets.
 
-    Days are gathered once per time block (a bounded group) and each origin takes a slice, so a day is
-    not copied once per origin that covers it.
+    The array is aligned by day: a day that the panel lacks is null, so a gap shifts nothing. Days are gathered in
+    blocks of `length` days with the `length` - 1 days before them, so each day is copied at most twice and an origin
+    meets one bounded array whatever the length of its region.
     """
     targets = lead_targets(panel, keys=keys, block_rows=block_rows).filter(F.col("day_idx") >= length - 1)
     known = spread(panel, gap, keys=keys, carry=["score"], block_rows=block_rows)
     known.add({"_known": known.last_known("score")}, temp=True)
     known.add({"previous_score": F.coalesce(F.lag("_known", gap).over(known.window), F.lit(float(fallback)))})
     origins = targets.join(known.done(keep=[*keys, "day_idx", "previous_score"]), [*keys, "day_idx"])
-    days = spread(panel, length - 1, keys=keys, block_rows=block_rows)
-    size = block_rows or BLOCK_ROWS
-    gathered = days.df.groupBy(*keys, BLOCK).agg(
-        F.sort_array(F.collect_list(F.struct("day_idx", *columns))).alias("_days"), F.min("day_idx").alias("_from"))
-    placed = origins.withColumn(BLOCK, F.floor(F.col("day_idx") / size).cast("long")).join(gathered, [*keys, BLOCK])
-    start = (F.col("day_idx") - length + 1 - F.col("_from") + 1).cast("int")
-    return placed.withColumn("sequence", F.slice("_days", start, length)).drop(BLOCK, OWN, "_days", "_from")
+    days = spread(panel.select(*keys, "day_idx", *columns), length - 1, keys=keys, block_rows=length)
+    gathered = days.df.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(F.struct("day_idx", *columns))).alias("_days"))
+    first, last = F.col("_days")[0]["day_idx"], F.element_at("_days", -1)["day_idx"]
+    dense = F.transform(F.sequence(first, last), lambda day: F.get(F.filter("_days", lambda x: x["day_idx"] == day), F.lit(0)))
+    gathered = gathered.withColumns({"_from": first, "_days": F.when(last - first + 1 == F.size("_days"), F.col("_days")).otherwise(dense)})
+    placed = origins.withColumn(BLOCK, F.floor(F.col("day_idx") / length).cast("long")).join(gathered, [*keys, BLOCK])
+    start = (F.col("day_idx") - length + 1 - F.col("_from")).cast("int")
+    none = F.get(F.slice("_days", 1, 0), F.lit(0))
+    led = F.concat(F.array_repeat(none, -start), F.slice("_days", F.lit(1), start + length))
+    return placed.withColumn("sequence", F.when(start >= 0, F.slice("_days", start + 1, length)).otherwise(led)).drop(BLOCK, OWN, "_days", "_from")
 
 
 def label_median(panel: DataFrame) -> float:

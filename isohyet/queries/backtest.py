@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from isohyet.operators import backtest as bt
 from isohyet.operators import profiles, samples
+from isohyet.operators.clusters import region_clusters
 from isohyet.plans.feature_table import FeatureOptions
-from isohyet.queries.registry import KEYS, panel, query, rounded, sql_rounded, stored
+from isohyet.queries.registry import KEYS, PANEL, cluster_sql, panel, query, rounded, sql_rounded, stored
 from isohyet.queries.samples import TARGETS, WEEKLY
 from isohyet.session import new_path
 from isohyet.sources import toys
@@ -143,12 +144,20 @@ def scored(spark, sf):
     return bt.join_predictions(predictions(spark, sf), targets(spark, sf))
 
 
-@query("j06_join_pred_target_cluster", f"""with {PREDS}, pr as (select region_id, avg(score) as sm from panel group by 1)
-select p.region_id, p.origin, p.model, t.origin_month, cast(least(4, floor(coalesce(sm, 0) / 5 * 5)) as integer) as region_cluster, round(p.pred + 1e-9, 6) as pred_week1, t.target_w1
-from preds p join targets t using (region_id, origin) left join pr using (region_id)""")
+def clusters(spark, sf):
+    return stored(spark, sf, "clusters", lambda: region_clusters(panel(spark, sf)))
+
+
+@query("m05_region_clusters", f"with {PANEL}, {cluster_sql()} select region_id, region_cluster from clusters")
+def m05(spark, sf):
+    return region_clusters(panel(spark, sf))
+
+
+@query("j06_join_pred_target_cluster", f"""with {PREDS}, {cluster_sql()}
+select p.region_id, p.origin, p.model, t.origin_month, region_cluster, round(p.pred + 1e-9, 6) as pred_week1, t.target_w1
+from preds p join targets t using (region_id, origin) left join clusters using (region_id)""")
 def j06(spark, sf):
-    rows = panel(spark, sf)
-    out = bt.join_predictions(predictions(spark, sf), targets(spark, sf), bt.coarse_segment(rows))
+    out = bt.join_predictions(predictions(spark, sf), targets(spark, sf), clusters(spark, sf))
     return rounded(out, ["region_id", "origin", "model", "origin_month", "region_cluster", "target_w1"], ["pred_week1"])
 
 
@@ -161,14 +170,14 @@ def _suite(source: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
     return " union all ".join(parts)
 
 
-# With the cluster stand-in of every region and with the model as further breakdowns.
-SUITE = LONG + """, pr as (select region_id, avg(score) as sm from panel group by 1),
-l as (select e.*, cast(least(4, floor(coalesce(sm, 0) / 5 * 5)) as integer) as region_cluster from errors e left join pr using (region_id)),
+# With the cluster of every region and with the model as further breakdowns.
+SUITE = LONG + ", " + cluster_sql() + """,
+l as (select e.*, region_cluster from errors e left join clusters using (region_id)),
 s as (""" + _suite("l", (("mae_by_region_cluster", "region_cluster"), ("mae_by_model", "model"))) + ")"
 
 
 def suite(spark, sf):
-    rows = bt.join_predictions(predictions(spark, sf), targets(spark, sf), bt.coarse_segment(panel(spark, sf)))
+    rows = bt.join_predictions(predictions(spark, sf), targets(spark, sf), clusters(spark, sf))
     return bt.mae_suite(rows, ("origin", "region_id", "origin_month", "region_cluster", "model"))
 
 

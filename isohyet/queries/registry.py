@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.fixed import MEASURES
 from isohyet.functions.numeric import r6
 from isohyet.session import materialize, tune
 from isohyet.sources.derived import calendar_bounds, split_panel, stored_panel
@@ -119,3 +120,34 @@ def over(frame: str, keys: str = "region_id") -> str:
 
 def trailing(w: int, lo: int = 1) -> str:
     return over(f"{w + lo - 1} preceding and {lo} preceding")
+
+
+# The 16 inputs of the region profile.
+PROFILE = {c: f"coalesce(avg({c}), 0)" for c in MEASURES} | {
+    "score_mean": "coalesce(avg(score), 0)", "score_zero_ratio": "coalesce(avg(case when score is not null then cast(score = 0 as integer) end), 0)"}
+
+
+def cluster_sql(k: int = 5, rounds: int = 10) -> str:
+    """Tables after `panel` that end in `clusters` (region_id, region_cluster): farthest seeds, then rounds of means."""
+    width = range(1, len(PROFILE) + 1)
+
+    def away(other: str) -> str:
+        return "round(" + " + ".join(f"(z[{i}] - {other}[{i}]) * (z[{i}] - {other}[{i}])" for i in width) + ", 9)"
+
+    inputs = ", ".join(f"{v} as {c}" for c, v in PROFILE.items())
+    scaled = ", ".join(f"coalesce(round(({c} - avg({c}) over ()) / case when round(stddev_samp({c}) over (), 9) > 0 then stddev_samp({c}) over () end, 9), 0)" for c in PROFILE)
+    parts = [
+        f"means as (select region_id, {inputs} from panel group by 1)", f"places as materialized (select region_id, [{scaled}] as z from means)",
+        "seed0 as materialized (select z as s from places order by round(" + " + ".join(f"z[{i}] * z[{i}]" for i in width) + ", 9) desc, region_id limit 1)",
+    ]
+    for n in range(1, k):
+        least = "least(" + ", ".join(away(f"seed{i}.s") for i in range(n)) + ")"
+        parts.append(f"seed{n} as materialized (select z as s from places, {', '.join(f'seed{i}' for i in range(n))} where {least} > 0 order by {least} desc, region_id limit 1)")
+    parts.append("centre0 as materialized (" + " union all ".join(f"select {i} as nth, s from seed{i}" for i in range(k)) + ")")
+    for n in range(rounds + 1):
+        parts.append(f"owner{n} as materialized (select region_id, any_value(z) as z, min({{'away': {away('s')}, 'nth': nth}}).nth as nth from places, centre{n} group by 1)")
+        if n < rounds:
+            mean = ", ".join(f"round(avg(z[{i}]), 9)" for i in width)
+            parts.append(f"centre{n + 1} as materialized (select c.nth, case when count(o.region_id) = 0 then any_value(c.s) else [{mean}] end as s from centre{n} c left join owner{n} o on o.nth = c.nth group by 1)")
+    parts.append(f"clusters as (select region_id, nth as region_cluster from owner{rounds})")
+    return ", ".join(parts)

@@ -12,7 +12,7 @@ from isohyet.operators import priors, profiles, samples
 from isohyet.operators.quantiles import column_medians
 from isohyet.plans.lifecycle import inference_rows
 from isohyet.plans.feature_table import FeatureOptions, build_features, drop_groups
-from isohyet.queries.registry import KEYS, PANEL, SPLIT, over, panel, query, rounded, splits, sql_rounded, trailing
+from isohyet.queries.registry import KEYS, PANEL, PROFILE, SPLIT, over, panel, query, rounded, splits, sql_rounded, trailing
 from isohyet.session import new_path
 from isohyet.sources import ledgers
 from isohyet.sources.derived import read_table
@@ -377,10 +377,6 @@ def a12(spark, sf):
     return rounded(profiles.train_zscore(both, MEASURES, F.col("split") == "train"), KEYS, [f"{c}_z" for c in MEASURES])
 
 
-PROFILE = {c: f"coalesce(avg({c}), 0)" for c in MEASURES} | {
-    "score_mean": "coalesce(avg(score), 0)", "score_zero_ratio": "coalesce(avg(case when score is not null then cast(score = 0 as integer) end), 0)"}
-
-
 @query("a14_region_profile", f"""with {PANEL}, o as (select region_id, {", ".join(f"{v} as {k}_" for k, v in PROFILE.items())} from panel group by 1)
 select region_id, {", ".join(f"round({k}_ + 1e-9, 6) as {k}" for k in PROFILE)} from o""")
 def a14(spark, sf):
