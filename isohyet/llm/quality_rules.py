@@ -6,7 +6,9 @@ per language, give the fences; the documents meet them in a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import body, hinted, match, store, words
@@ -21,7 +23,9 @@ SPREADS = {"symbol_share": 0.03, "capital_share": 0.08, "repeated_line_share": 0
 REACH = 3.0
 #: A source's own fence counts as its documents against so many of its language's.
 PRIOR_ROWS = 200.0
-SKETCH_K = 200
+#: Sketches count values in buckets whose bounds grow by GROWTH (quantiles are right to 1%); values up to LEAST_VALUE share one.
+GROWTH = 1.02
+LEAST_VALUE = 1e-4
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -65,22 +69,35 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.drop("__t", "__w", "__h", "__win", "__s", "__p", "__lines", "__same", "n_capitals", "n_lines")
 
 
-def fences(rows: DataFrame) -> DataFrame:
-    """lang, source and a fence for each measure, from sketches per (lang, source) and their merger per lang."""
-    names = list(SPREADS)
-    own = rows.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("__n"), *[F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in names]
-    )
-    own = store(own, "sketches")
-    whole = own.groupBy("lang").agg(*[F.kll_merge_agg_double(F.col(m)).alias(f"all_{m}") for m in names])
+def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rows and the first and third quartile of a table of (keys, bucket, n): a group has some hundred buckets."""
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    placed = counts.withColumns({"__before": before, "__total": total})
+    value = lambda b: F.when(b > 0, F.pow(F.lit(GROWTH), b) * (LEAST_VALUE * 2 / (1 + GROWTH))).otherwise(0.0)
+    first = lambda q: F.min(F.when(F.col("__before") >= F.col("__total") * q, F.col("bucket")))
+    return placed.groupBy(*keys).agg(F.max("__total").alias("rows"), value(first(0.25)).alias("low"), value(first(0.75)).alias("high"))
 
-    def fence(sketch: str, least: float) -> Column:
-        q = F.kll_sketch_get_quantile_double(F.col(sketch), F.array(F.lit(0.25), F.lit(0.75)))
-        return F.get(q, 1) + REACH * F.greatest(F.get(q, 1) - F.get(q, 0), F.lit(least))
 
-    weight = F.col("__n") / (F.col("__n") + PRIOR_ROWS)
-    both = match(own, whole, ["lang"])
-    return both.select("lang", "source", *[(weight * fence(m, s) + (1 - weight) * fence(f"all_{m}", s)).alias(f"{m}_fence") for m, s in SPREADS.items()])
+def fences(rows: DataFrame) -> DataFrame:
+    """lang, source and a fence for each measure, from sketches per (lang, source) and their merger per lang.
+
+    A sketch is a count per bucket, added up map-side: merging is adding, nothing is drawn at random, so neither
+    partitions nor retried tasks change a fence.
+    """
+    place = lambda m: F.when(F.col(m) > LEAST_VALUE, F.ceil(F.log(F.col(m) / LEAST_VALUE) / math.log(GROWTH))).otherwise(0).cast("int")
+    marks = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), place(m).alias("bucket")) for m in SPREADS])).alias("__m")
+    own = rows.select("lang", "source", marks).groupBy("lang", "source", "__m.measure", "__m.bucket").agg(F.count(F.lit(1)).alias("n"))
+    own = store(own, "sketches")
+    whole = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    least = F.create_map(*[F.lit(x) for m, s in SPREADS.items() for x in (m, s)])[F.col("measure")]
+    fence = (F.col("high") + REACH * F.greatest(F.col("high") - F.col("low"), least)).alias("fence")
+    own = quartiles(own, ["lang", "source", "measure"]).select("lang", "source", "measure", "rows", fence)
+    whole = quartiles(whole, ["lang", "measure"]).select("lang", "measure", fence.alias("all_fence"))
+    both = match(own, whole, ["lang", "measure"])
+    weight = F.col("rows") / (F.col("rows") + PRIOR_ROWS)
+    mixed = weight * F.col("fence") + (1 - weight) * F.col("all_fence")
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, mixed)).alias(f"{m}_fence") for m in SPREADS])
 
 
 def quality_rules(
