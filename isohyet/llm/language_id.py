@@ -7,27 +7,28 @@ neighbouring bytes share one lookup, so a width of four costs two.
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import short_batches
+from isohyet.llm.common import hinted, match, short_batches, store
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bound on the labelled rows of each language that a fit takes to the driver; predictions have none.
 FIT_ROWS = 1000
-#: Parts of a labelled text that teach, of WINDOW characters each.
+#: Windows of a labelled text that teach, drawn from all of it.
 FIT_PARTS = 2
 EPOCHS = 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -87,14 +88,27 @@ def _clean(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").translate(_BLANKS).split())
 
 
+def teaching_windows(text: str, most: int = FIT_PARTS) -> np.ndarray:
+    """At most `most` windows of the whole text, drawn by its checksum."""
+    own = windows_of(text)
+    if len(own) <= most:
+        return own
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    return own[np.sort(rng.choice(len(own), most, replace=False))]
+
+
 def fit_net(texts: list[str], langs: list[str], seed: int = 0) -> ByteNet:
-    """Train on windows of labelled texts by stochastic gradient descent with momentum-free Adagrad steps."""
+    """Train on the windows that labelled texts teach by."""
+    pairs = [(w.tobytes(), lang) for text, lang in zip(texts, langs, strict=True) for w in teaching_windows(text)]
+    return train_net([w for w, _ in pairs], [lang for _, lang in pairs], seed)
+
+
+def train_net(windows: list[bytes], langs: list[str], seed: int = 0) -> ByteNet:
+    """Train on windows of WINDOW bytes by stochastic gradient descent with momentum-free Adagrad steps."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    pieces, target = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        pieces.append(windows_of(text)[0])
-        target.append(names.index(lang))
+    pieces = [np.frombuffer(w, dtype=np.uint8) for w in windows]
+    target = [names.index(lang) for lang in langs]
     total = FILTERS * len(WIDTHS)
     net = ByteNet(
         names, [rng.normal(0, 0.1, (w, 256, FILTERS)) for w in WIDTHS], np.zeros(total), rng.normal(0, 0.1, (total, max(1, len(names)))), np.zeros(max(1, len(names)))
@@ -189,24 +203,33 @@ def predict_languages(
     """One row per input row: doc_id, lang_pred, score. `taught` holds the rows to learn from.
 
     The fit takes at most `fit_rows` rows of each language, those with the smallest hash of their id, with text and
-    a language; every whole text is predicted. Null texts and texts without a letter are `und` with score 0, as is
+    a language, and from each FIT_PARTS windows drawn over its whole text; every whole text is predicted. Null texts and texts without a letter are `und` with score 0, as is
     everything where nothing is taught. Rows that repeat are predicted alike; no rows give no rows.
     """
+    spark = docs.sparkSession
+    short_batches(spark)
     rows = taught.select(F.xxhash64(F.col(id_col), F.lit(1)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # Parts of a text, evenly spread over it, stand for it in the fit.
-    start = lambda k: (F.greatest(F.length("text") - WINDOW, F.lit(0)) * k / max(1, FIT_PARTS - 1) + 1).cast("int")
-    parts = F.array_distinct(F.array(*[F.substring(F.col("text"), start(k), F.lit(WINDOW)) for k in range(FIT_PARTS)]))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "parts"))
-    sample = rows.select("lang", "h", parts.alias("parts")).withColumn("rank", rank).filter(F.col("rank") <= fit_rows)
-    pairs = [(part, r["lang"]) for r in sample.orderBy("lang", "rank").collect() for part in r["parts"]]
-    trained = fit_net([t for t, _ in pairs], [x for _, x in pairs])
-    net = docs.sparkSession.sparkContext.broadcast(trained)
+    # A bound on the hash, from the number of a language's rows, leaves little more than the fit takes before rows are ranked.
+    share = F.least(F.lit(1.0), (1.1 * fit_rows + 100) / F.count(F.lit(1)))
+    shares = hinted(store(rows.groupBy("lang").agg(share.alias("share")), "language_shares"), 64)
+    few = match(rows, shares, ["lang"]).filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [[w.tobytes() for w in teaching_windows(t)] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.binary()))], names=["lang", "h", "windows"])
+
+    drawn = few.select("lang", "h", "text").mapInArrow(draw, "lang string, h long, windows array<binary>")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "windows"))
+    sample = drawn.withColumn("rank", rank).filter(F.col("rank") <= fit_rows)
+    pairs = [(bytes(w), r["lang"]) for r in sample.orderBy("lang", "rank").collect() for w in r["windows"]]
+    trained = train_net([w for w, _ in pairs], [x for _, x in pairs])
+    net = spark.sparkContext.broadcast(trained)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = classify(net.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
