@@ -11,6 +11,33 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import collapsed, hinted, match, store
 
 HEAD_CHARS = 256
+#: Bits a recurring key, and the most bits of a filter (32 MB).
+BITS_A_KEY = 64
+MOST_BITS = 1 << 28
+#: Spark's bitmaps hold this many bits a row.
+ROW_BITS = 1 << 15
+
+
+def _bit(keys: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+
+
+def _keep_recurring(rows: DataFrame, keys: list[str], flag: str, name: str) -> DataFrame:
+    """`rows` with a boolean: false where no other row has the same keys, true elsewhere and for few others.
+
+    Keys are counted map-side; those met twice set a bit each in bitmaps whose size follows their number, up to
+    MOST_BITS, so they can be broadcast at any size and no text is shuffled. Two keys on one bit only let a row
+    through to the next step, which tells them apart.
+    """
+    twice = store(rows.filter(F.col(flag)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*keys), f"exact_{name}")
+    bits = min(MOST_BITS, max(ROW_BITS, BITS_A_KEY * twice.count()))
+    marks = twice.select(_bit(keys, bits).alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
+    marks = store(marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits")), f"exact_{name}_bits")
+    place = F.bitmap_bit_position(_bit(keys, bits))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    joined = rows.join(F.broadcast(marks), F.bitmap_bucket_number(_bit(keys, bits)) == F.col("__bucket"), "left")
+    return joined.withColumn(flag, F.col(flag) & held).drop("__bucket", "__bits")
 
 
 def exact_duplicates(
@@ -18,24 +45,23 @@ def exact_duplicates(
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept and the columns of `carry` (expressions over `docs`).
 
-    Length and head hash come from one pass and one map-side aggregate. Only rows whose (length, head) occurs
-    more than once go on to the hash of their whole text; the rest are alone by then. The smallest id of a group
-    stays. No step gathers a group: groups are aggregates, and rows get them back by joins that Spark can split.
+    Lengths that recur let a row on to the hash of its head, (length, head) pairs that recur to the hash of its
+    whole text; the rest are alone by then. Whole texts are hashed where they are read and never shuffled. The
+    smallest id of a group stays. No step gathers a group: groups are aggregates, and rows get them back by joins
+    that Spark can split.
 
     Null text counts as empty; empty texts form one group. A null id never wins over another and is kept only
     where its whole group has none. Rows that repeat one id and text are decided alike. No rows give no rows.
     """
     extra = {f"__c_{k}": v for k, v in (carry or {}).items()}
     rows = docs.select(F.col(id_col).alias("doc_id"), collapsed(text_col).alias("__norm"), *[v.alias(k) for k, v in extra.items()])
-    rows = rows.withColumns({"__chars": F.length("__norm"), "__head": F.xxhash64(F.substring("__norm", 1, head_chars))})
-    # Aggregates are stored before the join: Spark splits a hot key only where both sides come straight from a shuffle.
-    shared = store(rows.groupBy("__chars", "__head").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "exact_heads")
-    # The groups are far smaller than the texts of the same partition, so they are the hashed side.
-    whole = F.when(F.col("__n").isNotNull(), F.sha2("__norm", 256))
-    keyed = store(
-        rows.join(shared.hint("shuffle_hash"), ["__chars", "__head"], "left").select("doc_id", "__chars", "__head", whole.alias("__whole"), *extra),
-        "exact_keys",
-    )
+    rows = rows.withColumns({"__chars": F.length("__norm"), "__more": F.lit(True)})
+    rows = _keep_recurring(rows, ["__chars"], "__more", "lengths")
+    rows = rows.withColumn("__head", F.when(F.col("__more"), F.xxhash64(F.substring("__norm", 1, head_chars))))
+    rows = _keep_recurring(rows, ["__chars", "__head"], "__more", "heads")
+    whole = F.when(F.col("__more"), F.sha2("__norm", 256)).alias("__whole")
+    # Groups and rows are stored before the join: Spark splits a hot key only where both sides come straight from a shuffle.
+    keyed = store(rows.select("doc_id", "__chars", "__head", whole, *extra), "exact_keys")
     keys = ["__chars", "__head", "__whole"]
     same = keyed.filter("__whole is not null")
     groups = store(same.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact_groups")
