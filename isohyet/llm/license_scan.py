@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections import Counter
+from collections.abc import Collection, Iterator
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import body, hinted, match, store
+from isohyet.llm.common import body, short_batches, store
 
 # Wording of common notices and headers.
 TEMPLATES = {
@@ -48,12 +50,29 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
+    "ISC": ["Licensed under the ISC License."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: Every template holds one of these; a passage without any shares too little with all of them to count.
-CUES = r"(?i)licen[cs]e|permission|redistribut|public domain|public license"
+#: Headers by licence identifier, which is the licence's name here.
+HEADER = "SPDX-License-Identifier: {}"
+#: Every template holds a term that begins so; a text without any shares too little with all of them to count.
+CUES = ("licen", "permission", "permitted", "redistribut", "public", "mozilla", "spdx")
+HAS_CUE = r"(?i)licen[cs]|permission|permitted|redistribut|public|mozilla|spdx"
 NOT_TERM = r"[^\p{L}\p{N}]+"
+TERM = regex.compile(r"[\p{L}\p{N}]+")
+#: Ends of lines, paragraphs and sentences.
+CUTS = [regex.compile(r"\n"), regex.compile(r"\n\s*\n"), regex.compile(r"(?<=[.!?;])\s+|\n")]
 LEAST_COSINE = 0.7
+#: Templates of at most so many terms name their licence by few words, which a passage must all hold.
+SHORT = 20
+#: Terms in at least this share of all documents weigh by their own frequency; there are at most as many of them as
+#: documents have different terms on average, divided by this share.
+COMMON = 0.01
 #: A file speaks for its directory if so named, or if so much of its words is the notice.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 FILE_SHARE = 0.5
@@ -63,56 +82,118 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), NOT_TERM), "")
 
 
-def _template_terms(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+def _plain_terms(text: str) -> list[str]:
+    return TERM.findall(text.lower())
+
+
+def template_terms() -> list[tuple[str, list[str]]]:
+    """(licence, terms) of every template and identifier header."""
+    return [(licence, _plain_terms(x)) for licence, texts in TEMPLATES.items() for x in (*texts, HEADER.format(licence))]
 
 
 def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, float], float]:
-    """Smoothed inverse document frequency of every template term over the whole corpus, and that of other terms.
+    """Smoothed inverse document frequency of template terms and common terms over the whole corpus, and that of other terms.
 
-    Terms outside the templates weigh as if no document had them, so foreign words only lower a similarity.
+    Rare terms outside the templates weigh as if no document had them, so they only lower a similarity.
     """
-    vocabulary = sorted({t for texts in TEMPLATES.values() for x in texts for t in _template_terms(x)})
-    known = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
-    held = docs.select(F.explode(F.array_intersect(_terms(body(text_col)), known)).alias("term"))
-    counts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = docs.sparkSession
+    vocabulary = sorted({t for _, terms in template_terms() for t in terms})
+    known = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string").withColumn("known", F.lit(True)))
     n = docs.count()
+    held = docs.select(F.explode(F.array_distinct(_terms(body(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = held.filter(F.col("n") >= COMMON * n).select("term", "n").unionByName(held.join(known, "term").select("term", "n"))
     weight = lambda df: math.log((n + 1.0) / (df + 1.0)) + 1.0
-    return {t: weight(counts.get(t, 0)) for t in vocabulary}, weight(0)
+    return dict.fromkeys(vocabulary, weight(0)) | {r["term"]: weight(r["n"]) for r in counted.collect()}, weight(0)
 
 
-def _weighted(weights: dict[str, float]) -> list[tuple[str, int, str, float]]:
-    """(licence, template, term, weight divided by the template's norm)."""
-    out, k = [], 0
-    for licence, texts in TEMPLATES.items():
-        for text in texts:
-            tf = Counter(_template_terms(text))
-            norm = math.sqrt(sum((c * weights[t]) ** 2 for t, c in tf.items()))
-            out += [(licence, k, t, c * weights[t] / norm) for t, c in tf.items()]
-            k += 1
-    return out
-
+class Matcher:
+    """Cosine of the passages of a text with the templates.
 
-def notices(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per distinct text with a cue: key, licence, cosine and the share of its words in the best matching passage.
+    A passage is a line, paragraph or sentence with a cue, or a run of terms as long as a template and laid on it
+    so that a cue of the text meets the same cue of the template. All passages of the whole text are compared, in
+    time linear in its length.
+    """
 
-    Passages are the lines and the paragraphs of the whole text that hold a cue. Ties go to the first licence by name.
+    def __init__(self, weights: dict[str, float], other: float) -> None:
+        self.weights, self.other, self.templates = weights, other, []
+        all_terms = template_terms()
+        for licence, terms in all_terms:
+            foreign = {t for name, ts in all_terms if name != licence for t in ts}
+            tf = Counter(terms)
+            norm = math.sqrt(sum((c * weights[t]) ** 2 for t, c in tf.items()))
+            vector = {t: c * weights[t] / norm for t, c in tf.items()}
+            named = {t for t in tf if t.isdigit() or t not in foreign} if len(terms) <= SHORT else set()
+            self.templates.append((licence, len(terms), vector, named))
+        #: Cue term -> (template, its place there).
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, terms) in enumerate(all_terms):
+            for i, t in enumerate(terms):
+                if t.startswith(CUES):
+                    self.places.setdefault(t, []).append((k, i))
+        self.reach = max(len(terms) for _, terms in all_terms)
+
+    def cosine(self, tf: Counter[str], vector: dict[str, float]) -> float:
+        own = {t: c * self.weights.get(t, self.other) for t, c in tf.items()}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        return round(sum(w * own[t] for t, w in vector.items() if t in own) / norm, 9)
+
+    def hopeful(self, terms: Collection[str], k: int) -> bool:
+        """Whether a passage of these terms may reach LEAST_COSINE, by the Cauchy-Schwarz bound."""
+        _, _, vector, named = self.templates[k]
+        return all(t in terms for t in named) and sum(w * w for t, w in vector.items() if t in terms) >= LEAST_COSINE**2
+
+    def _better(self, best: tuple | None, tf: Counter[str], k: int, size: int) -> tuple | None:
+        licence, _, vector, _ = self.templates[k]
+        if self.hopeful(tf, k):
+            found = (-self.cosine(tf, vector), licence, -size)
+            if -found[0] >= LEAST_COSINE and (best is None or found < best):
+                return found
+        return best
+
+    def best(self, text: str) -> tuple[str, float, float] | None:
+        """Licence, cosine and share of the text's terms in its best passage; ties go to the first licence by name, then the longest passage."""
+        best, seen = None, set()
+        for cut in CUTS:
+            for passage in cut.split(text):
+                terms = _plain_terms(passage)
+                if any(t.startswith(CUES) for t in terms):
+                    tf = Counter(terms)
+                    for k in range(len(self.templates)):
+                        best = self._better(best, tf, k, len(terms))
+        terms = _plain_terms(text)
+        for p, term in enumerate(terms):
+            if term not in self.places:
+                continue
+            around = tuple(terms[max(0, p - self.reach) : p + self.reach])
+            if (context := (hash(around), min(p, self.reach))) in seen:
+                continue
+            seen.add(context)
+            near = set(around)
+            for k, place in self.places[term]:
+                start, length = max(0, p - place), self.templates[k][1]
+                if self.hopeful(near, k):
+                    window = terms[start : p - place + length]
+                    best = self._better(best, Counter(window), k, len(window))
+        return best and (best[1], -best[0], -best[2] / len(terms))
+
+
+def notices(docs: DataFrame, text_col: str = "text") -> Column:
+    """Licence, cosine and share of its words in the best passage of a row's whole text; null without a notice.
+
+    Each text is read where it lies; only the weights, of bounded number, go to the tasks.
     """
-    spark = docs.sparkSession
     weights, other = inverse_frequencies(docs, text_col)
-    table = F.broadcast(spark.createDataFrame(_weighted(weights), "licence string, template int, term string, weight double"))
-    spread = F.from_json(F.lit(json.dumps(weights)), "map<string,double>")
-    texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(CUES)).select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
-    cue = lambda x: x.rlike(CUES)
-    passages = F.array_distinct(F.concat(F.filter(F.split("text", "\n"), cue), F.filter(F.split("text", r"\n\s*\n"), cue)))
-    rows = texts.select("key", F.size(_terms(F.col("text"))).alias("words"), F.posexplode(passages).alias("passage", "line"))
-    terms = store(rows.select("key", "words", "passage", F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "words", "passage", "term").agg(F.count(F.lit(1)).alias("tf")), "license_terms")
-    own = F.col("tf") * F.coalesce(F.element_at(spread, F.col("term")), F.lit(other))
-    norms = terms.groupBy("key", "passage").agg(F.sqrt(F.sum(own * own)).alias("norm"), F.sum("tf").alias("size"), F.first("words").alias("words"))
-    scores = terms.join(table, "term").groupBy("key", "passage", "licence", "template").agg(F.sum(own * F.col("weight")).alias("dot"))
-    scores = scores.join(norms, ["key", "passage"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= LEAST_COSINE)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "passage", (F.col("size") / F.col("words")).alias("share")))
-    return scores.groupBy("key").agg(best.alias("b")).select("key", "b.licence", (-F.col("b.c")).alias("cosine"), "b.share")
+    short_batches(docs.sparkSession)
+
+    @F.pandas_udf("licence string, cosine double, share double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(weights, other)
+        for texts in batches:
+            found = [matcher.best(t) if t else None for t in texts]
+            yield pd.DataFrame([f or (None, None, None) for f in found], columns=["licence", "cosine", "share"])
+
+    text = F.col(text_col)
+    return scored(F.when(text.rlike(HAS_CUE), text))
 
 
 def _parent(path: Column) -> Column:
@@ -125,13 +206,12 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
 
     A file's own notice counts first. Else the nearest directory above it that holds a licence file gives its
     licence: a file with a notice and such a name, or one that mostly is the notice; of several, the one with the
-    largest cosine, then the smallest path. Null text counts as empty; a null path is in no directory; rows that
-    repeat are decided alike; without notices all licences are null; no rows give no rows.
+    largest cosine, then the smallest path. Texts of any length are read whole. Null text counts as empty; a null
+    path is in no directory; rows that repeat are decided alike; without notices all licences are null; no rows give no rows.
     """
     extra = {f"__c_{k}": v for k, v in (carry or {}).items()}
-    found = store(notices(files, text_col), "license_notices")
-    rows = files.select(F.col(path_col).alias("path"), F.sha2(text_col, 256).alias("key"), *[v.alias(k) for k, v in extra.items()])
-    rows = store(match(rows, hinted(found, 120), ["key"], "left").drop("key"), "license_rows")
+    rows = files.select(F.col(path_col).alias("path"), notices(files, text_col).alias("__found"), *[v.alias(k) for k, v in extra.items()])
+    rows = store(rows.select("path", "__found.*", *extra), "license_rows")
     name = F.element_at(F.split("path", "/"), -1)
     speaks = rows.filter(F.col("licence").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAME) | (F.col("share") >= FILE_SHARE)))
     chosen = F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence"))
