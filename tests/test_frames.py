@@ -72,3 +72,24 @@ def test_panel_keeps_items_without_region_or_day(spark, tmp_path):
     assert [r.s for r in counts.values()] == [1, 1, 1, 1]
     day = got.filter("region_id = 'R1' and day_idx = 2").first()
     assert (day.prec, day.tmp, day.wind_max) == (1.0, 1.5, 2.0)
+
+
+def test_bounded_sample_sorts_few_rows(spark):
+    from isohyet.operators.drift import bounded_sample
+
+    rows = spark.range(20_000).selectExpr("cast(id % 4000 as string) as region_id", "id % 7 as day_idx", "case when id % 5 > 0 then id % 2 end as split")
+    got = bounded_sample(rows, 50, 42, ["region_id", "day_idx"], side="split").toPandas()
+    assert got.groupby("split", dropna=False).size().tolist() == [50, 50, 50] and list(got.columns) == rows.columns
+    import hashlib
+
+    every = rows.toPandas()
+    every["draw"] = [hashlib.md5(f"{r}|{d}|42".encode()).hexdigest() for r, d in zip(every.region_id, every.day_idx, strict=True)]
+    for value, side in every.groupby("split", dropna=False):
+        want = side.sort_values(["draw", "region_id", "day_idx"]).head(50)
+        have = got[got.split.isna()] if pd.isna(value) else got[got.split == value]
+        assert sorted(zip(have.region_id, have.day_idx)) == sorted(zip(want.region_id, want.day_idx))
+    assert bounded_sample(rows, 30_000, 42, ["region_id", "day_idx"]).count() == 20_000
+    df = bounded_sample(rows, 50, 42, ["region_id", "day_idx"])
+    df.collect()
+    joins = [line for line in plan(df).splitlines() if "BroadcastNestedLoopJoin" in line or "BroadcastHashJoin" in line]
+    assert joins
