@@ -49,3 +49,4 @@ def test_season_flags_do_not_shuffle_the_panel(spark, folder):
     rows = drift.season_baselines(both(spark, folder).select("region_id", "day_idx", "date", "split", "prec"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    assert len(re.findall(r"\+- Sort \[[^\n]*md#", plan)) <= 2  # only the narrow sides of the previous year, never the panel
