@@ -3,9 +3,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from isohyet.fixed import MEASURES
-from isohyet.operators import samples
+from isohyet.operators import drift, samples
+from isohyet.operators import features as ft
 from isohyet.plans.feature_table import FeatureOptions, build_features
 
 
@@ -37,3 +39,13 @@ def test_days_of_leaves_out_only_days_that_no_label_joins(spark, block_rows):
     assert few.count() < whole.count() / 3
     joined = [samples.labels_join_features(weekly, t).orderBy("region_id", "day_idx", *MEASURES).collect() for t in (whole, few)]
     _same(*joined)
+
+
+def test_baselines_flagged_before_windows_are_those_flagged_after(spark):
+    panel = rows_of(spark).drop("score")
+    both = panel.withColumn("split", F.when(F.col("day_idx") < 260, "train").otherwise("test"))
+    wanted = ["region_id", "day_idx", "prec", "prec_sum_90d", "max_dry_streak_90d", "dryness_idx_daily", *drift.SEASON_BASELINES, drift.TEST]
+    train, test = (both.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    after = drift.season_baselines(ft.shifted_context(train, test)).select(wanted).orderBy("region_id", "day_idx", "prec").collect()
+    before = ft.context_columns(drift.season_baselines(both)).select(wanted).orderBy("region_id", "day_idx", "prec").collect()
+    _same(after, before)
