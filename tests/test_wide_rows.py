@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.fixed import MEASURES
-from isohyet.operators import drift, samples
+from isohyet.operators import adversarial, drift, samples
 from isohyet.operators import features as ft
 from isohyet.plans.feature_table import FeatureOptions, build_features
 
@@ -49,3 +49,17 @@ def test_baselines_flagged_before_windows_are_those_flagged_after(spark):
     after = drift.season_baselines(ft.shifted_context(train, test)).select(wanted).orderBy("region_id", "day_idx", "prec").collect()
     before = ft.context_columns(drift.season_baselines(both)).select(wanted).orderBy("region_id", "day_idx", "prec").collect()
     _same(after, before)
+
+
+def test_slices_share_one_table_of_values(spark, monkeypatch):
+    flagged = rows_of(spark).select("region_id", "day_idx", "prec", "tmp", (F.col("day_idx") >= 260).alias("test")).withColumns({
+        "split": F.when(F.col("test"), "test").otherwise("train"), "a": ~F.col("test"), "b": ~F.col("test") & (F.col("day_idx") >= 100)})
+    alone = {b: adversarial.tree_scores(flagged.filter(F.col(b) | F.col("test")), ["prec", "tmp"], rounds=2, name=f"adversarial_auc_tree|{b}") for b in "ab"}
+    tables, counted = [], adversarial.value_table
+    monkeypatch.setattr(adversarial, "value_table", lambda *args: tables.append(1) or counted(*args))
+    together = adversarial.slice_scores(flagged, ["prec", "tmp"], ["a", "b"], rounds=2)
+    assert len(tables) == 1
+    for b, scores in alone.items():
+        keys = ["region_id", "day_idx", "label", "score"]
+        mine = together.filter(F.col("metric") == f"adversarial_auc_tree|{b}").select(keys).orderBy(keys).collect()
+        _same(scores.select(keys).orderBy(keys).collect(), mine)
