@@ -48,8 +48,12 @@ def origin_band_join(panel: DataFrame, targets: DataFrame, youngest: int = 0, ol
     it belongs to.
     """
     side = targets.groupBy("region_id").agg(
-        F.collect_list(F.struct("origin", "origin_date", "origin_day_idx")).alias("_origins"))
+        F.collect_list(F.struct("origin", "origin_date", "origin_day_idx")).alias("_origins"),
+        F.min("origin_day_idx").alias("_first"), F.max("origin_day_idx").alias("_last"))
     joined = spread(panel, side=side, block_rows=block_rows).done()
+    # Most days are near no origin: two comparisons drop them before any array is read.
+    close = F.col("day_idx") <= F.col("_last") - youngest
+    joined = joined.filter(close & (F.col("day_idx") >= F.col("_first") - oldest) if oldest is not None else close)
 
     def near(o: Column) -> Column:
         age = o["origin_day_idx"] - F.col("day_idx")

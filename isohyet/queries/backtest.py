@@ -8,7 +8,7 @@ from isohyet.operators import backtest as bt
 from isohyet.operators import profiles, samples
 from isohyet.operators.clusters import region_clusters
 from isohyet.plans.feature_table import FeatureOptions
-from isohyet.queries.registry import KEYS, PANEL, cluster_sql, panel, query, rounded, sql_rounded, stored
+from isohyet.queries.registry import KEYS, PANEL, cluster_sql, label_panel, panel, query, rounded, sql_rounded, stored
 from isohyet.queries.samples import TARGETS, WEEKLY
 from isohyet.session import new_path
 from isohyet.sources import toys
@@ -31,7 +31,7 @@ ORIGIN_KEYS = ["origin", "region_id"]
 
 
 def fresh_targets(spark, sf):
-    return bt.origin_targets(panel(spark, sf).select(*KEYS, "date", "score"))
+    return bt.origin_targets(label_panel(spark, sf).select(*KEYS, "date", "score"))
 
 
 def targets(spark, sf):
@@ -39,7 +39,7 @@ def targets(spark, sf):
 
 
 def predictions(spark, sf):
-    return stored(spark, sf, "predictions", lambda: toys.toy_predictions(panel(spark, sf), targets(spark, sf)))
+    return stored(spark, sf, "predictions", lambda: toys.toy_predictions(label_panel(spark, sf), targets(spark, sf)))
 
 
 @query("v00_origin_targets", f"with {TARGET} select region_id, origin, origin_date, origin_day_idx, {TARGETS} from targets")
@@ -53,7 +53,7 @@ HIST = TARGET + """, hist as (select p.region_id, p.day_idx, t.origin, p.score,
 
 @query("j08_origin_band_join", f"with {TARGET} select p.region_id, p.day_idx, t.origin from panel p join targets t on t.region_id = p.region_id and p.day_idx between t.origin_day_idx - 90 and t.origin_day_idx")
 def j08(spark, sf):
-    return bt.origin_band_join(panel(spark, sf).select(*KEYS), targets(spark, sf), 0, 90).select(*KEYS, "origin")
+    return bt.origin_band_join(label_panel(spark, sf).select(*KEYS), targets(spark, sf), 0, 90).select(*KEYS, "origin")
 
 
 @query("f05_history_window", f"with {HIST} select region_id, day_idx, origin, cast(is_blind as integer) as is_blind from hist")
@@ -157,7 +157,8 @@ def m05(spark, sf):
 select p.region_id, p.origin, p.model, t.origin_month, region_cluster, round(p.pred + 1e-9, 6) as pred_week1, t.target_w1
 from preds p join targets t using (region_id, origin) left join clusters using (region_id)""")
 def j06(spark, sf):
-    out = bt.join_predictions(predictions(spark, sf), targets(spark, sf), clusters(spark, sf))
+    regions = clusters(spark, sf)  # from the whole panel, which labels are then read from
+    out = bt.join_predictions(predictions(spark, sf), targets(spark, sf), regions)
     return rounded(out, ["region_id", "origin", "model", "origin_month", "region_cluster", "target_w1"], ["pred_week1"])
 
 
@@ -177,7 +178,8 @@ s as (""" + _suite("l", (("mae_by_region_cluster", "region_cluster"), ("mae_by_m
 
 
 def suite(spark, sf):
-    rows = bt.join_predictions(predictions(spark, sf), targets(spark, sf), clusters(spark, sf))
+    regions = clusters(spark, sf)
+    rows = bt.join_predictions(predictions(spark, sf), targets(spark, sf), regions)
     return bt.mae_suite(rows, ("origin", "region_id", "origin_month", "region_cluster", "model"))
 
 

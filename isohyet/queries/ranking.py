@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isohyet.operators import ranking
 from isohyet.queries.backtest import LONG, PREDS
 from isohyet.queries.blending import MODELS, MAES, maes, predictions
-from isohyet.queries.registry import panel, query, rounded, sql_rounded
+from isohyet.queries.registry import label_panel, query, rounded, sql_rounded
 from isohyet.sources.derived import read_table
 
 REPORT = ["pred_min", "pred_max", "pred_mean", "pred_std_mean"]
@@ -27,7 +27,7 @@ def r01(spark, sf):
     again, extra = preds.filter("model = 'xgb' and region_id = 'R2'"), preds.filter("model = 'lgb' and region_id = 'R3'").withColumn("region_id", F.lit("R-extra"))
     preds = preds.filter("not (model = 'cat' and region_id = 'R1')").unionByName(again).unionByName(extra)
     preds = preds.withColumn("model", F.concat_ws("|", "model", "origin"))
-    out = ranking.validate_predictions(preds, panel(spark, sf)).withColumn("is_valid", F.col("is_valid").cast("int"))
+    out = ranking.validate_predictions(preds, label_panel(spark, sf)).withColumn("is_valid", F.col("is_valid").cast("int"))
     return rounded(out, ["model", "rows", "missing_keys", "extra_keys", "duplicate_rows", "nulls", "is_valid"], REPORT)
 
 
