@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from isohyet.fixed import HORIZONS, LABEL_MAX, LABEL_MIN
 from isohyet.functions.numeric import clip
@@ -21,6 +24,8 @@ from isohyet.functions.numeric import clip
 KEYS = ("region_id", "origin")
 PREDS = [f"pred_week{h}" for h in range(1, HORIZONS + 1)]
 TIE_DIGITS = 9
+#: Rows that a task holds next to the whole grid.
+ROWS_AT_ONCE = 4096
 
 
 def to_long(wide: DataFrame, keep: Sequence[str], columns: Sequence[str] = tuple(PREDS), value: str = "pred") -> DataFrame:
@@ -318,14 +323,44 @@ def fit_affine(long: DataFrame, scales: tuple[float, float, float], biases: tupl
     `long` has pred and target; rows without either are left out. Scales and biases are (first, last, step).
     """
     usable = long.filter(F.col("pred").isNotNull() & F.col("target").isNotNull())
-    rows = _spread(usable, [*by, "pred", "target"], value_grid(scales, biases), ["scale", "bias"])
-    moved = F.least(F.lit(LABEL_MAX), F.greatest(F.lit(LABEL_MIN), F.col("pred") * F.col("scale") + F.col("bias")))
-    totals = rows.groupBy(*by, "grid_idx", "scale", "bias").agg(
-        F.avg(F.abs(moved - F.col("target"))).alias("tuned_mae"), F.avg(F.abs(F.col("pred") - F.col("target"))).alias("baseline_mae"))
+    rows = usable.select(*by, F.col("pred").cast("double").alias("pred"), F.col("target").cast("double").alias("target"))
+    # The grid is a few hundred pairs; every task sums its rows' errors at each of them.
+    grid = np.array(long.sparkSession.range(1).select(value_grid(scales, biases).alias("g")).first().g)
+    schema = StructType([*rows.schema.fields[:len(by)], StructField("grid_idx", LongType()), *[StructField(n, DoubleType()) for n in ("scale", "bias", "_tuned", "_plain")], StructField("_n", LongType())])
+    sums = rows.mapInArrow(lambda batches: _affine_sums(batches, list(by), grid), schema)
+    totals = sums.groupBy(*by, "grid_idx", "scale", "bias").agg(
+        (F.sum("_tuned") / F.sum("_n")).alias("tuned_mae"), (F.sum("_plain") / F.sum("_n")).alias("baseline_mae"))
     scored = totals.withColumn("objective", F.col("tuned_mae") + lambda_reg * ((F.col("scale") - 1) ** 2 + F.col("bias") ** 2))
     return _best(scored, by, ["scale", "bias", "baseline_mae", "tuned_mae"])
 
 
+def _affine_sums(batches: Iterator[pa.RecordBatch], by: list[str], grid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per batch, group and grid point: sums of the errors after and before, and the rows."""
+    scale, bias = grid[:, 0], grid[:, 1]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in by]
+        _, firsts, owner = np.unique(np.stack([*codes, np.zeros(batch.num_rows, dtype=np.int32)]), axis=1, return_index=True, return_inverse=True)
+        order = np.argsort(owner.ravel(), kind="stable")
+        pred, target = (batch.column(c).to_numpy()[order] for c in ("pred", "target"))
+        counts = np.bincount(owner.ravel())
+        tuned, plain, end = np.zeros((len(firsts), len(grid))), np.add.reduceat(np.abs(pred - target), np.cumsum(counts) - counts), 0
+        for g, n in enumerate(counts):
+            for at in range(end, end + n, ROWS_AT_ONCE):
+                rows = slice(at, min(end + n, at + ROWS_AT_ONCE))
+                moved = pred[rows, None] * scale + bias
+                # As in Spark, NaN is above every number.
+                np.fmin(np.maximum(moved, LABEL_MIN, out=moved), LABEL_MAX, out=moved)
+                tuned[g] += np.abs(moved - target[rows, None]).sum(axis=0)
+            end += n
+        at = pa.array(np.repeat(firsts, len(grid)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c).take(at) for c in by] + [pa.array(np.tile(x, len(firsts))) for x in (np.arange(len(grid)), scale, bias)]
+            + [pa.array(x) for x in (tuned.ravel(), np.repeat(plain, len(grid)), np.repeat(counts, len(grid)))],
+            names=[*by, "grid_idx", "scale", "bias", "_tuned", "_plain", "_n"])
+
+
 def origin_maes(long: DataFrame, segment: Sequence[str] = ()) -> DataFrame:
     """MAE per (segment, origin, model) from a long scored frame."""
     return long.groupBy(*segment, "origin", "model").agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("mae"))
