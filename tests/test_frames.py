@@ -10,6 +10,7 @@ from isohyet.fixed import MEASURES
 from isohyet.functions.blocks import spread
 from isohyet.functions.frames import Roll, trailing_columns
 from isohyet.operators import features as ft
+from isohyet.plans.feature_table import FeatureOptions, build_features
 from isohyet.sources.derived import derive_panel
 
 
@@ -93,3 +94,22 @@ def test_bounded_sample_sorts_few_rows(spark):
     df.collect()
     joins = [line for line in plan(df).splitlines() if "BroadcastNestedLoopJoin" in line or "BroadcastHashJoin" in line]
     assert joins
+
+
+@pytest.mark.parametrize("asked", [[199], [60, 61, 140], [0], []])
+def test_asked_rows_equal_those_of_the_whole_block(asked):
+    """Frames of the asked rows, from the rows they reach, are those of the whole block to the last digit."""
+    x = column(200, 1e6)
+    table = pa.table({"day_idx": range(200), "x": x, "z": column(200), "_asked": [i in asked for i in range(200)]})
+    rolls = [Roll(f"{fn}{hi}_{lo}", "x", fn, hi, lo) for fn in ("sum", "mean", "max", "std", "count") for hi, lo in ((1, 1), (28, 1), (118, 91))]
+    args = "day_idx", rolls, {"e": ("z", 14)}, {"l": ("x", 49), "far": ("z", 300)}, []
+    whole, some = trailing_columns(table, *args), trailing_columns(table, *args, "_asked")
+    assert some.column_names == whole.column_names and some.schema == whole.schema
+    assert some.to_pylist() == whole.take(pa.array(asked, pa.int64())).to_pylist()
+
+
+def test_statistics_meet_last_rows_only(panel):
+    """Neither statistics nor other days go through the windows of a table of last rows."""
+    last = build_features(panel, panel, FeatureOptions(region_priors=True), last_only=True)
+    windows = next(line for line in plan(last).split("\n") if "FlatMapGroupsInArrow" in line)
+    assert "_climate" not in windows and "_month_prior" not in windows and "region_score_mean" not in windows
