@@ -63,3 +63,21 @@ def test_slices_share_one_table_of_values(spark, monkeypatch):
         keys = ["region_id", "day_idx", "label", "score"]
         mine = together.filter(F.col("metric") == f"adversarial_auc_tree|{b}").select(keys).orderBy(keys).collect()
         _same(scores.select(keys).orderBy(keys).collect(), mine)
+
+
+def test_trees_learn_from_every_row(spark, monkeypatch):
+    """Sides of more than 20,000 rows were drawn from; the fit takes all rows of both, in equal weight."""
+    rows = spark.range(52_000).select(
+        F.lit("R1").alias("region_id"), F.col("id").cast("int").alias("day_idx"), (F.col("id") % 97).cast("double").alias("prec"),
+        F.when(F.col("id") < 27_000, "train").otherwise("test").alias("split"))
+    seen = []
+
+    class Watched(adversarial.Pipeline):
+        def fit(self, df):
+            seen.append(df.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).orderBy("label").collect())
+            return super().fit(df)
+
+    monkeypatch.setattr(adversarial, "Pipeline", Watched)
+    scores = adversarial.tree_scores(rows, ["prec"], rounds=1)
+    assert [[r.n for r in sides] for sides in seen] == [[27_000, 25_000]]
+    assert seen[0][0].w == pytest.approx(seen[0][1].w) and scores.count() == 52_000
