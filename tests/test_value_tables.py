@@ -50,3 +50,42 @@ def test_season_flags_do_not_shuffle_the_panel(spark, folder):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
     assert len(re.findall(r"\+- Sort \[[^\n]*md#", plan)) <= 2  # only the narrow sides of the previous year, never the panel
+
+
+def test_rows_are_read_once_for_their_counts(spark):
+    """Cutting ranges by a sample computed every row a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 50).cast("double").alias("x")).mapInArrow(watched, "x double")
+    got = qt.value_table(rows, ["x"], [], {"n": F.lit(True)})
+    assert got.count() == 50 and seen.value == 4000
+
+
+def test_statistics_sum_values_where_they_lie(spark, values):
+    """No row per value and baseline; figures are those of numpy over ranges of many batches, an empty side gives none."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = spark.createDataFrame(values).select("x", "y", (F.col("s") == 0).alias("a"), F.lit(False).alias("none"), (F.col("s") == 2).alias("test"))
+        table = drift.drift_counts(rows, ["x", "y"], ["a", "none"])
+        for found in (drift.ks(table, ["a"]), drift.psi(table, ["a"]), drift.measure_auc(table, ["a"])):
+            assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.feature, r.baseline): r for r in drift.moments(table, ["a", "none"]).join(drift.ks(table, ["a", "none"]), ["feature", "baseline"]).join(
+            drift.measure_auc(table, ["a", "none"]), ["feature", "baseline"]).join(drift.psi(table, ["a", "none"], adaptive=True), ["feature", "baseline"]).collect()}
+        for c in ("x", "y"):
+            a, b = (values[c][values.s == s].to_numpy() for s in (0, 2))
+            grid = np.unique(np.concatenate([a, b]))
+            gap = np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a) - np.searchsorted(np.sort(b), grid, "right") / len(b)).max()
+            auc = np.mean([(v > a).mean() + (v == a).mean() / 2 for v in b])
+            r = got[c, "a"]
+            assert (r.train_mean, r.test_mean, r.ks, r.auc) == pytest.approx((a.mean(), b.mean(), gap, auc))
+            assert r.std_mean_delta == pytest.approx((b.mean() - a.mean()) / a.std(ddof=1)) and r.train_non_null == len(a) and r.psi > 0
+            empty = got[c, "none"]
+            assert (empty.ks, empty.auc, empty.psi, empty.train_mean, empty.test_mean) == (None, None, None, None, pytest.approx(b.mean()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
