@@ -113,3 +113,29 @@ def test_statistics_meet_last_rows_only(panel):
     last = build_features(panel, panel, FeatureOptions(region_priors=True), last_only=True)
     windows = next(line for line in plan(last).split("\n") if "FlatMapGroupsInArrow" in line)
     assert "_climate" not in windows and "_month_prior" not in windows and "region_score_mean" not in windows
+
+
+def windows_of(df):
+    return next(line for line in plan(df).split("\n") if "FlatMapGroupsInArrow" in line)
+
+
+def test_statistics_and_calendar_meet_labelled_days_only(panel):
+    """Where only days with a label stay, the others carry neither through the windows; columns keep their order."""
+    options = FeatureOptions(region_priors=True)
+    some, whole = build_features(panel, panel, options, days_of="score"), build_features(panel, panel, options)
+    for name in ("_climate", "_month_prior", "sin_doy"):
+        assert name not in windows_of(some), name
+    assert [c for c in some.columns if c not in whole.columns] == [] and some.columns == whole.columns
+
+
+def test_dropped_groups_leave_the_windows(panel):
+    """Only families of which a column stays are computed, and the frames that their arithmetic reads."""
+    dropped = FeatureOptions(climatology=False, drop_groups=["calendar", "ewm", "domain_indices", "score_history"])
+    few = build_features(panel, panel, dropped)
+    for name in ("_ewm14", "score_gap", "dew_depression"):
+        assert name not in windows_of(few), name
+    whole = build_features(panel, panel, FeatureOptions(climatology=False))
+    kept = [c for c in whole.columns if c in few.columns]
+    assert few.columns == kept and {"prec_lag28", "tmp_rmean35", "prec_sum91"} <= set(kept)
+    indices = build_features(panel, panel, FeatureOptions(climatology=False, drop_groups=["rolling"]))
+    assert "drought_idx_r35" in indices.columns and "tmp_rmean35" not in indices.columns
