@@ -89,3 +89,16 @@ def test_statistics_sum_values_where_they_lie(spark, values):
             assert (empty.ks, empty.auc, empty.psi, empty.train_mean, empty.test_mean) == (None, None, None, None, pytest.approx(b.mean()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_wide_rows_are_not_stored_for_the_drift_table(spark, folder, monkeypatch):
+    """They were written and read back, though counts need them once."""
+    from isohyet.queries import drift as queries
+    from isohyet.queries import registry
+
+    seen = []
+    monkeypatch.setattr(registry, "_KEPT", {})
+    monkeypatch.setattr(registry, "_STORED", {})
+    monkeypatch.setattr(queries.drift, "feature_drift_table", lambda rows, *args: seen.append(rows) or spark.range(1))
+    queries.full_table(spark, folder)
+    assert "FlatMapGroupsInArrow" in seen[0]._jdf.queryExecution().executedPlan().toString()
